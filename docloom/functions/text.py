@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom import rules
+from docloom.functions.binding import let
 
 
 def slug(c: Column) -> Column:
@@ -17,8 +18,7 @@ def slug(c: Column) -> Column:
 
 def heading_slug(c: Column) -> Column:
     """Slug of a rendered heading; an empty one becomes ``section``."""
-    s = slug(c)
-    return F.when(s == "", F.lit("section")).otherwise(s)
+    return F.regexp_replace(slug(c), "^$", "section")
 
 
 def compact(c: Column) -> Column:
@@ -37,8 +37,7 @@ def heading_anchor(c: Column) -> Column:
     a = F.regexp_replace(a, "[`*_~]", "")
     a = F.regexp_replace(a, "&[a-z0-9#]+;", "")
     a = F.regexp_replace(a, r"[^\p{L}\p{N}\s-]", "")
-    a = F.regexp_replace(F.trim(a), r"\s+", "-")
-    return F.when(a == "", F.lit("section")).otherwise(a)
+    return F.regexp_replace(F.regexp_replace(F.trim(a), r"\s+", "-"), "^$", "section")
 
 
 # -- tokenisers -------------------------------------------------------------------------------
@@ -138,7 +137,7 @@ def title_from_slug(c: Column) -> Column:
     """Title of a URL or file slug: extension dropped, acronyms upper-cased."""
     base = F.regexp_replace(c, r"(?i)\.[a-z0-9]+$", "")
     title = _cased(_non_empty(F.split(base, "[-_]+")), rules.SLUG_ACRONYMS, lower_tail=False)
-    return F.when(title == "", F.lit("Documentation")).otherwise(title)
+    return F.regexp_replace(title, "^$", "Documentation")
 
 
 def outline_title_from_slug(c: Column) -> Column:
@@ -171,7 +170,7 @@ def slug_path_title(segments: Column) -> Column:
     """First two present segments as titles, joined by a slash."""
     kept = F.slice(F.filter(segments, lambda s: s.isNotNull() & (s != "")), 1, 2)
     title = F.array_join(F.transform(kept, title_from_slug), " / ")
-    return F.when(title == "", F.lit("Documentation")).otherwise(title)
+    return F.regexp_replace(title, "^$", "Documentation")
 
 
 def decode_entities(c: Column) -> Column:
@@ -197,9 +196,9 @@ def entry_title(c: Column) -> Column:
 
 def heading_title(c: Column) -> Column:
     """Title of a heading line: the text of a leading link, else the part before a link list."""
-    t = F.trim(c)
-    linked = F.regexp_extract(t, r"^\[([^\]\n]+)\]\([^)]+\)", 1)
-    return entry_title(F.when(linked != "", linked).otherwise(F.get(F.split(t, r"\s+-\s+\["), F.lit(0))))
+    # A leading link leaves only its text; what follows " - [" is the link list of the section.
+    linked = F.regexp_replace(F.trim(c), r"(?s)^\[([^\]\n]+)\]\([^)]+\).*$", "$1")
+    return entry_title(F.get(F.split(linked, r"\s+-\s+\["), F.lit(0)))
 
 
 def qualified_title(title: Column, qualifier: Column) -> Column:
@@ -212,11 +211,14 @@ def qualified_title(title: Column, qualifier: Column) -> Column:
 
 def quiet_title(page_slug: Column, title: Column) -> Column:
     """Outline title without navigation chrome; setup pages take the title of their slug."""
-    cleaned = _squeezed(F.regexp_replace(title, rules.NAV_CHROME_PHRASE, ""))
     s = slug(page_slug)
-    setup = s.rlike(rules.SETUP_SLUG) & cleaned.rlike(rules.SETUP_TITLE)
-    return (
-        F.when(cleaned == "", title)
-        .when(setup, outline_title_from_slug(s))
-        .otherwise(cleaned)
-    )
+
+    def pick(cleaned: Column) -> Column:
+        setup = s.rlike(rules.SETUP_SLUG) & cleaned.rlike(rules.SETUP_TITLE)
+        return (
+            F.when(cleaned == "", title)
+            .when(setup, outline_title_from_slug(s))
+            .otherwise(cleaned)
+        )
+
+    return let(_squeezed(F.regexp_replace(title, rules.NAV_CHROME_PHRASE, "")), pick)

@@ -10,11 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom import rules
+from docloom.functions.binding import let
 from docloom.functions.text import slug
 
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
-
-
 def is_http(url: Column) -> Column:
     return url.rlike(r"(?i)^https?://[^/?#\s]+")
 
@@ -30,17 +28,21 @@ def host(url: Column) -> Column:
 
 
 def origin(url: Column) -> Column:
-    authority = F.regexp_replace(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), "^[^@]*@", "")
-    s = scheme(url)
-    authority = F.when(s == "https", F.regexp_replace(authority, ":443$", "")).otherwise(
-        F.regexp_replace(authority, ":80$", "")
-    )
-    return F.concat(s, F.lit("://"), authority)
+    """Scheme and authority, lower-cased, without user information and default port."""
+    o = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+    o = F.regexp_replace(o, "://[^@]*@", "://")
+    return F.regexp_replace(F.regexp_replace(o, "^(https://.*):443$", "$1"), "^(http://.*):80$", "$1")
+
+
+def _after_origin(url: Column) -> Column:
+    """Path, query and fragment; the path at least a slash."""
+    tail = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    return F.regexp_replace(tail, r"^(?=[?#]|$)", "/")
 
 
 def path(url: Column) -> Column:
     p = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    return F.regexp_replace(p, "^$", "/")
 
 
 def fragment(url: Column) -> Column:
@@ -53,13 +55,11 @@ def without_fragment(url: Column) -> Column:
 
 def registrable_host(h: Column) -> Column:
     """Last two labels of the host without a leading www."""
-    parts = F.split(F.regexp_replace(F.lower(h), r"^www\.", ""), r"\.")
-    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".")
+    return last_two_labels(F.regexp_replace(F.lower(h), r"^www\.", ""))
 
 
 def last_two_labels(h: Column) -> Column:
-    parts = F.split(h, r"\.")
-    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), ".")
+    return F.regexp_extract(h, r"([^.]*\.[^.]*|[^.]*)$", 1)
 
 
 def primary_label(h: Column) -> Column:
@@ -80,13 +80,13 @@ def segments(p: Column) -> Column:
 
 
 def last_segment(segs: Column) -> Column:
-    return F.get(segs, F.size(segs) - 1)
+    return F.try_element_at(segs, F.lit(-1))
 
 
 def locale_segment(segs: Column) -> Column:
     """Leading locale segment of a path, or null."""
     first = F.lower(F.get(segs, F.lit(0)))
-    return F.when(first.rlike("^[a-z]{2}(?:-[a-z]{2})?$"), first)
+    return F.nullif(F.regexp_extract(first, "^([a-z]{2}(?:-[a-z]{2})?)$", 1), F.lit(""))
 
 
 def is_version_segment(s: Column) -> Column:
@@ -97,7 +97,7 @@ def has_placeholder_segment(url: Column) -> Column:
     return F.exists(segments(path(url)), lambda s: s.rlike(rules.PLACEHOLDER_WORD))
 
 
-def _without_dot_segments(p: Column) -> Column:
+def _without_dot_segments(tail: Column) -> Column:
     def step(acc: Column, s: Column) -> Column:
         return (
             F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
@@ -105,37 +105,44 @@ def _without_dot_segments(p: Column) -> Column:
             .otherwise(F.concat(acc, F.array(s)))
         )
 
-    folded = F.aggregate(
-        F.slice(F.split(p, "/"), 2, 2147483647), F.array(F.lit("")), step
+    p = F.regexp_extract(tail, "^([^?#]*)", 1)
+    rest = F.regexp_replace(tail, "^[^?#]*", "")
+    folded = F.aggregate(F.slice(F.split(p, "/"), 2, 2147483647), F.array(F.lit("")), step)
+    closed = F.concat(
+        F.array_join(folded, "/"), F.when(p.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
     )
-    joined = F.array_join(folded, "/")
-    closed = F.when(p.rlike(r"/\.{1,2}$"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(
-        p.rlike(r"/\.{1,2}(/|$)"), F.when(closed == "", F.lit("/")).otherwise(closed)
-    ).otherwise(p)
+    return F.concat(F.regexp_replace(closed, "^$", "/"), rest)
 
 
 def canonical(url: Column) -> Column:
     """Scheme and host lower-cased, default port and dot segments removed, empty path a slash."""
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(.*)$", 1)
-    return F.when(
-        is_http(url), F.concat(origin(url), _without_dot_segments(path(url)), rest)
+
+    def tidy(tail: Column) -> Column:
+        return F.when(tail.rlike(r"^[^?#]*/\.{1,2}(/|[?#]|$)"), _without_dot_segments(tail)).otherwise(
+            tail
+        )
+
+    return let(
+        url,
+        lambda u: F.when(is_http(u), F.concat(origin(u), let(_after_origin(u), tidy))),
     )
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Resolve a link against the page it was found on; null when it is not a web address."""
-    base_path = path(base)
-    directory = F.regexp_replace(base_path, "[^/]*$", "")
-    target = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("?"), F.concat(origin(base), base_path, href))
-        .when((href == "") | href.startswith("#"), F.concat(without_fragment(base), href))
-        .otherwise(F.concat(origin(base), directory, href))
-    )
-    return canonical(target)
+
+    def target(h: Column) -> Column:
+        directory = F.regexp_replace(path(base), "[^/]*$", "")
+        return (
+            F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+            .when(h.startswith("/"), F.concat(origin(base), h))
+            .when(h.startswith("?"), F.concat(origin(base), path(base), h))
+            .when((h == "") | h.startswith("#"), F.concat(without_fragment(base), h))
+            .otherwise(F.concat(origin(base), directory, h))
+        )
+
+    return canonical(let(href, target))
 
 
 def dedupe_key(url: Column) -> Column:
@@ -159,12 +166,15 @@ def entry_slug(url: Column) -> Column:
 
 def namespace(url: Column) -> Column:
     """Product namespace of a reference URL, or null."""
-    p = F.lower(path(url))
-    case = None
-    for pattern, name in rules.URL_NAMESPACES:
-        case = (F if case is None else case).when(p.rlike(pattern), F.lit(name))
-    family = F.regexp_extract(p, rules.DOCS_FAMILY_NAMESPACE, 1)
-    return F.when(is_http(url), case.otherwise(F.when(family != "", family)))
+
+    def lookup(p: Column) -> Column:
+        case = None
+        for pattern, name in rules.URL_NAMESPACES:
+            case = (F if case is None else case).when(p.rlike(pattern), F.lit(name))
+        family = F.regexp_extract(p, rules.DOCS_FAMILY_NAMESPACE, 1)
+        return case.otherwise(F.nullif(family, F.lit("")))
+
+    return F.when(is_http(url), let(F.lower(path(url)), lookup))
 
 
 def comparable_segment(s: Column) -> Column:
@@ -183,20 +193,24 @@ def comparable_url_segments(url: Column) -> Column:
 
 def comparable_path_segments(p: Column) -> Column:
     """Path segments below a known documentation root; empty outside of one."""
-    raw = F.filter(
+    segs = F.filter(
         F.transform(
             F.split(F.regexp_replace(p, rules.COMPARABLE_EXTENSION, ""), "/"),
             comparable_segment,
         ),
         lambda s: s != "",
     )
-    case = None
-    for prefix in rules.DOCS_CONTENT_PREFIXES:
-        parts = prefix.split("/")
-        n = len(parts)
-        hit = (F.size(raw) >= n) & (F.slice(raw, 1, n) == F.array(*map(F.lit, parts)))
-        case = (F if case is None else case).when(hit, F.slice(raw, n + 1, 1000000))
-    return case.otherwise(F.array().cast("array<string>"))
+
+    def below(raw: Column) -> Column:
+        case = None
+        for prefix in rules.DOCS_CONTENT_PREFIXES:
+            parts = prefix.split("/")
+            n = len(parts)
+            hit = (F.size(raw) >= n) & (F.slice(raw, 1, n) == F.array(*map(F.lit, parts)))
+            case = (F if case is None else case).when(hit, F.slice(raw, n + 1, 1000000))
+        return case.otherwise(F.array().cast("array<string>"))
+
+    return let(segs, below)
 
 
 def ends_with(segs: Column, suffix: Column) -> Column:

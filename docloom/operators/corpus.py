@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.functions.binding import let, stage
 from docloom.operators.ordering import (
     balanced_sample,
     docs_path_order_key,
@@ -66,25 +67,35 @@ def extract_links(
     pages: DataFrame, keys: Sequence[str] = ("page_id",), url: str = "url", body: str = "html"
 ) -> DataFrame:
     """Every link of a page in order: href as written (entities decoded) and resolved address."""
-    found = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(_all(F.col(body), _HREF)).alias("pos", "m"))
-    href = F.trim(T.decode_entities(_value(F.col("m"), _HREF)))
-    kept = found.select(*keys, "page_url", "pos", href.alias("href")).filter(
-        (F.col("href") != "") & ~F.col("href").rlike(r"^(#|mailto:|javascript:)")
+    return _resolved(pages, keys, url, body, _HREF).filter(
+        (F.col("href") != "") & ~F.col("href").rlike(r"^(#|mailto:|javascript:)") & F.col("url").isNotNull()
     )
-    resolved = U.without_fragment(U.resolve(F.col("page_url"), F.col("href")))
-    return kept.withColumn("url", resolved).filter(F.col("url").isNotNull())
+
+
+def _resolved(pages: DataFrame, keys: Sequence[str], url: str, body: str, pattern: str) -> DataFrame:
+    """Attribute values of a page with their resolved address, null where that is no web address."""
+
+    def link(m: Column) -> Column:
+        href = F.trim(T.decode_entities(_value(m, pattern)))
+        return let(
+            href,
+            lambda h: F.struct(
+                h.alias("href"), U.without_fragment(U.resolve(F.col(url), h)).alias("url")
+            ),
+        )
+
+    links = F.transform(_all(F.col(body), pattern), link)
+    found = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(links).alias("pos", "l"))
+    return found.select(*keys, "page_url", "pos", "l.href", "l.url")
 
 
 def extract_assets(
     pages: DataFrame, keys: Sequence[str] = ("page_id",), url: str = "url", body: str = "html"
 ) -> DataFrame:
     """Linked files of the page's own site (href and src), first occurrence of each."""
-    found = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(_all(F.col(body), _ASSET)).alias("pos", "m"))
-    href = F.trim(T.decode_entities(_value(F.col("m"), _ASSET)))
-    kept = found.select(*keys, "page_url", "pos", href.alias("href")).filter(
-        (F.col("href") != "") & ~F.col("href").startswith("data:")
+    resolved = _resolved(pages, keys, url, body, _ASSET).filter(
+        (F.col("href") != "") & ~F.col("href").startswith("data:") & F.col("url").isNotNull()
     )
-    resolved = kept.withColumn("url", U.without_fragment(U.resolve(F.col("page_url"), F.col("href"))))
     h, src = U.host(F.col("url")), U.host(F.col("page_url"))
     own = resolved.filter((h == src) | (U.last_two_labels(h) == U.last_two_labels(src)))
     return first_wins(own, [*keys, U.dedupe_key(F.col("url"))], "pos")
@@ -95,23 +106,21 @@ def html_headings(
 ) -> DataFrame:
     """Headings h1 to h4 with a plain title and the address of their anchor; repeats dropped."""
     found = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(_all(F.col(body), _HEADING)).alias("pos", "m"))
-    parts = found.select(
-        *keys,
-        "page_url",
-        "pos",
-        F.regexp_extract("m", _HEADING, 1).cast("int").alias("level"),
-        F.trim(
-            T.decode_entities(_value(F.regexp_extract("m", _HEADING, 2), r"(?i)^.*?\bid=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)).*$"))
-        ).alias("_id"),
-        F.trim(
-            F.regexp_replace(
-                T.decode_entities(T.strip_tags(F.regexp_extract("m", _HEADING, 3))), r"\s+", " "
-            )
-        ).alias("title"),
+    attribute = r"(?i)^.*?\bid=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)).*$"
+    ident = F.trim(T.decode_entities(_value(F.regexp_extract("m", _HEADING, 2), attribute)))
+    inner = T.decode_entities(T.strip_tags(F.regexp_extract("m", _HEADING, 3)))
+
+    def address(base: Column) -> Column:
+        anchored = F.concat(U.without_fragment(base), F.lit("#"), F.col("_id"))
+        return F.when(F.col("_id") == "", base).otherwise(anchored)
+
+    parts = stage(
+        found,
+        level=F.regexp_extract("m", _HEADING, 1).cast("int"),
+        _id=ident,
+        title=F.trim(F.regexp_replace(inner, r"\s+", " ")),
     ).filter(F.length("title").between(2, 120) & ~F.col("title").rlike(rules.CHROME_HEADING))
-    base = U.canonical(F.col("page_url"))
-    anchored = F.concat(U.without_fragment(base), F.lit("#"), F.col("_id"))
-    rows = parts.withColumn("url", F.when(F.col("_id") == "", base).otherwise(anchored))
+    rows = stage(parts.drop("m"), url=let(U.canonical(F.col("page_url")), address))
     distinct = first_wins(rows, [*keys, "level", F.lower("title"), "url"], "pos")
     return top_per_group(distinct, keys, ["pos"], rules.MAX_HEADINGS_PER_PAGE).select(
         *keys, "page_url", "pos", "level", "title", "url"
@@ -174,8 +183,10 @@ def link_index(
     links = extract_links(marked, [*keys, "_near"], url, body)
     docs = links.filter(is_docs_page(F.col("url"), F.col("page_url"), F.col("_near")))
     unique = first_wins(docs, [*keys, U.dedupe_key(F.col("url"))], "pos")
-    scoped = locale_scope(unique, keys, "url", "page_url").select(
-        *keys, "page_url", "url", site_group(F.col("url")).alias("group"), url_order_key(U.path(F.col("url"))).alias("_order")
+    scoped = stage(
+        locale_scope(unique, keys, "url", "page_url").select(*keys, "page_url", "url"),
+        group=site_group(F.col("url")),
+        _order=url_order_key(U.path(F.col("url"))),
     )
     heads = html_headings(pages, keys, url, body)
     link_counts = scoped.groupBy(*keys).agg(
@@ -311,9 +322,7 @@ def sitemap_urls(
 ) -> DataFrame:
     """Addresses listed by sitemaps, with nested sitemaps flagged and scored."""
     found = pages.select(*keys, F.col(url).alias("page_url"), F.posexplode(_all(F.col(body), _LOC, 1)).alias("pos", "loc"))
-    locs = found.select(*keys, "page_url", "pos", U.canonical(F.trim("loc")).alias("url")).filter(
-        F.col("url").isNotNull()
-    )
+    locs = stage(found, url=U.canonical(F.trim("loc"))).drop("loc").filter(F.col("url").isNotNull())
     h, src, p = U.host(F.col("url")), U.host(F.col("page_url")), U.path(F.col("url"))
     related = (h == src) | (U.last_two_labels(h) == U.last_two_labels(src))
     english = p.rlike(rules.ENGLISH_SITEMAP)
@@ -385,12 +394,20 @@ def heading_groups(lines: DataFrame, keys: Sequence[str], pos: str = "line_no")
 
 def _document_lines(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     split = docs.select(*keys, F.posexplode(F.split(logical_text(F.col("text")), "\n")).alias("line_no", "line"))
-    lines = split.withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")))
-    marks = F.regexp_extract("line", r"^(#{2,6})\s+(.+)$", 1)
-    title = T.heading_title(F.regexp_extract("line", r"^(#{2,6})\s+(.+)$", 2))
-    named = (marks != "") & (title != "")
-    return lines.withColumn("level", F.when(named, F.length(marks))).withColumn(
-        "heading", F.when(named, title)
+    lines = stage(split, line=F.regexp_replace("line", r"^\s+|\s+$", ""))
+    pattern = r"^(#{2,6})\s+(.+)$"
+    parsed = stage(
+        lines,
+        _marks=F.length(F.regexp_extract("line", pattern, 1)),
+        _title=T.heading_title(F.regexp_extract("line", pattern, 2)),
+    )
+    named = (F.col("_marks") > 0) & (F.col("_title") != "")
+    return parsed.select(
+        *keys,
+        "line_no",
+        "line",
+        F.when(named, F.col("_marks")).alias("level"),
+        F.when(named, F.col("_title")).alias("heading"),
     )
 
 
@@ -425,13 +442,9 @@ def markdown_entries(docs: DataFrame, keys: Sequence[str] = ("repo_id", "source_
     rows = current.select(
         *keys, "line_no", "group", F.posexplode(F.concat(links, url_line)).alias("at", "e")
     )
-    entries = rows.select(
-        *keys,
-        "line_no",
-        "at",
-        "group",
-        F.col("e.title").alias("title"),
-        U.resolve(F.col("source_url"), F.col("e.href")).alias("url"),
+    entries = stage(
+        rows.select(*keys, "line_no", "at", "group", "e.title", "e.href"),
+        url=U.resolve(F.col("source_url"), F.col("href")),
     ).filter(
         (F.col("title") != "")
         & F.col("url").isNotNull()
@@ -569,8 +582,9 @@ def linked_indexes(docs: DataFrame, bodies: DataFrame) -> DataFrame:
             _all(F.col("text"), rules.URL_IN_TEXT), lambda u: F.coalesce(U.mention(u), u)
         ),
     )
-    linked = thin.select("repo_id", "source_url", "own_links", F.posexplode(hrefs).alias("pos", "href")).withColumn(
-        "linked_url", U.resolve(src, F.col("href"))
+    linked = stage(
+        thin.select("repo_id", "source_url", "own_links", F.posexplode(hrefs).alias("pos", "href")),
+        linked_url=U.resolve(src, F.col("href")),
     )
     p = U.path(F.col("linked_url"))
     index_files = linked.filter(
@@ -714,7 +728,10 @@ def prose(markdown: Column) -> Column:
     t = F.regexp_replace(t, r"`[^`\n]+`", " ")
     t = F.regexp_replace(t, r"(?im)^.*\bSources:\s*.*$", " ")
     t = F.regexp_replace(t, r"https?://\S+", " ")
-    return F.regexp_replace(t, r"[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+", " ")
+    # A word without a slash is tried once, from its start.
+    return F.regexp_replace(
+        t, r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_./-]+", " "
+    )
 
 
 def count_matches(c: Column, pattern: str) -> Column:
@@ -724,7 +741,7 @@ def count_matches(c: Column, pattern: str) -> Column:
 def metric_columns(c: Column) -> dict[str, Column]:
     return {
         "prose_words": count_matches(prose(c), r"[A-Za-z0-9][A-Za-z0-9'-]*"),
-        "raw_words": F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")),
+        "raw_words": count_matches(c, r"\S+"),
         "h2": count_matches(c, r"(?m)^##\s+"),
         "h3": count_matches(c, r"(?m)^###\s+"),
         "index_headings": count_headings(c),
@@ -747,11 +764,17 @@ def text_metrics(docs: DataFrame, col: str = "text") -> DataFrame:
 def _repo_file(value: Column) -> Column:
     """Path in a repository file address, or null."""
     path = F.regexp_extract(value, r"(?i)^https?://github\.com(/[^?#]*)", 1)
-    segs = F.filter(F.split(path, "/"), lambda s: s != "")
-    marker = F.transform(segs, lambda s: s.isin("blob", "tree"))
-    at = (F.array_position(marker, True) - 1).cast("int")
-    ok = (path != "") & (at >= 0) & (at + 2 < F.size(segs))
-    return F.when(ok, F.array_join(F.slice(segs, F.greatest(at + 3, F.lit(1)), F.size(segs)), "/"))
+
+    def below(segs: Column) -> Column:
+        marker = F.transform(segs, lambda s: s.isin("blob", "tree"))
+
+        def cut(at: Column) -> Column:
+            inside = F.array_join(F.slice(segs, F.greatest(at + 3, F.lit(1)), F.size(segs)), "/")
+            return F.when((at >= 0) & (at + 2 < F.size(segs)), inside)
+
+        return let((F.array_position(marker, True) - 1).cast("int"), cut)
+
+    return let(F.filter(F.split(path, "/"), lambda s: s != ""), below)
 
 
 def citation_path(value: Column) -> Column:
@@ -761,8 +784,12 @@ def citation_path(value: Column) -> Column:
     p = F.regexp_replace(p, r"[?#].*$", "")
     p = F.regexp_replace(p, r":\d+(?::\d+)?$", "")
     p = F.regexp_replace(F.regexp_replace(p, r"^\./+", ""), "^/+", "")
-    bad = (p == "") | p.contains("://") | p.rlike(r"\s") | ~p.rlike(rules.CITED_EXTENSION)
-    return F.when(~bad, p)
+
+    def known(c: Column) -> Column:
+        bad = (c == "") | c.contains("://") | c.rlike(r"\s") | ~c.rlike(rules.CITED_EXTENSION)
+        return F.when(~bad, c)
+
+    return let(p, known)
 
 
 def extract_citations(
@@ -813,7 +840,7 @@ def url_mentions(
 ) -> DataFrame:
     """Addresses mentioned in a repository's texts, cleaned, first 40 distinct ones in order."""
     found = docs.select(*keys, F.col(pos).alias("doc_pos"), F.posexplode(_all(F.col(col), rules.URL_IN_TEXT)).alias("at", "raw"))
-    clean = found.withColumn("url", U.mention(F.col("raw"))).filter(
+    clean = stage(found, url=U.mention(F.col("raw"))).filter(
         F.col("url").isNotNull() & is_admitted_host(U.host(F.col("url")))
     )
     order = ["doc_pos", "at"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docloom import rules
 from docloom.functions import urls as U
+from docloom.functions.binding import let
 from docloom.functions.ids import micros
 from docloom.functions.text import slug as slug_of
 from docloom.functions.text import slug_path_title
@@ -437,29 +438,34 @@ def docs_order(df: DataFrame, url: str = "url") -> DataFrame:
 
 def site_group(url: Column) -> Column:
     """Section title of a documentation address."""
-    segs = U.segments(U.path(url))
-    at = F.array_position(F.transform(segs, lambda s: s.rlike(rules.SECTION_SEGMENT)), True) - 1
-    at = at.cast("int")
 
-    def seg(i: Column) -> Column:
+    def seg(segs: Column, i: Column) -> Column:
         return F.when(i >= 0, F.get(segs, i))
 
-    def sub(i: Column) -> Column:
-        s = seg(i)
-        return F.when(~F.lower(s).rlike(rules.LEAD_IN_SEGMENT), s)
+    def sub(segs: Column, i: Column) -> Column:
+        lead_in = F.lower(F.get(segs, i)).rlike(rules.LEAD_IN_SEGMENT)
+        return F.when(~lead_in, F.get(segs, i))
 
-    section = seg(at)
-    # A section right at the root looks back at the last segment.
-    previous = F.when(at >= 1, seg(at - 1)).otherwise(U.last_segment(segs))
-    own_group = (at >= 0) & (
-        ((at == 0) & ~section.rlike(rules.PLAIN_DOCS_SEGMENT)) | U.is_version_segment(previous)
-    )
-    inside = F.array(F.coalesce(seg(at + 1), section), sub(at + 2))
-    outside = F.array(F.coalesce(F.get(segs, F.lit(0)), F.lit("docs")), sub(F.lit(1)))
-    parts = (
-        F.when(own_group, F.array(section, sub(at + 1))).when(at >= 0, inside).otherwise(outside)
-    )
-    return slug_path_title(parts)
+    def parts(segs: Column, at: Column) -> Column:
+        section = seg(segs, at)
+        # A section right at the root looks back at the last segment.
+        previous = F.when(at >= 1, seg(segs, at - 1)).otherwise(U.last_segment(segs))
+        own_group = (at >= 0) & (
+            ((at == 0) & ~section.rlike(rules.PLAIN_DOCS_SEGMENT)) | U.is_version_segment(previous)
+        )
+        inside = F.array(F.coalesce(seg(segs, at + 1), section), sub(segs, at + 2))
+        outside = F.array(F.coalesce(F.get(segs, F.lit(0)), F.lit("docs")), sub(segs, F.lit(1)))
+        return (
+            F.when(own_group, F.array(section, sub(segs, at + 1)))
+            .when(at >= 0, inside)
+            .otherwise(outside)
+        )
+
+    def group(segs: Column) -> Column:
+        hits = F.transform(segs, lambda s: s.rlike(rules.SECTION_SEGMENT))
+        return let((F.array_position(hits, True) - 1).cast("int"), lambda at: parts(segs, at))
+
+    return slug_path_title(let(U.segments(U.path(url)), group))
 
 
 def group_score(group: Column, size: Column) -> Column:

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docloom import rules
 from docloom.functions import urls as U
@@ -259,4 +260,5 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "bigint")).parquet(out)
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(out)
