@@ -289,7 +289,7 @@ def section_text(pages: DataFrame, entries: DataFrame) -> DataFrame:
     )
     has_id = F.transform("_parts", lambda s: F.arrays_overlap(_ids(s), F.col("_wanted")))
     at = parts.withColumn("_at", (F.array_position(has_id, True) - 1).cast("int"))
-    level = lambda s: F.expr("0") + F.regexp_extract(s, r"(?i)^<h([1-6])\b", 1).try_cast("int")
+    level = lambda s: F.regexp_extract(s, r"(?i)^<h([1-6])\b", 1).try_cast("int")
     start = F.get("_parts", F.col("_at"))
     own_level = F.coalesce(level(start), F.lit(2))
     rest = F.slice("_parts", F.col("_at") + 2, F.size("_parts"))
@@ -298,7 +298,7 @@ def section_text(pages: DataFrame, entries: DataFrame) -> DataFrame:
     inner = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
     # Before any heading the section starts at the tag that carries the id.
     quoted = F.concat(F.lit(r"(?is)(<[^<>]*\bid\s*=\s*[\"']?\Q"), raw, F.lit(r"\E.*)$"))
-    opening = F.when(level(start).isNull(), F.regexp_extract(start, quoted, F.lit(1))).otherwise(start)
+    opening = F.when(level(start).isNull(), F.call_function("regexp_extract", start, quoted, F.lit(1))).otherwise(start)
     section = F.regexp_replace(
         F.concat(opening, F.array_join(inner, "")), r"^\s+|\s+$", ""
     )

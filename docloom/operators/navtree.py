@@ -19,83 +19,89 @@ _COLUMNS = ["repo_id", "node_id", "parent_id", "depth", "ord", "slug", "title"]
 
 def check_depth(nav: DataFrame) -> DataFrame:
     """Fail the job on a node below the supported depth."""
-    ok = F.assert_true(
-        F.coalesce(F.col("depth"), F.lit(0)) <= MAX_DEPTH, F.lit(f"navigation deeper than {MAX_DEPTH}")
+    too_deep = F.raise_error(F.lit(f"navigation deeper than {MAX_DEPTH}")).cast("int")
+    return nav.withColumn(
+        "depth", F.when(F.col("depth") > MAX_DEPTH, too_deep).otherwise(F.col("depth"))
     )
-    # The assertion is null when it holds; adding its length keeps it in the plan.
-    return nav.withColumn("depth", F.col("depth") + F.coalesce(ok.cast("int"), F.lit(0)))
 
 
-def _keys(df: DataFrame) -> DataFrame:
-    return df.select("repo_id", "node_id")
+def _with_ancestors(nodes: DataFrame, tree: DataFrame, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """Add the ancestors of each node, nearest first: ``up1`` .. and the carried columns of each.
+
+    ``nodes`` has repo_id and parent_id. One join per level of the fixed depth.
+    """
+    out = nodes.withColumn("up1", F.col("parent_id"))
+    for i in range(1, MAX_DEPTH):
+        above = tree.select(
+            "repo_id",
+            F.col("node_id").alias(f"up{i}"),
+            F.col("parent_id").alias(f"up{i + 1}"),
+            *[F.col(c).alias(f"{c}{i}") for c in carry],
+        )
+        out = out.join(above, ["repo_id", f"up{i}"], "left")
+    return out
 
 
 def prune_nav(nav: DataFrame, slugs: DataFrame) -> DataFrame:
     """Drop leaves whose page is not selected, then folders left without anything below.
 
-    ``slugs``: repo_id, slug. A node stays if its slug is selected or any descendant's is: walk up from
-    the selected nodes, one level per pass.
+    ``slugs``: repo_id, slug. A node stays if its slug is selected or that of any descendant is, so
+    the selected nodes and their ancestors are the result.
     """
     tree = check_depth(nav)
     wanted = slugs.select("repo_id", T.slug(F.col("slug")).alias("_key")).distinct()
-    keyed = tree.withColumn("_key", T.slug(F.col("slug")))
-    kept = keyed.join(wanted, ["repo_id", "_key"], "left_semi").select("repo_id", "node_id", "parent_id")
-    frontier = kept
-    for _ in range(MAX_DEPTH - 1):
-        above = frontier.filter(F.col("parent_id").isNotNull()).select(
-            "repo_id", F.col("parent_id").alias("node_id")
-        ).distinct()
-        frontier = tree.select("repo_id", "node_id", "parent_id").join(
-            above, ["repo_id", "node_id"], "left_semi"
-        )
-        kept = kept.unionByName(frontier)
-    return tree.join(_keys(kept).distinct(), ["repo_id", "node_id"], "left_semi").select(*_COLUMNS)
+    chosen = tree.withColumn("_key", T.slug(F.col("slug"))).join(
+        wanted, ["repo_id", "_key"], "left_semi"
+    ).select("repo_id", "node_id", "parent_id")
+    lines = _with_ancestors(chosen, tree)
+    names = ["node_id", *[f"up{i}" for i in range(1, MAX_DEPTH)]]
+    kept = lines.select("repo_id", F.explode(F.array(*names)).alias("node_id")).distinct()
+    return tree.join(kept, ["repo_id", "node_id"], "left_semi").select(*_COLUMNS)
 
 
 def collapse_nav(nav: DataFrame) -> DataFrame:
     """Replace folders without a page whose only child is a leaf page by that leaf, bottom up.
 
-    The leaf takes the folder's place, so a chain of such folders collapses to its leaf.
+    Collapsing never changes how many children a folder has, so a leaf takes the place of the highest
+    of the single-child folders right above it, and those folders go.
     """
     tree = check_depth(nav)
-    for depth in range(MAX_DEPTH - 1, 0, -1):
-        children = tree.filter(F.col("depth") == depth + 1)
-        deeper = tree.filter(F.col("depth") == depth + 2).select(
-            "repo_id", F.col("parent_id").alias("node_id")
-        ).distinct().withColumn("_has_children", F.lit(True))
-        single = (
-            children.join(deeper, ["repo_id", "node_id"], "left")
-            .groupBy("repo_id", F.col("parent_id").alias("_folder"))
-            .agg(
-                F.count(F.lit(1)).alias("_n"),
-                F.first("node_id").alias("_child"),
-                F.first("slug").alias("_slug"),
-                F.first("title").alias("_title"),
-                F.bool_or(F.coalesce("_has_children", F.lit(False))).alias("_deep"),
+    kids = tree.filter(F.col("parent_id").isNotNull()).groupBy(
+        "repo_id", F.col("parent_id").alias("node_id")
+    ).agg(F.count(F.lit(1)).alias("_kids"))
+    counted = tree.join(kids, ["repo_id", "node_id"], "left").withColumn(
+        "single", F.coalesce((F.col("_kids") == 1) & F.col("slug").isNull(), F.lit(False))
+    )
+    leaves = counted.filter(F.col("_kids").isNull() & F.col("slug").isNotNull()).select(
+        "repo_id", "node_id", "parent_id"
+    )
+    only = counted.filter("single").select(
+        "repo_id", "node_id", "parent_id", "depth", "ord", F.lit(True).alias("hit")
+    )
+    lines = _with_ancestors(leaves, only, ["parent_id", "depth", "ord", "hit"])
+    # Ancestors are joined through single folders only: the chain ends where the first other one is.
+    places = F.array(
+        *[
+            F.when(
+                F.col(f"hit{i}"),
+                F.struct(
+                    F.col(f"up{i}").alias("id"),
+                    F.col(f"parent_id{i}").alias("parent_id"),
+                    F.col(f"depth{i}").alias("depth"),
+                    F.col(f"ord{i}").alias("ord"),
+                ),
             )
-            .filter((F.col("_n") == 1) & F.col("_slug").isNotNull() & ~F.col("_deep"))
-            .drop("_n", "_deep")
-        )
-        folders = tree.filter((F.col("depth") == depth) & F.col("slug").isNull())
-        replaced = folders.join(
-            single.withColumnRenamed("_folder", "node_id"), ["repo_id", "node_id"]
-        )
-        gone = _keys(replaced).unionByName(
-            replaced.select("repo_id", F.col("_child").alias("node_id"))
-        )
-        leaves = replaced.select(
-            "repo_id",
-            F.col("_child").alias("node_id"),
-            "parent_id",
-            "depth",
-            "ord",
-            F.col("_slug").alias("slug"),
-            F.col("_title").alias("title"),
-        )
-        tree = tree.join(gone, ["repo_id", "node_id"], "left_anti").select(*_COLUMNS).unionByName(
-            leaves.select(*_COLUMNS)
-        )
-    return tree
+            for i in range(1, MAX_DEPTH)
+        ]
+    )
+    moved = lines.select(
+        "repo_id", "node_id", F.filter(places, lambda p: p.isNotNull()).alias("_chain")
+    ).filter(F.size("_chain") > 0)
+    gone = moved.select("repo_id", F.explode("_chain.id").alias("node_id"))
+    top = moved.select("repo_id", "node_id", F.try_element_at("_chain", F.lit(-1)).alias("_to"))
+    kept = tree.join(gone, ["repo_id", "node_id"], "left_anti").join(top, ["repo_id", "node_id"], "left")
+    place = {c: F.when(F.col("_to").isNotNull(), F.col(f"_to.{c}")).otherwise(F.col(c)) for c in ("parent_id", "depth", "ord")}
+    return kept.select("repo_id", "node_id", *[v.alias(k) for k, v in place.items()], "slug", "title").select(*_COLUMNS)
 
 
 def rewrite_nav_slugs(nav: DataFrame, replacements: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from docloom.functions import urls as U
 from docloom.operators import corpus, joins, ordering, predicates, rollups
 from docloom.plans import duck as D
 from docloom.plans.catalog import register
-from docloom.plans.inputs import cte, derive, table
+from docloom.plans.inputs import computed, cte, derive, table
 from docloom.sources.corpus import landed_bodies
 from docloom.sources.revisions import artifact_rows
 
@@ -369,27 +369,21 @@ def link_index(spark, sf):
     return corpus.link_index(table(spark, sf, "pages"), adjacent=F.lit(True))
 
 
+_LABEL = "array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace({x}, '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: CASE WHEN lower(w) IN {a} THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END), ' ')"
+_TOPIC = _LABEL.format(x="p", a=D.strings(rules.TOPIC_ACRONYMS))
+_SEG = f"list_filter({D.segments(D.path('url'))}, lambda s: NOT {D.hit('s', rules.TOPIC_SKIPPED_SEGMENT)} AND NOT {D.hit('s', rules.TOPIC_VERSION_SEGMENT)} AND {D.hit('s', rules.TOPIC_SEGMENT)})[1]"
+_USEFUL_TOPIC = f"length(label) BETWEEN 3 AND 80 AND NOT contains(label, '/') AND NOT {D.any_hit('label', [rules.TOPIC_BLOG, rules.TOPIC_CHROME, rules.TOPIC_TOO_GENERIC])}"
+
+
 @register(
     "topic_counts",
-    f"""WITH p AS (SELECT {D.registrable(D.host('url'))} AS repo_id,
-        list_distinct(list_transform(list_filter({D.segments(D.path('url'))}, lambda s: NOT {D.hit('s', rules.TOPIC_SKIPPED_SEGMENT)} AND NOT {D.hit('s', rules.TOPIC_VERSION_SEGMENT)}),
-          lambda s: upper(s[1]) || lower(s[2:]))) AS labels FROM pages)
-    SELECT repo_id, label, count(*) AS count FROM (SELECT repo_id, unnest(labels) AS label FROM p)
-    WHERE length(label) BETWEEN 3 AND 80 GROUP BY 1, 2 HAVING count(*) >= 2
-    QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, label) <= 40""",
+    f"""{cte('entries')}, p AS (SELECT repo_id, pos, unnest(list_append(string_split_regex(coalesce("group", ''), '\\s+/\\s+'), {_SEG})) AS p FROM entries),
+    l AS (SELECT DISTINCT repo_id, pos, {_TOPIC} AS label FROM p WHERE p IS NOT NULL)
+    SELECT repo_id, label, count(*) AS count FROM l WHERE {_USEFUL_TOPIC} GROUP BY 1, 2 HAVING count(*) >= 3
+    QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, label) <= 12""",
 )
 def topic_counts(spark, sf):
-    """Sections of each crawled site, from address segments taken as group parts."""
-    segs = F.filter(
-        U.segments(U.path(F.col("url"))),
-        lambda s: ~s.rlike(rules.TOPIC_SKIPPED_SEGMENT) & ~s.rlike(rules.TOPIC_VERSION_SEGMENT),
-    )
-    entries = table(spark, sf, "pages").select(
-        U.registrable_host(U.host(F.col("url"))).alias("repo_id"),
-        F.array_join(segs, " / ").alias("group"),
-        F.lit("https://none/").alias("url"),
-    )
-    return rollups.topic_counts(entries, 2, 40, "topic")
+    return rollups.topic_counts(derive(spark, sf, "entries"), 3, 12, "topic")
 
 
 @register(
@@ -456,7 +450,7 @@ def draft_markdown_sql() -> str:
     f"SELECT doc_id, {_metrics_sql('text')} FROM (SELECT doc_id, {draft_markdown_sql()} AS text FROM documents)",
 )
 def text_metrics(spark, sf):
-    docs = table(spark, sf, "documents").selectExpr("doc_id", f"{draft_markdown_sql()} AS text")
+    docs = computed(table(spark, sf, "documents"), f"doc_id, {draft_markdown_sql()} AS text")
     metrics = corpus.text_metrics(docs).drop("text")
     return metrics.select(
         "doc_id", *[F.col(c).cast("bigint").alias(c) for c in metrics.columns if c != "doc_id"]

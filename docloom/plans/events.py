@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions.ids import micros
 from docloom.operators import joins, ordering, rollups
 from docloom.plans.catalog import register
-from docloom.plans.inputs import cte, derive, table
+from docloom.plans.inputs import computed, cte, derive, table
 from docloom.streaming import batch, jobs
 
 _HOUR = 3_600_000_000
@@ -136,9 +136,7 @@ _SESSION_EVENTS = """CAST(user_id AS STRING) AS session_id, event_id AS seq, ts,
 
 
 def _session_events(df):
-    from docloom.plans.inputs import _split
-
-    flat = df.selectExpr(*_split(_SESSION_EVENTS))
+    flat = computed(df, _SESSION_EVENTS)
     data = F.struct(
         "message",
         F.col("so_far").alias("messageSoFar"),

@@ -8,6 +8,7 @@ documents, an attempt or a job event is an event.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,12 +165,18 @@ def cte(*names: str) -> str:
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named input as a DataFrame."""
+    """The named input as a DataFrame, each derived value computed once like a stored column."""
     if name not in SQL:
         return table(spark, sf_dir, name)
     source, columns = SQL[name]
     view = derive(spark, sf_dir, source)
-    return view.selectExpr(*_split(columns.replace('"group"', "`group`")))
+    return computed(view, columns)
+
+
+def computed(df: DataFrame, columns: str) -> DataFrame:
+    """A select list evaluated into columns that later filters refer to and do not repeat."""
+    row = F.struct(*[F.expr(c) for c in _split(columns.replace('"group"', "`group`"))])
+    return df.select(F.inline(F.array(row)))
 
 
 def _split(columns: str) -> list[str]:

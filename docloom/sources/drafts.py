@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas
+from docloom.functions.binding import stage
 from docloom.functions.ids import positive
 
 
@@ -37,9 +38,10 @@ def parse_drafts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     Markdown may come as lines; missing arrays are empty; line numbers that are not positive are null.
     """
     wrapped = f"struct<pages:array<{schemas.DRAFT_JSON}>>"
-    parsed = raw.withColumn("_json", json_text(F.col("raw"))).withColumn(
-        "_pages",
-        F.when(
+    found = stage(raw, _json=json_text(F.col("raw")))
+    parsed = stage(
+        found,
+        _pages=F.when(
             F.col("_json").startswith("["), F.from_json("_json", f"array<{schemas.DRAFT_JSON}>")
         ).otherwise(F.from_json("_json", wrapped).getField("pages")),
     )
@@ -75,9 +77,10 @@ def parse_drafts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
             & F.forall(p["citations"], lambda c: filled(c["path"]))
         )
 
-    judged = parsed.withColumn("_pages", F.transform("_pages", clean)).withColumn(
-        "_ok",
-        F.coalesce((F.size("_pages") > 0) & F.forall("_pages", valid), F.lit(False)),
+    cleaned = stage(parsed, _pages=F.transform("_pages", clean))
+    judged = stage(
+        cleaned,
+        _ok=F.coalesce((F.size("_pages") > 0) & F.forall("_pages", valid), F.lit(False)),
     )
     keep = [c for c in raw.columns if c != "raw"]
     drafts = judged.filter("_ok").select(*keep, F.posexplode("_pages").alias("pos", "_p"))
