@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.functions.binding import let, stage
 from docloom.operators.ordering import (
     balanced_sample,
     first_wins,
@@ -24,6 +25,7 @@ from docloom.operators.ordering import (
     page_slugs,
     top_per_group,
 )
+from docloom.session import materialized
 from docloom.operators.predicates import (
     classify_entries,
     is_generic_entry_title,
@@ -97,37 +99,33 @@ def section_topic(page_slug: Column, title: Column) -> Column:
 def _entry_features(entries: DataFrame) -> DataFrame:
     url = F.col("url")
     group = F.coalesce("group", F.lit(""))
-    return entries.select(
-        "repo_id",
-        F.col("pos").alias("entry_pos"),
-        F.col("url").alias("entry_url"),
-        T.slug(F.col("title")).alias("e_title"),
-        is_generic_title(F.col("title")).alias("e_generic"),
-        U.entry_slug(url).alias("e_slug"),
-        U.namespace(url).alias("e_ns"),
-        F.slice(
-            F.filter(
-                F.split(T.slug(group), "-"),
-                lambda w: (F.length(w) >= 4) & ~w.isin(rules.GENERIC_MATCH_WORDS),
-            ),
-            1,
-            8,
-        ).alias("e_words"),
-        T.slug(F.concat_ws(" ", group, F.col("title"), url)).alias("e_text"),
-    )
+    words = F.filter(
+        F.split(T.slug(group), "-"),
+        lambda w: (F.length(w) >= 4) & ~w.isin(rules.GENERIC_MATCH_WORDS),
+    )
+    return stage(
+        entries.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url"),
+        entry_url=url,
+        e_title=T.slug(F.col("title")),
+        e_generic=is_generic_title(F.col("title")),
+        e_slug=U.entry_slug(url),
+        e_ns=U.namespace(url),
+        e_words=F.slice(words, 1, 8),
+        e_text=T.slug(F.concat_ws(" ", group, F.col("title"), url)),
+    ).drop("group", "title", "url")
 
 
 def _page_features(outline: DataFrame) -> DataFrame:
-    s, t = T.slug(F.col("slug")), T.slug(F.col("title"))
-    p = T.slug(F.coalesce("purpose", F.lit("")))
-    return outline.select(
-        "repo_id",
-        F.col("pos").alias("page_pos"),
-        s.alias("p_slug"),
-        t.alias("p_title"),
-        p.alias("p_purpose"),
-        F.concat_ws(" ", s, t, p).alias("p_text"),
-        section_topic(s, t).alias("p_topic"),
+    slugs = stage(
+        outline.select("repo_id", F.col("pos").alias("page_pos"), "slug", "title", "purpose"),
+        p_slug=T.slug(F.col("slug")),
+        p_title=T.slug(F.col("title")),
+        p_purpose=T.slug(F.coalesce("purpose", F.lit(""))),
+    ).drop("slug", "title", "purpose")
+    return stage(
+        slugs,
+        p_text=F.concat_ws(" ", "p_slug", "p_title", "p_purpose"),
+        p_topic=section_topic(F.col("p_slug"), F.col("p_title")),
     ).filter(~((F.col("p_slug") == "overview") & F.col("p_title").contains("overview")))
 
 
@@ -213,10 +211,10 @@ def match_entries(outline: DataFrame, entries: DataFrame) -> DataFrame:
         "repo_id", "page_pos", "entry_pos"
     )
     pairs = by_signal.unionByName(by_words).distinct()
+    joined = pairs.join(p, ["repo_id", "page_pos"]).join(e, ["repo_id", "entry_pos"])
     scored = (
-        pairs.join(p, ["repo_id", "page_pos"])
-        .join(e, ["repo_id", "entry_pos"])
-        .select("repo_id", "page_pos", "entry_pos", "entry_url", _entry_score().alias("score"))
+        stage(joined, score=_entry_score())
+        .select("repo_id", "page_pos", "entry_pos", "entry_url", "score")
         .filter(F.col("score") >= MATCH_THRESHOLD)
     )
     best = top_per_group(
@@ -297,15 +295,19 @@ def _bit(mask: str, i: int) -> Column:
 
 
 def _surface(entry_mask: Column, path_mask: Column, is_docs_dir: Column) -> Column:
-    shared = entry_mask.bitwiseAND(path_mask)
-    total = reduce(
-        lambda a, b: a + b,
-        [
-            F.when(shared.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, w).otherwise(0)
-            for i, (_, _, w) in enumerate(rules.SURFACE_RULES)
-        ],
+    def total(shared: Column) -> Column:
+        return reduce(
+            lambda a, b: a + b,
+            [
+                F.when(shared.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, w).otherwise(0)
+                for i, (_, _, w) in enumerate(rules.SURFACE_RULES)
+            ],
+        )
+
+    bonus = F.when(is_docs_dir, rules.SURFACE_DOCS_BONUS).otherwise(0)
+    return let(
+        let(entry_mask.bitwiseAND(path_mask), total), lambda t: t + F.when(t > 0, bonus).otherwise(0)
     )
-    return total + F.when((total > 0) & is_docs_dir, rules.SURFACE_DOCS_BONUS).otherwise(0)
 
 
 def _class_parts() -> tuple[Column, Column]:
@@ -356,35 +358,35 @@ MAX_DOCS_SOURCES = 3
 
 def _source_features(files: DataFrame) -> DataFrame:
     path = F.col("path")
-    words = T.camel_words(path)
-    return files.select(
-        "repo_id",
-        "path",
-        F.array_distinct(words).alias("f_words"),
-        F.lower("path").alias("text"),
-        U.comparable_path_segments(path).alias("f_segs"),
-        _bits(_path_flags(path)).alias("f_flags"),
-        _bits([_has_any(words, present.split()) for _, present, _ in rules.SURFACE_RULES]).alias(
-            "f_surface"
+    worded = stage(
+        files.select("repo_id", "path").distinct(), f_words=F.array_distinct(T.camel_words(path))
+    )
+    return stage(
+        worded,
+        text=F.lower("path"),
+        f_segs=U.comparable_path_segments(path),
+        f_flags=_bits(_path_flags(path)),
+        f_surface=_bits(
+            [_has_any(F.col("f_words"), present.split()) for _, present, _ in rules.SURFACE_RULES]
         ),
-        path.rlike("(?i)^docs?/").alias("f_docs_dir"),
-        weighted(path, rules.PATH_BOOSTS).alias("f_own"),
-    ).dropDuplicates(["repo_id", "path"])
+        f_docs_dir=path.rlike("(?i)^docs?/"),
+        f_own=weighted(path, rules.PATH_BOOSTS),
+    )
 
 
 def _wanted_features(entries: DataFrame, repos: DataFrame) -> DataFrame:
     joined = entries.join(repos.select("repo_id", F.col("name").alias("_repo")), "repo_id")
     text = F.concat_ws(" ", F.coalesce("group", F.lit("")), "title", "url")
-    terms = joined.withColumn("e_terms", entry_terms(text, F.col("title"), F.col("_repo")))
-    segs = terms.withColumn("e_segs", U.comparable_url_segments(F.col("url")))
+    named = stage(
+        joined.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url", "_repo"),
+        e_terms=entry_terms(text, F.col("title"), F.col("_repo")),
+        e_segs=U.comparable_url_segments(F.col("url")),
+    )
     t = F.col("e_terms")
-    return segs.select(
-        "repo_id",
-        F.col("pos").alias("entry_pos"),
-        "e_terms",
-        "e_segs",
-        _bits(_term_flags(t, F.size("e_segs") > 0)).alias("e_flags"),
-        _bits([_asked(t, asked) for asked, _, _ in rules.SURFACE_RULES]).alias("e_surface"),
+    return stage(
+        named.select("repo_id", "entry_pos", "e_terms", "e_segs"),
+        e_flags=_bits(_term_flags(t, F.size("e_segs") > 0)),
+        e_surface=_bits([_asked(t, asked) for asked, _, _ in rules.SURFACE_RULES]),
     )
 
 
@@ -405,7 +407,9 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
     Pairs without a shared term or address leaf score by class only. They are covered by the best six
     files of each (entry class, file class), so the full entry x file product never exists.
     """
-    e, f = _wanted_features(entries, repos), _source_features(files)
+    # Both sides feed several blocked joins: their features are computed once.
+    e = materialized(_wanted_features(entries, repos), "wanted")
+    f = materialized(_source_features(files), "sources")
     f_class = ["f_flags", "f_surface", "f_docs_dir"]
     e_class = ["e_flags", "e_surface"]
     order = [F.col("f_own").desc(), "path"]
@@ -414,12 +418,11 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
         f.select("repo_id", "path", "f_own", *f_class), ["repo_id", *f_class], order, MAX_SOURCE_PATHS
     )
     base, rest = _class_parts()
+    classes = e.select("repo_id", *e_class).distinct().join(class_top, "repo_id")
     by_class = (
-        e.select("repo_id", *e_class)
-        .distinct()
-        .join(class_top, "repo_id")
-        .filter(base != 0)
-        .withColumn("_score", base + rest + F.col("f_own"))
+        stage(classes, _base=base, _rest=rest)
+        .filter("_base <> 0")
+        .withColumn("_score", F.col("_base") + F.col("_rest") + F.col("f_own"))
     )
     class_best = top_per_group(
         by_class, ["repo_id", *e_class], [F.col("_score").desc(), "path"], MAX_SOURCE_PATHS
@@ -470,16 +473,16 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
     detail = gains.join(e.select("repo_id", "entry_pos", *e_class), ["repo_id", "entry_pos"]).join(
         f.select("repo_id", "path", "f_own", *f_class), ["repo_id", "path"]
     )
-    total_base = base + F.col("gain") + F.col("docs")
-    docs_score = F.col("docs") + F.when(_bit("f_flags", 0) & _bit("e_flags", 0), 24).otherwise(0)
+    docs_bonus = F.when(_bit("f_flags", 0) & _bit("e_flags", 0), 24).otherwise(0)
+    measured = stage(detail, _base=base + F.col("gain") + F.col("docs"), _rest=rest, _bonus=docs_bonus)
     scored = (
-        detail.filter(total_base != 0)
+        measured.filter("_base <> 0")
         .select(
             "repo_id",
             "entry_pos",
             "path",
-            (total_base + rest + F.col("f_own")).cast("int").alias("score"),
-            docs_score.cast("int").alias("docs_score"),
+            (F.col("_base") + F.col("_rest") + F.col("f_own")).cast("int").alias("score"),
+            (F.col("docs") + F.col("_bonus")).cast("int").alias("docs_score"),
         )
         .filter(F.col("score") >= SOURCE_THRESHOLD)
     )
@@ -611,33 +614,25 @@ def select_snippets(
     Scoring is by containment of page words in entry text (three letters at least), so pairs meet on
     grams. The greedy choice needs the best four titles per word and four to fill, 36 rows at most.
     """
-    p = outline.select(
-        "repo_id",
-        F.col("pos").alias("page_pos"),
-        T.compact(F.col("title")).alias("pt"),
-        T.compact(F.col("slug")).alias("ps"),
-        T.title_words(F.col("title")).alias("words"),
-        T.title_concepts(F.col("title")).alias("concepts"),
-        T.page_keywords(F.col("title"), F.col("slug"), F.coalesce("purpose", F.lit(""))).alias(
-            "keywords"
-        ),
-        T.plain_words(F.concat_ws(" ", "title", "slug")).alias("page_tokens"),
-        F.concat_ws(" ", "title", "slug").rlike(rules.REFERENCE_PAGE_TEXT).alias("reference_like"),
-        F.concat_ws(" ", "slug", "title", F.coalesce("purpose", F.lit("")))
-        .rlike(rules.START_PAGE_TEXT)
-        .alias("is_start"),
-    )
-    e = entries.select(
-        "repo_id",
-        F.col("pos").alias("entry_pos"),
-        "group",
-        "title",
-        "url",
-        T.compact(F.col("title")).alias("t"),
-        T.compact(F.coalesce("group", F.lit(""))).alias("g"),
-        T.compact(F.col("url")).alias("u"),
-        F.array_distinct(T.plain_words(F.col("title"))).alias("tokens"),
-        F.array_distinct(T.plain_words(F.concat_ws(" ", "title", "url"))).alias("all_tokens"),
+    purpose = F.coalesce("purpose", F.lit(""))
+    p = stage(
+        outline.select("repo_id", F.col("pos").alias("page_pos"), "slug", "title", "purpose"),
+        pt=T.compact(F.col("title")),
+        ps=T.compact(F.col("slug")),
+        words=T.title_words(F.col("title")),
+        concepts=T.title_concepts(F.col("title")),
+        keywords=T.page_keywords(F.col("title"), F.col("slug"), purpose),
+        page_tokens=T.plain_words(F.concat_ws(" ", "title", "slug")),
+        reference_like=F.concat_ws(" ", "title", "slug").rlike(rules.REFERENCE_PAGE_TEXT),
+        is_start=F.concat_ws(" ", F.col("slug"), F.col("title"), purpose).rlike(rules.START_PAGE_TEXT),
+    ).drop("slug", "title", "purpose")
+    e = stage(
+        entries.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url"),
+        t=T.compact(F.col("title")),
+        g=T.compact(F.coalesce("group", F.lit(""))),
+        u=T.compact(F.col("url")),
+        tokens=F.array_distinct(T.plain_words(F.col("title"))),
+        all_tokens=F.array_distinct(T.plain_words(F.concat_ws(" ", "title", "url"))),
     )
     # Everything that can be a direct signal is contained in the joined entry text.
     signal = F.array_distinct(
@@ -654,12 +649,8 @@ def select_snippets(
         "repo_id", "page_pos", "entry_pos"
     ).distinct()
     ids = ["repo_id", "page_pos"]
-    scored = (
-        pairs.join(p, ids)
-        .join(e, ["repo_id", "entry_pos"])
-        .withColumn("score", _snippet_score())
-        .filter(F.col("score") > 0)
-    )
+    joined = pairs.join(p, ids).join(e, ["repo_id", "entry_pos"])
+    scored = materialized(stage(joined, score=_snippet_score()).filter(F.col("score") > 0), "scored")
     best = [F.col("score").desc(), "entry_pos"]
     pool = scored.select(*ids, "entry_pos", "url", "t", "score", "concepts", "all_tokens")
     by_word = pool.select(
@@ -807,25 +798,27 @@ def context_texts(chosen: DataFrame, files: DataFrame, max_chars: int = rules.MA
 
 def topic_key(title: Column, url: Column) -> Column:
     """Key under which entries are one topic: namespaced generic title, title, or address slug."""
-    t, ns, s = T.slug(title), U.namespace(url), U.entry_slug(url)
-    generic = is_generic_title(title)
-    return (
-        F.when(ns.isNotNull() & generic, F.concat_ws(":", F.lit("namespaced"), ns, t))
-        .when((t != "") & ~generic, F.concat(F.lit("title:"), t))
-        .when(s.isNotNull(), F.concat(F.lit("url:"), s))
-        .otherwise(F.concat(F.lit("url:"), T.slug(url)))
-    )
+    t, generic = T.slug(title), is_generic_title(title)
 
+    def by_namespace(ns: Column) -> Column:
+        return F.when(ns.isNotNull() & generic, F.concat_ws(":", F.lit("namespaced"), ns, t))
 
-def _with_namespace(parts: Column, ns: Column, title: Column) -> Column:
-    first = F.get(parts, F.lit(0))
-    swapped = F.concat(F.array(ns), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))))
-    return (
-        F.when(ns.isNull() | ~is_generic_title(title), parts)
-        .when((first == "react") & ns.startswith("react-"), swapped)
-        .when(~F.array_contains(parts, ns), F.concat(F.array(ns), parts))
-        .otherwise(parts)
-    )
+    by_title = F.when((t != "") & ~generic, F.concat(F.lit("title:"), t))
+    by_url = F.concat(F.lit("url:"), F.coalesce(U.entry_slug(url), T.slug(url)))
+    return F.coalesce(let(U.namespace(url), by_namespace), by_title, by_url)
+
+
+def _with_namespace(parts: Column, ns: Column, generic: Column) -> Column:
+    def placed(p: Column) -> Column:
+        rest = F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0)))
+        return (
+            F.when(ns.isNull() | ~generic, p)
+            .when((F.get(p, F.lit(0)) == "react") & ns.startswith("react-"), F.concat(F.array(ns), rest))
+            .when(~F.array_contains(p, ns), F.concat(F.array(ns), p))
+            .otherwise(p)
+        )
+
+    return let(parts, placed)
 
 
 def _group_slugs(group: Column) -> Column:
@@ -843,43 +836,53 @@ def nav_parts(group: Column, title: Column, url: Column) -> Column:
     named = F.slice(
         F.filter(_group_slugs(group), lambda s: ~s.rlike("^(docs?|documentation)$")), 1, 3
     )
-    own = folders(_with_namespace(named, U.namespace(url), title))
     segs = F.filter(
-        F.filter(F.split(U.path(url), "/"), lambda s: s != ""),
-        lambda s: ~s.rlike(rules.TOPIC_SKIPPED_SEGMENT) & ~s.rlike(rules.TOPIC_VERSION_SEGMENT),
+        F.split(U.path(url), "/"),
+        lambda s: (s != "") & ~s.rlike(rules.TOPIC_SKIPPED_SEGMENT) & ~s.rlike(rules.TOPIC_VERSION_SEGMENT),
     )
-    derived = folders(F.slice(segs, 1, 2))
-    return (
-        F.when(F.size(own) > 0, own)
-        .when(U.is_http(url) & (F.size(derived) > 0), derived)
-        .otherwise(F.array(F.lit("Official Docs")))
+    derived = F.when(U.is_http(url), folders(F.slice(segs, 1, 2)))
+    default = F.array(F.lit("Official Docs"))
+
+    def filled(parts: Column, other: Column) -> Column:
+        return let(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(other))
+
+    own = let(
+        U.namespace(url), lambda ns: folders(_with_namespace(named, ns, is_generic_title(title)))
     )
+    return filled(own, filled(derived, default))
 
 
 def entry_page_slug(group: Column, title: Column, url: Column) -> Column:
     """Slug a page made from the entry starts from: group tail and title without repeats."""
-    all_parts = _group_slugs(group)
-    tail = F.slice(all_parts, F.greatest(F.size(all_parts) - 1, F.lit(1)), F.lit(2))
-    parts = _with_namespace(tail, U.namespace(url), title)
-    t = T.slug(title)
-    last = F.get(parts, F.size(parts) - 1)
-    kept = (
-        F.when((t != "") & (last == t), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))))
-        .when((t != "") & ~is_generic_title(title) & F.array_contains(parts, t), _empty())
-        .otherwise(parts)
-    )
-    base = T.slug(F.array_join(F.concat(kept, F.array(t)), "-"))
-    return F.when(base == "", F.lit("official-docs-page")).otherwise(base)
-
-
-def simpler_slug_options(current: Column, title: Column, url: Column) -> Column:
-    """Slugs to try instead of one that repeats its title or address slug; empty when it does not."""
-    t, s, ns = T.slug(title), U.entry_slug(url), U.namespace(url)
+
+    def tail(parts: Column) -> Column:
+        return F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2))
+
+    def kept(parts: Column) -> Column:
+        t = T.slug(title)
+        but_last = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+        return (
+            F.when((t != "") & (U.last_segment(parts) == t), but_last)
+            .when((t != "") & ~is_generic_title(title) & F.array_contains(parts, t), _empty())
+            .otherwise(parts)
+        )
+
+    placed = let(
+        U.namespace(url),
+        lambda ns: _with_namespace(let(_group_slugs(group), tail), ns, is_generic_title(title)),
+    )
+    joined = F.array_join(F.concat(let(placed, kept), F.array(T.slug(title))), "-")
+    return F.regexp_replace(T.slug(joined), "^$", "official-docs-page")
+
+
+def simpler_slug_options(current: Column, t: Column, s: Column, ns: Column, generic: Column) -> Column:
+    """Slugs to try instead of one that repeats its title slug ``t`` or address slug ``s``; empty when
+    it does not."""
     twice_t = F.concat_ws("-", t, t)
     twice_s = F.concat_ws("-", s, s)
     rep_t = (t != "") & F.contains(current, twice_t)
     rep_s = F.coalesce(F.contains(current, twice_s) & s.isNotNull(), F.lit(False))
-    generic = is_generic_title(title) & ns.isNotNull() & (t != "")
+    generic = generic & ns.isNotNull() & (t != "")
     ns_tail = U.last_segment(F.split(ns, "-"))
     cut = F.substr(t, F.length(ns_tail) + 2)
     options = F.array(
@@ -907,9 +910,15 @@ def group_qualifier(group: Column) -> Column:
 
 def title_qualifier(group: Column, url: Column) -> Column:
     """What a generic title is about: its namespace, else the last telling group part."""
-    ns, g = U.namespace(url), group_qualifier(group)
-    named = T.nav_title(F.regexp_replace(ns, "[-_]+", " "))
-    return F.when(ns == "react", F.coalesce(g, F.lit("React"))).when(ns.isNotNull(), named).otherwise(g)
+
+    def qualifier(ns: Column) -> Column:
+        named = T.nav_title(F.regexp_replace(ns, "[-_]+", " "))
+        g = group_qualifier(group)
+        return (
+            F.when(ns == "react", F.coalesce(g, F.lit("React"))).when(ns.isNotNull(), named).otherwise(g)
+        )
+
+    return let(U.namespace(url), qualifier)
 
 
 def normalize_outline(outline: DataFrame, entries: DataFrame) -> DataFrame:
@@ -918,26 +927,36 @@ def normalize_outline(outline: DataFrame, entries: DataFrame) -> DataFrame:
     Adds new_slug and new_title. A simpler slug is only taken when no other page of the repository has
     it; two pages after the same one are settled by position.
     """
-    matched = match_entries(outline, entries).select("repo_id", "pos", "entry_pos")
+    matched = materialized(match_entries(outline, entries), "matched").select(
+        "repo_id", "pos", "entry_pos"
+    )
     named = entries.select(
         "repo_id", F.col("pos").alias("entry_pos"), F.col("group").alias("_group"), F.col("title").alias("_title"), F.col("url").alias("_url")
     )
     joined = outline.join(matched, ["repo_id", "pos"], "left").join(
         named, ["repo_id", "entry_pos"], "left"
     )
-    current = T.slug(F.col("slug"))
     g, t, u = F.col("_group"), F.col("_title"), F.col("_url")
-    ns = U.namespace(u)
-    generic = is_generic_title(F.col("title"))
+    current, ns = F.col("_current"), F.col("_ns")
+    joined = stage(
+        joined,
+        _current=T.slug(F.col("slug")),
+        _ns=U.namespace(u),
+        _slug=U.entry_slug(u),
+        _qualifier=title_qualifier(g, u),
+        _page_slug=entry_page_slug(g, t, u),
+        _generic=is_generic_title(F.col("title")),
+    )
     title = F.when(
-        F.col("entry_pos").isNotNull() & generic, T.qualified_title(F.col("title"), title_qualifier(g, u))
+        F.col("entry_pos").isNotNull() & F.col("_generic"),
+        T.qualified_title(F.col("title"), F.col("_qualifier")),
     ).otherwise(F.col("title"))
     foreign = F.coalesce((ns != "react") & ~F.contains(current, ns), F.lit(False))
-    options = F.when(foreign, F.array(entry_page_slug(g, t, u))).otherwise(
-        simpler_slug_options(current, t, u)
+    options = F.when(foreign, F.array("_page_slug")).otherwise(
+        simpler_slug_options(current, T.slug(t), F.col("_slug"), ns, is_generic_title(t))
     )
-    wishes = joined.select(
-        "repo_id", "pos", current.alias("_current"), F.coalesce(options, _empty()).alias("_options")
+    wishes = stage(joined, _options=F.coalesce(options, _empty())).select(
+        "repo_id", "pos", "_current", "_options"
     )
     taken = wishes.select("repo_id", F.col("_current").alias("_wish")).distinct()
     tried = wishes.select("repo_id", "pos", "_current", F.posexplode("_options").alias("_at", "_wish"))
@@ -970,12 +989,14 @@ def outline_candidates(entries: DataFrame) -> DataFrame:
         + F.when(F.col("is_low_level"), p["low_level"]).otherwise(0)
         + F.when(F.col("is_narrow_member"), p["narrow_member"]).otherwise(0)
     )
-    scored = (
-        classify_entries(entries)
-        .withColumn("parts", nav_parts(F.col("group"), F.col("title"), F.col("url")))
-        .withColumn("topic_key", topic_key(F.col("title"), F.col("url")))
-        .withColumn("score", score.cast("int"))
+    g, t, u = F.col("group"), F.col("title"), F.col("url")
+    keyed = stage(
+        classify_entries(entries),
+        parts=nav_parts(g, t, u),
+        topic_key=topic_key(t, u),
+        base_slug=entry_page_slug(g, t, u),
     )
+    scored = stage(keyed, score=score.cast("int"))
     first_seen = scored.groupBy("repo_id", "topic_key").agg(F.min("pos").alias("topic_pos"))
     best = first_wins(scored, ["repo_id", "topic_key"], [F.col("score").desc(), "pos"])
     return best.join(first_seen, ["repo_id", "topic_key"])
@@ -987,11 +1008,11 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
     ``targets``: repo_id and target_pages (52 at most). Topics that the outline covers already are left
     out; the rest are taken evenly over folders, best entries first.
     """
-    best = match_entries(outline, entries)
+    best = materialized(match_entries(outline, entries), "matched")
     titles = entries.select("repo_id", F.col("pos").alias("entry_pos"), "title", "url")
-    covered = best.join(titles, ["repo_id", "entry_pos"]).select(
-        "repo_id", topic_key(F.col("title"), F.col("url")).alias("topic_key")
-    )
+    covered = stage(
+        best.join(titles, ["repo_id", "entry_pos"]), topic_key=topic_key(F.col("title"), F.col("url"))
+    ).select("repo_id", "topic_key")
     unmatched = outline.join(best.select("repo_id", "pos"), ["repo_id", "pos"], "left_anti").select(
         "repo_id", T.slug(F.col("title")).alias("_t")
     ).filter("_t <> ''").select("repo_id", F.concat(F.lit("title:"), F.col("_t")).alias("topic_key"))
@@ -1002,8 +1023,9 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
         "repo_id",
         (F.col("target_pages") - F.coalesce("_have", F.lit(0))).alias("needed"),
     ).filter("needed > 0")
-    wanted = fresh.join(need, "repo_id").withColumn("folder", F.array_join("parts", " / "))
-    base = entry_page_slug(F.col("group"), F.col("title"), F.col("url"))
+    wanted = materialized(
+        fresh.join(need, "repo_id").withColumn("folder", F.array_join("parts", " / ")), "candidates"
+    )
     # Slugs in use come first in order, so they are never changed.
     used = (
         outline.select("repo_id", T.slug(F.col("slug")).alias("_base"))
@@ -1011,11 +1033,12 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
         .groupBy("repo_id", "_base")
         .agg(F.lit(-1).cast("bigint").alias("_order"))
     )
-    named = wanted.select("repo_id", base.alias("_base"), F.col("topic_pos").cast("bigint").alias("_order"))
-    slugs = page_slugs(named.unionByName(used), ["repo_id"], "_base", "_order", "slug").filter(
+    named = wanted.select("repo_id", F.col("base_slug").alias("_base"), F.col("topic_pos").cast("bigint").alias("_order"))
+    bases = materialized(named.unionByName(used), "slugs")
+    slugs = page_slugs(bases, ["repo_id"], "_base", "_order", "slug").filter(
         "_order >= 0"
     ).select("repo_id", F.col("_order").alias("topic_pos"), "slug")
-    rows = wanted.join(slugs, ["repo_id", "topic_pos"])
+    rows = materialized(wanted.join(slugs, ["repo_id", "topic_pos"]), "named")
     folder = F.col("folder")
     per_folder = rows.groupBy("repo_id", "folder").agg(
         F.count(F.lit(1)).alias("_n"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.binding import stage
 from docloom.operators.matching import match_entries, nav_parts
 from docloom.operators.predicates import any_match
 from docloom.schemas import NAV_DEPTH
@@ -181,11 +182,10 @@ def build_nav(outline: DataFrame, entries: DataFrame) -> DataFrame:
     ``Additional Topics``. Order follows the pages.
     """
     best = match_entries(outline, entries).select("repo_id", "pos", "entry_pos")
-    placed = entries.select(
-        "repo_id",
-        F.col("pos").alias("entry_pos"),
-        nav_parts(F.col("group"), F.col("title"), F.col("url")).alias("_parts"),
-    )
+    placed = stage(
+        entries.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url"),
+        _parts=nav_parts(F.col("group"), F.col("title"), F.col("url")),
+    ).select("repo_id", "entry_pos", "_parts")
     joined = outline.join(best, ["repo_id", "pos"], "left").join(placed, ["repo_id", "entry_pos"], "left")
     parts = (
         F.when(T.slug(F.col("slug")) == "overview", F.array(F.lit("Start Here")))

@@ -8,6 +8,7 @@ from docloom.functions.ids import micros
 from docloom.operators import joins, ordering, rollups
 from docloom.plans.catalog import register
 from docloom.plans.inputs import computed, cte, derive, table
+from docloom.session import scratch_dir
 from docloom.streaming import batch, jobs
 
 _HOUR = 3_600_000_000
@@ -375,7 +376,7 @@ def stream_pages(spark, sf):
     """Links, headings and texts of landed pages; counts the links kept per first copy."""
     landed = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
     pages = _file_stream(spark, sf, "pages").withColumn("landed_at", landed)
-    root = jobs.scratch_dir(spark, "pages")
+    root = scratch_dir(spark, "pages")
     jobs.stream_pages(pages, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     texts = spark.read.parquet(f"{root}/out/texts").select("page_id", "url")
     links = spark.read.parquet(f"{root}/out/links").groupBy("page_id").agg(

@@ -324,7 +324,7 @@ def build_nav(spark, sf):
 _GROUPS = [
     ("Start Here", [r"\bgetting started\b", r"\boverview\b", r"\binstallation\b"]),
     ("Server", [r"\bserver\b", r"\bedge\b", r"\bcaching\b", r"\brouting\b"]),
-    ("One Page", [r"\bvector search\b"]),
+    ("One Page", [r"\bvector search 31\b"]),
     ("Deployment and Reference", [r"\breference\b", r"\bcli\b", r"\bdeployment\b"]),
 ]
 _NAV_LABEL = f"replace({D.slug('slug')} || ' ' || {D.slug('title')}, '-', ' ')"
@@ -338,11 +338,7 @@ _NAV_LABEL = f"replace({D.slug('slug')} || ' ' || {D.slug('title')}, '-', ' ')"
 )
 def build_nav_by_rules(spark, sf):
     pages = outline(spark, sf).withColumn("slug", F.concat_ws("-", "slug", "pos"))
-    one = F.col("title") == "Vector Search"
-    pages = pages.withColumn("title", F.when(one, F.lit("Vectors")).otherwise(F.col("title")))
-    tree_rows = navtree.build_nav_by_rules(pages, _GROUPS)
-    restored = F.when(F.col("slug").isNotNull() & (F.col("title") == "Vectors"), F.lit("Vector Search"))
-    return tree_rows.withColumn("title", F.coalesce(restored, "title"))
+    return navtree.build_nav_by_rules(pages, _GROUPS)
 
 
 # -- quality ----------------------------------------------------------------------------------

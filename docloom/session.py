@@ -8,8 +8,9 @@ their own session; on a cluster the caller's settings (executors, shuffle partit
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +43,25 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``; a local temporary one only
+    where the session has none (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/docloom-{name}-{os.urandom(8).hex()}"
+    return tempfile.mkdtemp(prefix=f"docloom-{name}-")
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that several branches use and read it back.
+
+    Without this every branch would plan and compute it again. The table lives in the shared scratch
+    folder, so a lost executor costs nothing but its running tasks, and the read-back plan is a plain
+    scan with column pruning and size statistics.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark, name)}/table"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

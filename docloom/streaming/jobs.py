@@ -7,12 +7,10 @@ by watermarks, by retention, or by the number of open sessions, jobs and clients
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -20,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from docloom import rules
 from docloom.functions import urls as U
 from docloom.operators import corpus
+from docloom.session import scratch_dir
 from docloom.streaming.batch import ClientWindow, decide, paired_calls
 
 _FOLD = (
@@ -230,15 +229,6 @@ def stream_pages(
 # -- running a stream over landed files -------------------------------------------------------
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``; a local temporary one only
-    where the session has none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docloom-{name}-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix=f"docloom-{name}-")
-
-
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream to the end of its landed input and return what it wrote.
 
