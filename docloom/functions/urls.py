@@ -107,7 +107,7 @@ def _without_dot_segments(tail: Column) -> Column:
 
     p = F.regexp_extract(tail, "^([^?#]*)", 1)
     rest = F.regexp_replace(tail, "^[^?#]*", "")
-    folded = F.aggregate(F.slice(F.split(p, "/"), 2, 2147483647), F.array(F.lit("")), step)
+    folded = F.aggregate(F.slice(F.split(p, "/"), 2, 1000000), F.array(F.lit("")), step)
     closed = F.concat(
         F.array_join(folded, "/"), F.when(p.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
     )
