@@ -49,6 +49,7 @@ _LOC = r"(?i)<loc>\s*([^<]+?)\s*</loc>"
 _MD_LINK = r"\[([^\]\n]+)\]\(([^)]+)\)"
 _MD_LINK_COUNTED = r"\[[^\]\n]*\]\((?!#)[^)]+?\)"
 _MD_HEADING_COUNTED = r"#{2,6}\s+"
+_URL_LINE = r"(?i)^\s*URL:\s*(https?://\S+)"
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -394,7 +395,11 @@ def heading_groups(lines: DataFrame, keys: Sequence[str], pos: str = "line_no")
 
 def _document_lines(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     split = docs.select(*keys, F.posexplode(F.split(logical_text(F.col("text")), "\n")).alias("line_no", "line"))
-    lines = stage(split, line=F.regexp_replace("line", r"^\s+|\s+$", ""))
+    # Most lines are neither headings nor entries: drop them before anything is parsed.
+    telling = split.filter(
+        F.col("line").rlike(r"^\s*#{2,6}\s") | F.col("line").rlike(_MD_LINK) | F.col("line").rlike(_URL_LINE)
+    )
+    lines = stage(telling, line=F.regexp_replace("line", r"^\s+|\s+$", ""))
     pattern = r"^(#{2,6})\s+(.+)$"
     parsed = stage(
         lines,
@@ -417,7 +422,7 @@ def markdown_entries(docs: DataFrame, keys: Sequence[str] = ("repo_id", "source_
     Only heading lines and lines with a link go through the per-document window.
     """
     keys = list(keys)
-    explicit = r"(?i)^URL:\s*(https?://\S+)"
+    explicit = _URL_LINE
     has_entry = F.col("line").rlike(_MD_LINK) | F.col("line").rlike(explicit)
     lines = _document_lines(docs, keys).filter(F.col("level").isNotNull() | has_entry)
     grouped = heading_groups(lines, keys)
