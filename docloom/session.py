@@ -8,6 +8,7 @@ their own session; on a cluster the caller's settings (executors, shuffle partit
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,24 @@ def build_session(
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``; a local temporary one only
-    where the session has none (tests)."""
+    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``, removed when the session's JVM ends.
+
+    A session on one machine (``local[...]``) that names none gets a folder of that machine, which all its
+    tasks share. Anywhere else a missing setting is an error: executors would write to their own disks.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docloom-{name}-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix=f"docloom-{name}-")
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{os.path.abspath(tempfile.gettempdir())}"
+    path = f"{shared.rstrip('/')}/docloom-{name}-{os.urandom(8).hex()}"
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop_path)
+    fs.deleteOnExit(hadoop_path)
+    return path
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
