@@ -32,6 +32,18 @@ def small(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text hash (and columns ``more``: its column = theirs) are among ``keys``.
+
+    Nulls equal nulls. Texts move at most once, by id and hash, so no key gathers more than its own copies.
+    """
+    keys = keys.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_key", *more.values())]).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_doc_id")) & F.xxhash64(text_col).eqNullSafe(F.col("_text_key"))
+    for mine, theirs in more.items():
+        same = same & F.col(mine).eqNullSafe(F.col(f"_{theirs}"))
+    return docs.join(keys, same, "left_semi")
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): the smallest node that it can reach.
 

@@ -37,6 +37,8 @@ CUTOFFS = {
     "short_words": [6000, 5000, 4500, 4000, 3600, 3300, 3000, 2800, 2600, 2500, 2400, 2300],
 }
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
 def repeated_words(words: Column, k: int = 3) -> Column:
     """Words inside windows of ``k`` words that occur at least twice in the text, the first included."""
@@ -66,13 +68,14 @@ def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
         F.col(id_col).alias("doc_id"),
         F.col(stratum_col).alias("stratum"),
         text.alias("t"),
+        F.xxhash64(text_col).alias("text_key"),
         space_words(text).alias("w"),
         F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     counted = split.select(
         "doc_id",
         "stratum",
-        F.xxhash64("t").alias("text_key"),
+        "text_key",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         gone("[#*$%&|<>]").alias("n_symbols"),
@@ -224,7 +227,10 @@ def quality_rules(
     text_col: str = "text",
     stratum_col: str = "lang",
 ) -> DataFrame:
-    """The counts, the base verdict, the rules that reject and ``kept``, a row for each row of ``docs``."""
+    """The counts, the base verdict, the rules that reject and ``kept``, a row for each row of ``docs``.
+
+    ``text_key`` is a hash of the text; with the id and the stratum it leads back to the row.
+    """
     m = materialized(measured(docs, id_col, text_col, stratum_col), "quality-measures")
     used = materialized(certified_cutoffs(m, labels, rate, error, good_weight), "quality-cutoffs")
     wide = used.groupBy("stratum").agg(
@@ -237,11 +243,9 @@ def quality_rules(
     )
     return judged.select(
         "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
+        "text_key",
+        "stratum",
+        *COUNTS,
         "base_failed",
         (~F.col("base_failed") & (F.size(over) == 0)).alias("kept"),
         over.alias("rejected_by"),
@@ -326,4 +330,5 @@ PARAMS = {"rate": 0.05, "error": 0.05, "good_weight": 10.0}
 
 @register("op2_quality_rules", _sql(**PARAMS))
 def op2(spark, sf_dir):
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **PARAMS)
+    rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), **PARAMS)
+    return rows.select("doc_id", *COUNTS, "base_failed", "kept", "rejected_by")
