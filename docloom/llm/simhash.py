@@ -210,6 +210,7 @@ def simhash_groups(
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(lowest, "root").select("fp", F.col("component_id").alias("joined_id"))
     classes = reps.join(named, "fp", "left").select("fp", F.coalesce("joined_id", "first_id").alias("component_id"))
+    classes = materialized(classes, "simhash-classes")  # two plain inputs, so that AQE can split a hot fingerprint
     return rows.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
