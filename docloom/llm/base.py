@@ -32,6 +32,12 @@ def small(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def hash_sample(df: DataFrame, key: Column, wanted: int, n_rows: int) -> DataFrame:
+    """About ``wanted`` to twice as many rows, those with the smallest hashes of ``key``; a filter, so only they move."""
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
+    return df.where(part <= min(1.0, (1.5 * wanted + 50) / max(n_rows, 1)))
+
+
 def rows_of(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """The rows of ``docs`` whose id and text hash (and columns ``more``: its column = theirs) are among ``keys``.
 

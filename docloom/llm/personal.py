@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import space_words, table
+from docloom.llm.base import hash_sample, space_words, table
 from docloom.llm.registry import register
 
 BASE = ("email", "ip", "card", "phone")
@@ -348,8 +348,10 @@ def fitted(docs: DataFrame, sample: int = 256, examples: int = 4000, id_col: str
     """A model whose examples stand among the words of at most ``sample`` documents, 100 words of each."""
     w = space_words(F.col(text_col))
     at = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.size(w) - 100, F.lit(1))).cast("int") + 1
-    chosen = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(F.xxhash64(id_col), text_col).limit(sample)
-    rows = chosen.select(F.slice(w, at, 100).alias("w")).collect()  # ``sample`` rows of 100 words
+    known = docs.where(F.col(text_col).isNotNull())
+    some = hash_sample(known, F.col(id_col), sample, docs.select(id_col).count())
+    some = some.select(F.xxhash64(id_col, text_col).alias("h"), F.slice(w, at, 100).alias("w"))
+    rows = some.orderBy("h").limit(sample).collect()  # ``sample`` rows of 100 words
     return train([x for row in rows for x in row.w if x.isalpha()], examples)
 
 

@@ -8,7 +8,7 @@ too, so every pair meets in at least one shard. A shard searches its own rows by
 to small blocks compared exactly, and emits a spanning forest of its pairs. Components of these
 links are the groups: no pair is lost, and none is listed twice for a large group.
 
-The tree is fitted on a bounded sample of fingerprints (``max_sample``, taken by a hash order) that grows
+The tree is fitted on a bounded sample of fingerprints (about ``max_sample`` at most, taken by hash) that grows
 with the number of shards; every fingerprint is routed through it. A node passes about a fifth of its rows to both
 sides at ``bits`` = 2 and three tenths at 3; from 4 on a vantage-point tree prunes nothing in 64 bits.
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import components, table
+from docloom.llm.base import components, hash_sample, table
 from docloom.llm.registry import register
 from docloom.session import materialized
 
@@ -173,8 +173,8 @@ def fingerprint_links(reps: DataFrame, bits: int, shard_rows: int, max_sample: i
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / shard_rows))))
     depth = min(depth, int(np.log2(max_sample / 32)))
     wanted = 32 * 2**depth
-    sample = reps.orderBy(F.xxhash64("fp"), "fp").limit(wanted).toPandas()["fp"] if depth else []
-    points, radii = build_tree(np.asarray(sample, dtype=np.int64).view(np.uint64), depth, bits)
+    sample = [r.fp for r in hash_sample(reps.select("fp"), F.col("fp"), wanted, n).collect()] if depth else []
+    points, radii = build_tree(np.array(sorted(sample), dtype=np.int64).view(np.uint64), depth, bits)
 
     def to_shards(batches):
         for batch in batches:
