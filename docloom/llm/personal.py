@@ -46,7 +46,9 @@ NATIONAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 MAC = re.compile(r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])")
-IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*(?![0-9A-Za-z:])")
+IPV6 = re.compile(
+    r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"
+)
 MAIL_LIKE = re.compile(r"[A-Za-z0-9._+-]{2,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{2,64} ?(?:[\[(] ?dot ?[\])]|\.) ?[A-Za-z]{2,16}")
 DIGIT = re.compile(r"[0-9]")
 
@@ -298,7 +300,7 @@ def example(r: random.Random, positive: bool) -> tuple[str, str]:
                 lambda: (pick(["iban ", "account ", "", "bank "]), _iban(r)),
                 lambda: (pick(["mac ", "device ", "", "address "]), _write(r, pick(["xx:xx:xx:xx:xx:xx", "xx-xx-xx-xx-xx-xx"]))),
                 lambda: (pick(["host ", "ip ", "address ", ""]), _write(r, pick(["xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx:xxxx", "xxxx:xxxx::xxxx", "fe80::xxxx:xxxx"]))),
-                lambda: (pick(["mail ", "contact ", "write to ", ""]), _write(r, pick(["aaaaaa (at) aaaaaa (dot) com", "aaaa.aaaaa [at] aaaaaaa [dot] org", "aaaaa(at)aaaaaa.net"]))),
+                lambda: (pick(["mail ", "contact ", "write to ", ""]), pick(["{} (at) {} (dot) com", "{}.{} [at] {} [dot] org", "{}(at){}.net"]).format(*[_write(r, "a" * r.randint(4, 9)) for _ in range(3)])),
             ]
         )()
         return lead, span
