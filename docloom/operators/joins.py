@@ -649,5 +649,6 @@ def limit_candidates(candidates: DataFrame) -> DataFrame:
         is_primary_index(F.col("source_url")),
         cap=F.when(broad, 8).otherwise(rules.MAX_PER_ORIGIN),
         primary_cap=F.when(broad, 5).otherwise(rules.MAX_PRIMARY_PER_ORIGIN),
+        bound=rules.MAX_PER_ORIGIN,
         limit_keys=["repo_id"],
     )

@@ -602,6 +602,18 @@ def _supplement_score(pattern: str) -> Column:
 _PICK = "struct<url:string,key:string>"
 
 
+def _choosable(rows: DataFrame, keys: list[str], best: list, n: int) -> DataFrame:
+    """The rows of each list that a greedy choice of ``n``, no two alike in address or title, can reach.
+
+    A pick blocks one address and one title. A row below ``n`` others of its address with other titles can
+    not be chosen while one of those is free, as they are only blocked one title at a time; the same
+    holds for titles. Then every pick blocks at most 2n rows, so 2n * n rows are enough to find n.
+    """
+    once = top_per_group(rows, [*keys, "url", "t"], best, 1)
+    few = top_per_group(top_per_group(once, [*keys, "url"], best, n), [*keys, "t"], best, n)
+    return top_per_group(few, keys, best, 2 * n * n)
+
+
 def select_snippets(
     outline: DataFrame, entries: DataFrame, n: int = rules.MAX_SNIPPETS_PER_PAGE
 ) -> DataFrame:
@@ -612,7 +624,7 @@ def select_snippets(
     introduction, connection and tool entries. A page without any scored entry takes the first four.
 
     Scoring is by containment of page words in entry text (three letters at least), so pairs meet on
-    grams. The greedy choice needs the best four titles per word and four to fill, 36 rows at most.
+    grams. Before the greedy pass each list is cut to what it can still choose from (``_choosable``).
     """
     purpose = F.coalesce("purpose", F.lit(""))
     p = stage(
@@ -662,12 +674,8 @@ def select_snippets(
         F.posexplode("concepts").alias("word_no", "word"),
         "all_tokens",
     ).filter(F.array_contains("all_tokens", F.col("word"))).drop("all_tokens", "word")
-    cover = top_per_group(
-        top_per_group(by_word, [*ids, "word_no", "t"], best, 1), [*ids, "word_no"], best, n
-    )
-    fill = top_per_group(
-        top_per_group(pool.drop("concepts", "all_tokens"), [*ids, "t"], best, 1), ids, best, n
-    ).withColumn("word_no", F.lit(99))
+    cover = _choosable(by_word, [*ids, "word_no"], best, n)
+    fill = _choosable(pool.drop("concepts", "all_tokens"), ids, best, n).withColumn("word_no", F.lit(99))
     chosen = cover.select(*fill.columns).unionByName(fill)
     item = F.struct(
         F.col("word_no").alias("w"),
@@ -1057,7 +1065,7 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
         [F.col("score").desc(), "title", "url"],
         F.col("needed"),
         group_scores=per_folder.select("repo_id", "folder", score.alias("group_score")),
-        cap=rules.MAX_PAGES_SCHEMA,
+        bound=rules.MAX_PAGES_SCHEMA,
     )
     return taken.select(
         "repo_id", "take_order", "slug", "title", "url", "folder", "score", F.col("pos").alias("entry_pos")

@@ -13,6 +13,7 @@ from docloom.functions.binding import stage
 from docloom.operators.matching import match_entries, nav_parts
 from docloom.operators.predicates import any_match
 from docloom.schemas import NAV_DEPTH
+from docloom.session import materialized
 
 MAX_DEPTH = NAV_DEPTH
 _COLUMNS = ["repo_id", "node_id", "parent_id", "depth", "ord", "slug", "title"]
@@ -203,33 +204,36 @@ def build_nav_by_rules(
 ) -> DataFrame:
     """Sidebar from ordered rule groups: a page joins the first group whose patterns match its label.
 
-    A group with fewer than two pages gives them to the later groups, so groups are settled one after
-    the other: as many passes as groups, each one count per repository. What is left goes to
-    ``rest_into`` if that exists, else to ``rest``.
+    A group with fewer than two pages gives them to the later groups. Which groups stand is settled on the counts
+    of each pattern of hits, at most 2 to the number of groups a repository, and joined back once, so the
+    plan does not grow with the groups. What is left goes to ``rest_into`` if that stands, else to ``rest``.
     """
     label = F.replace(
         F.concat_ws(" ", T.slug(F.col("slug")), T.slug(F.col("title"))), F.lit("-"), F.lit(" ")
     )
-    flags: list[Column] = [any_match(label, patterns) for _, patterns in groups]
-    open_pages = outline.select("repo_id", "pos", "slug", "title", F.array(*flags).alias("_hits")).withColumn(
-        "_at", F.lit(None).cast("int")
-    )
-    for i in range(len(groups)):
-        free = F.col("_at").isNull() & F.get("_hits", F.lit(i))
-        enough = open_pages.groupBy("repo_id").agg(F.count_if(free).alias("_n"))
-        joined = open_pages.join(enough, "repo_id")
-        open_pages = joined.withColumn(
-            "_at", F.when(free & (F.col("_n") >= 2), F.lit(i)).otherwise(F.col("_at"))
-        ).drop("_n")
-    names = F.array(*[F.lit(name) for name, _ in groups])
+    hits = F.array(*[F.coalesce(any_match(label, patterns), F.lit(False)) for _, patterns in groups])
+    pages = materialized(outline.select("repo_id", "pos", "slug", "title", hits.alias("_hits")), "nav-hits")
+    masks = pages.groupBy("repo_id", "_hits").agg(F.count(F.lit(1)).alias("n"))
+    masks = masks.groupBy("repo_id").agg(F.collect_list(F.struct("_hits", "n")).alias("masks"))
+
+    def settle(standing: Column, i: Column) -> Column:
+        free = F.filter(
+            "masks",
+            lambda m: F.get(m["_hits"], i) & ~F.exists(standing, lambda j: F.get(m["_hits"], j)),
+        )
+        n = F.aggregate(free, F.lit(0).cast("long"), lambda a, m: a + m["n"])
+        return F.when(n >= 2, F.concat(standing, F.array(i))).otherwise(standing)
+
+    order = F.sequence(F.lit(0), F.lit(len(groups) - 1)) if groups else F.array().cast("array<int>")
+    standing = F.aggregate(order, F.array().cast("array<int>"), settle)
+    named = pages.join(masks.select("repo_id", standing.alias("_standing")), "repo_id")
+    at = F.get(F.filter("_standing", lambda j: F.get("_hits", j)), F.lit(0))
+    names = F.array(*[F.lit(name) for name, _ in groups]).cast("array<string>")
     target = [name for name, _ in groups].index(rest_into) if rest_into in dict(groups) else -1
-    has_target = open_pages.groupBy("repo_id").agg(
-        F.bool_or(F.coalesce(F.col("_at") == target, F.lit(False))).alias("_has")
-    )
-    named = open_pages.join(has_target, "repo_id")
-    folder = F.coalesce(
-        F.get(names, F.col("_at")), F.when(F.col("_has"), F.lit(rest_into)).otherwise(F.lit(rest))
-    )
+    has_target = F.array_contains("_standing", target)
+    folder = F.coalesce(F.get(names, at), F.when(has_target, F.lit(rest_into)).otherwise(F.lit(rest)))
+    named = materialized(named.withColumn("_folder", folder), "nav-folders")
+    folder = F.col("_folder")
     tree = _tree_rows(named.select("repo_id", "pos", "slug", "title", F.array(folder).alias("parts")))
     rank = F.coalesce(F.array_position(names, F.col("title")), F.lit(0))
     place = F.when(rank > 0, rank - 1).otherwise(F.lit(len(groups))).cast("int")

@@ -90,6 +90,12 @@ def publishable_pages(drafts: DataFrame, max_pages: int = rules.MAX_PAGES_SCHEMA
     return first_wins(normal, ["repo_id", "page_slug"], "pos")
 
 
+def within(limit: Column, bound: int) -> Column:
+    """``limit``, or a failure where it exceeds ``bound``."""
+    too_large = F.raise_error(F.concat(F.lit(f"a limit exceeds the bound {bound}: "), limit.cast("string")))
+    return F.when(limit > bound, too_large.cast("int")).otherwise(limit)
+
+
 def cap_per_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -99,17 +105,23 @@ def cap_per_group(
     primary_cap: Column | int = rules.MAX_PRIMARY_PER_ORIGIN,
     limit: int = rules.MAX_CANDIDATES_KEPT,
     limit_keys: Sequence[str] = (),
-    bound: int = rules.MAX_PER_ORIGIN,
+    bound: int | None = None,
 ) -> DataFrame:
     """Rows in order, at most ``cap`` per group and ``primary_cap`` of them primary.
 
     A primary row over its cap does not use up the group's cap, so primaries are ranked and cut first.
     ``limit`` then applies over ``limit_keys`` (for instance per repository), which must be part of
-    the keys.
+    the keys. A cap that is a column needs ``bound``, the largest it may be; a row above it fails the query.
     """
+    if isinstance(cap, int):
+        bound = cap
+    elif bound is None:
+        raise ValueError("a cap that is a column needs a bound")
+    else:
+        cap = within(cap, bound)
     marked = df.withColumn("_primary", F.coalesce(primary, F.lit(False)))
     by_kind = Window.partitionBy(*keys, "_primary").orderBy(*_cols(order))
-    # No cap exceeds ``bound``: a plain number lets Spark cut groups before the shuffle.
+    # A group keeps no more than ``bound`` rows of a kind: a plain number lets Spark cut before the shuffle.
     ranked = (
         marked.withColumn("_kind_rank", F.row_number().over(by_kind))
         .filter(F.col("_kind_rank") <= bound)
@@ -479,30 +491,36 @@ def balanced_sample(
     order: Sequence[str | Column],
     n: int | Column,
     group_scores: DataFrame | None = None,
-    cap: int = rules.MAX_LINKS_PER_INDEX,
+    bound: int | None = None,
 ) -> DataFrame:
     """Take one row per group per round, groups by score, until ``n`` rows per key are taken.
 
     Rounds are clean: every group is visited once per round in the same order (score, then name).
     ``group_scores`` has the keys, the group and ``group_score``; by default sections are scored by
-    size and name. ``n`` may be a column of per-key targets, none above ``cap``.
+    size and name. ``n`` may be a column of per-key targets, of which ``bound`` is the largest allowed; a target
+    above it fails the query.
     """
+    if isinstance(n, int):
+        bound, limit = n, F.lit(n)
+    elif bound is None:
+        raise ValueError("targets in a column need a bound")
+    else:
+        limit = within(n, bound)
     if group_scores is None:
         sizes = df.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_size"))
         group_scores = sizes.select(
             *keys, group, group_score(F.col(group), F.col("_size")).alias("group_score")
         )
-    # No more than ``cap`` groups of a key, and ``cap`` rows of a group, can be chosen.
+    # No more than ``bound`` groups of a key, and ``bound`` rows of a group, can be chosen.
     ranked_groups = group_ranks_limited(
-        group_scores, keys, [F.col("group_score").desc(), F.col(group).asc()], cap, "_group_rank"
+        group_scores, keys, [F.col("group_score").desc(), F.col(group).asc()], bound, "_group_rank"
     ).drop("group_score")
-    rounds = group_ranks_limited(df, [*keys, group], order, cap, "_round")
+    rounds = group_ranks_limited(df, [*keys, group], order, bound, "_round")
     taken = Window.partitionBy(*keys).orderBy("_round", "_group_rank")
-    limit = F.lit(n) if isinstance(n, int) else n
     return (
         rounds.join(ranked_groups, [*keys, group])
         .withColumn("take_order", F.row_number().over(taken))
-        .filter(F.col("take_order") <= cap)
+        .filter(F.col("take_order") <= bound)
         .filter(F.col("take_order") <= limit)
         .drop("_round", "_group_rank")
     )
@@ -529,7 +547,6 @@ def trim_outline(outline: DataFrame, max_pages: int | str = "max_pages") -> Data
     )
     return (
         outline.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= rules.MAX_PAGES_SCHEMA)
         .filter(F.col("_rn") <= limit)
         .drop("_rn")
     )

@@ -139,9 +139,7 @@ def outline_issues(
     )
     twins = redundant_topics(pages)
     repeated = duplicate_slugs(pages).groupBy("repo_id").agg(
-        F.array_join(F.slice(F.array_sort(F.collect_set("slug")), 1, rules.MAX_PAGES_SCHEMA), ", ").alias(
-            "repeated"
-        )
+        F.array_join(F.array_sort(F.collect_set("slug")), ", ").alias("repeated")
     )
     parts = [
         budget,

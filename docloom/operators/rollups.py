@@ -336,16 +336,13 @@ def outline_text(
 ) -> DataFrame:
     """Searchable text of an outline per repository: titles, slugs, purposes, navigation titles.
 
-    An outline has at most 128 pages; longer ones are refused upstream.
+    One text per repository, as long as its outline; patterns over phrases need the words in order.
     """
-    head = top_per_group(outline, ["repo_id"], ["pos"], rules.MAX_PAGES_SCHEMA)
     fields = ["title", "slug"] if labels_only else ["title", "slug", "purpose"]
-    lines = head.select("repo_id", F.lit(1).alias("part"), F.col("pos").cast("string").alias("at"), F.concat_ws(" ", *fields).alias("line"))
+    lines = outline.select("repo_id", F.lit(1).alias("part"), F.col("pos").cast("string").alias("at"), F.concat_ws(" ", *fields).alias("line"))
     if nav is not None:
         titles = nav.select("repo_id", F.lit(0).alias("part"), F.col("node_id").cast("string").alias("at"), F.col("title").alias("line"))
-        lines = lines.unionByName(
-            top_per_group(titles, ["repo_id"], ["at"], 4 * rules.MAX_PAGES_SCHEMA)
-        )
+        lines = lines.unionByName(titles)
     return lines.groupBy("repo_id").agg(
         T.spaced(F.array_join(collected("line", ["part", "at"]), " ")).alias("outline_text")
     )

@@ -330,12 +330,31 @@ _GROUPS = [
 _NAV_LABEL = f"replace({D.slug('slug')} || ' ' || {D.slug('title')}, '-', ' ')"
 
 
-@register(
-    "build_nav_by_rules",
-    f"""{cte('outline')}, f AS (SELECT repo_id, pos, slug || '-' || CAST(pos AS STRING) AS slug, title, CASE {' '.join(f"WHEN {D.any_hit(_NAV_LABEL, ps)} THEN {D.q(n)}" for n, ps in _GROUPS if n != 'One Page')} ELSE 'Deployment and Reference' END AS folder FROM outline)
+def _nav_rules_sql() -> str:
+    """One pair of CTEs per group: is it large enough among the pages still free, and who joins it."""
+    names = [n for n, _ in _GROUPS]
+    out = [f"s0 AS (SELECT repo_id, pos, slug || '-' || CAST(pos AS STRING) AS slug, title, {_NAV_LABEL.replace(D.slug('slug'), D.slug("(slug || '-' || CAST(pos AS STRING))"))} AS label, CAST(NULL AS INT) AS grp FROM outline)"]
+    for i, (_, patterns) in enumerate(_GROUPS):
+        hit = f"(grp IS NULL AND {D.any_hit('label', patterns)})"
+        out.append(f"n{i} AS (SELECT repo_id, count(*) FILTER ({hit}) AS n FROM s{i} GROUP BY 1)")
+        out.append(
+            f"s{i + 1} AS (SELECT repo_id, pos, slug, title, label, CASE WHEN {hit} AND n >= 2 THEN {i} ELSE grp END AS grp"
+            f" FROM s{i} JOIN n{i} USING (repo_id))"
+        )
+    k = names.index("Deployment and Reference")
+    name = " ".join(f"WHEN {i} THEN {D.q(n)}" for i, n in enumerate(names))
+    place = " ".join(f"WHEN {D.q(n)} THEN {i}" for i, n in enumerate(names))
+    out.append(f"h AS (SELECT repo_id, coalesce(bool_or(grp = {k}), FALSE) AS has FROM s{len(names)} GROUP BY 1)")
+    out.append(
+        f"f AS (SELECT repo_id, pos, slug, title, CASE grp {name} ELSE CASE WHEN has THEN {D.q(names[k])} ELSE 'Reference and Operations' END END"
+        f" AS folder FROM s{len(names)} JOIN h USING (repo_id))"
+    )
+    return f"""{cte('outline')}, {', '.join(out)}
     SELECT repo_id, 'page:' || slug AS node_id, 'dir:' || folder AS parent_id, CAST(2 AS INT) AS depth, CAST(pos AS INT) AS ord, slug, title FROM f
-    UNION ALL SELECT DISTINCT repo_id, 'dir:' || folder, NULL, CAST(1 AS INT), CAST(CASE folder WHEN 'Start Here' THEN 0 WHEN 'Server' THEN 1 ELSE 3 END AS INT), NULL, folder FROM f""",
-)
+    UNION ALL SELECT DISTINCT repo_id, 'dir:' || folder, NULL, CAST(1 AS INT), CAST(CASE folder {place} ELSE {len(names)} END AS INT), NULL, folder FROM f"""
+
+
+@register("build_nav_by_rules", _nav_rules_sql())
 def build_nav_by_rules(spark, sf):
     pages = outline(spark, sf).withColumn("slug", F.concat_ws("-", "slug", "pos"))
     return navtree.build_nav_by_rules(pages, _GROUPS)

@@ -489,7 +489,7 @@ def journey_coverage(spark, sf):
 
 @register(
     "coverage_families",
-    f"""{cte('entries', 'outline')}, t AS (SELECT repo_id, regexp_replace(lower(string_agg(title || ' ' || slug || ' ' || purpose, ' ' ORDER BY CAST(pos AS STRING))), '[^a-z0-9]+', ' ', 'g') AS outline_text FROM outline WHERE pos < 12 GROUP BY 1),
+    f"""{cte('entries', 'outline')}, t AS (SELECT repo_id, regexp_replace(lower(string_agg(title || ' ' || slug || ' ' || purpose, ' ' ORDER BY CAST(pos AS STRING))), '[^a-z0-9]+', ' ', 'g') AS outline_text FROM outline GROUP BY 1),
     c AS ("""
     + " UNION ALL ".join(
         f"SELECT repo_id, CAST({i} AS INT) AS ord, {D.q(n)} AS family, count(*) FILTER ({D.hit(_ENTRY_TEXT, seen)}) AS entries, {m} AS minimum, {D.q(shown)} AS shown FROM entries GROUP BY 1"
@@ -498,7 +498,7 @@ def journey_coverage(spark, sf):
     + ") SELECT repo_id, ord, family, entries, regexp_matches(outline_text, shown) AS mentioned FROM c JOIN t USING (repo_id) WHERE entries >= minimum",
 )
 def coverage_families(spark, sf):
-    text = rollups.outline_text(outline(spark, sf).filter("pos < 12"))
+    text = rollups.outline_text(outline(spark, sf))
     return rollups.coverage_families(entries(spark, sf), text)
 
 

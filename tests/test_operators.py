@@ -1,6 +1,7 @@
 """Operators against sequential rules on random or hand-made rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,87 @@ def test_no_single_partition_exchange(spark, name):
     df = queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
+
+
+def test_caps_hold_beyond_their_defaults(spark):
+    rows = spark.createDataFrame([(i, "g", False) for i in range(1000)], "i int, g string, p boolean")
+    assert ordering.cap_per_group(rows.limit(100), ["g"], ["i"], F.col("p"), cap=50).count() == 50
+    wide = ordering.cap_per_group(rows, ["g"], ["i"], F.col("p"), cap=F.lit(300), bound=300)
+    assert wide.count() == 300
+    assert ordering.balanced_sample(rows, ["g"], "p", ["i"], 900).count() == 900
+    outline = spark.range(300).select(
+        F.lit("r").alias("repo_id"), F.col("id").alias("pos"), F.col("id").cast("string").alias("slug"), F.lit("").alias("priority")
+    )
+    assert ordering.trim_outline(outline, 200).count() == 200
+
+
+def test_a_column_limit_needs_a_bound_that_holds(spark):
+    rows = spark.createDataFrame([(i, "g", False) for i in range(9)], "i int, g string, p boolean")
+    with pytest.raises(ValueError):
+        ordering.cap_per_group(rows, ["g"], ["i"], F.col("p"), cap=F.lit(3))
+    with pytest.raises(ValueError):
+        ordering.balanced_sample(rows, ["g"], "p", ["i"], F.col("i"))
+    with pytest.raises(Exception, match="exceeds the bound"):
+        ordering.cap_per_group(rows, ["g"], ["i"], F.col("p"), cap=F.lit(9), bound=5).collect()
+
+
+def test_outline_text_is_whole(spark):
+    outline = spark.range(400).select(
+        F.lit("r").alias("repo_id"), F.col("id").alias("pos"), F.concat(F.lit("t"), "id").alias("title"), F.lit("s").alias("slug"), F.lit("p").alias("purpose")
+    )
+    (row,) = rollups.outline_text(outline).collect()
+    assert all(f"t{i}" in row.outline_text.split() for i in range(400))
+
+
+def test_snippet_lists_keep_what_a_greedy_choice_needs(spark):
+    rng = random.Random(12)
+    rows = [(g, i, f"u{rng.randint(0, 6)}", f"t{rng.randint(0, 6)}", rng.randint(1, 9)) for g in range(40) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, entry_pos int, url string, t string, score int")
+    kept = matching._choosable(df, ["g"], [F.col("score").desc(), "entry_pos"], 4).collect()
+
+    def greedy(items, urls, titles):
+        out, urls, titles = [], set(urls), set(titles)
+        for _, i, u, t, s in sorted(items, key=lambda r: (-r[4], r[1])):
+            if len(out) < 4 - len(urls_before) and u not in urls and t not in titles:
+                out.append(i)
+                urls.add(u)
+                titles.add(t)
+        return out
+
+    for g in range(40):
+        for n in range(4):
+            urls_before = rng.sample(range(7), n)
+            urls, titles = [f"u{k}" for k in urls_before], [f"t{k}" for k in rng.sample(range(7), n)]
+            whole = greedy([r for r in rows if r[0] == g], urls, titles)
+            assert whole == greedy([tuple(r) for r in kept if r.g == g], urls, titles)
+
+
+def test_snippets_of_shared_addresses(spark):
+    outline = spark.createDataFrame([("r", 0, "routing", "Routing", "routing", "required")], "repo_id string, pos int, slug string, title string, purpose string, priority string")
+    entries = [("r", i, "docs", f"Routing {w}", "https://x.org/a") for i, w in enumerate(["Guide", "Basics", "Advanced", "Patterns"])]
+    entries += [("r", 4, "docs", "Routing Errors", "https://x.org/b"), ("r", 5, "docs", "Routing Tests", "https://x.org/c")]
+    df = spark.createDataFrame(entries, "repo_id string, pos int, `group` string, title string, url string")
+    got = matching.select_snippets(outline, df).collect()
+    assert len({r.url for r in got}) == 3
+
+
+def test_rule_grouped_navigation_equals_sequential_passes(spark):
+    rng = random.Random(9)
+    letters = "abcdefghi"
+    groups = [(f"G{c}", [rf"\b{c}\b"]) for c in letters]
+    pages = [(f"r{k}", i, f"p{i}", " ".join(rng.sample(letters, rng.randint(0, 2)))) for k in range(12) for i in range(rng.randint(1, 12))]
+    df = spark.createDataFrame(pages, "repo_id string, pos int, slug string, title string")
+    nav = navtree.build_nav_by_rules(df, groups, rest="Rest", rest_into="Gi")
+    plan = nav._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
+    got = {(r.repo_id, r.slug): r.parent_id for r in nav.collect() if r.slug is not None}
+    for repo in {p[0] for p in pages}:
+        free, folder = [p for p in pages if p[0] == repo], {}
+        for name, (pattern,) in groups:
+            own = [p for p in free if re.search(pattern, f"{p[2]} {p[3]}")]
+            if len(own) >= 2:
+                folder |= {p[2]: name for p in own}
+                free = [p for p in free if p not in own]
+        rest = "Gi" if "Gi" in folder.values() else "Rest"
+        for _, _, slug, _ in (p for p in pages if p[0] == repo):
+            assert got[(repo, slug)] == f"dir:{folder.get(slug, rest)}"
