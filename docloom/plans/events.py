@@ -290,7 +290,17 @@ def stream_session_fold(spark, sf):
 
 @register("stream_admission", _ADMISSION_SQL)
 def stream_admission(spark, sf):
-    decided = jobs.stream_admission(_stream_attempts(spark, sf), _PER_HOUR, _PER_DAY)
+    # A table ends, a stream does not: a closing row long after the last attempt lets the watermark pass them all.
+    closing = scratch_dir(spark, "closing")
+    last = derive(spark, sf, "attempts").agg(
+        F.lit(-1).cast("bigint").alias("attempt_id"),
+        F.lit("closing").alias("client_key"),
+        (F.max("created_at") + F.expr("INTERVAL 2 DAYS")).alias("created_at"),
+    )
+    last.write.mode("overwrite").parquet(f"{closing}/rows")
+    end = spark.readStream.schema(last.schema).parquet(f"{closing}/rows")
+    attempts = _stream_attempts(spark, sf).union(end)
+    decided = jobs.stream_admission(attempts, _PER_HOUR, _PER_DAY).where("attempt_id >= 0")
     return jobs.run_available(decided, "admission").drop("batch")
 
 

@@ -422,9 +422,9 @@ def _issues_sql() -> str:
     o AS (SELECT * REPLACE (slug || '-' || CAST(pos AS STRING) AS slug), {_MD} AS md,
         CASE pos % 4 WHEN 0 THEN [] WHEN 1 THEN [source_path] ELSE [source_path, 'docs/plans/x.md', 'src/none.ts'] END AS sp,
         CASE WHEN pos % 6 = 5 THEN [] WHEN pos % 6 = 1 THEN ['no/such.ts'] ELSE [source_path] END AS ci FROM outline),
-    c AS (SELECT *, {classes}, {MIN_WORDS_SQL.replace('is_tiny_leaf', '(' + 'tiny' + ')') if False else '0'} AS zero FROM o),
+    c AS (SELECT *, {classes} FROM o),
     m AS (SELECT c.*, {MIN_WORDS_SQL} AS min_words, {MIN_SECTIONS_SQL} AS min_sections, {D.count(words, "[A-Za-z0-9][A-Za-z0-9'-]*")} AS pw, {D.count(md, '(?m)^##' + chr(92) + 's+')} AS h2,
-        list_filter(ci, lambda x: EXISTS (SELECT 1 FROM tree WHERE false)) AS none_, {detail} AS detail, {example} AS example,
+        {detail} AS detail, {example} AS example,
         contains(lower(md), 'sources:') AS sources FROM c JOIN evidence USING (repo_id)),
     v AS (SELECT m.*, coalesce(k.ok, false) AS src_known, CASE WHEN pos % 6 IN (1, 5) THEN [] WHEN coalesce(k.ok, false) THEN [source_path] ELSE [] END AS valid
       FROM m LEFT JOIN (SELECT DISTINCT repo_id, path, true AS ok FROM tree) k ON k.repo_id = m.repo_id AND k.path = m.source_path),
@@ -444,9 +444,7 @@ def _issues_sql() -> str:
       CASE WHEN pos % 7 = 0 AND NOT {D.hit(about, lint[0])} THEN {{'c': 'foreign_path', 'd': 'packages/eslint-plugin-react-hooks/src/a.ts'}} END], lambda x: x IS NOT NULL)) AS e FROM w)"""
 
 
-_ISSUES_SQL = _issues_sql().replace(
-    "\n        list_filter(ci, lambda x: EXISTS (SELECT 1 FROM tree WHERE false)) AS none_,", ""
-).replace(", 0 AS zero", "")
+_ISSUES_SQL = _issues_sql()
 
 
 @register(

@@ -48,12 +48,27 @@ def artifact_rows(content: DataFrame) -> DataFrame:
     )
 
 
-def write_artifacts(content: DataFrame, path: str) -> None:
-    """Append artifacts, partitioned by kind. The rebalance hint splits a kind that holds most rows
-    over many tasks and keeps small kinds from writing many small files."""
-    artifact_rows(content).hint("rebalance", "kind").write.mode("append").partitionBy(
-        "kind"
-    ).parquet(path)
+def write_artifacts(content: DataFrame, path: str, batch: int) -> None:
+    """Write the artifacts of one batch, partitioned by batch and kind.
+
+    A batch that is written again replaces itself, so a retry leaves nothing twice; the latest batch of a key
+    is the one that ``read_artifacts`` shows. The rebalance hint splits a kind that holds most rows over many tasks
+    and keeps small kinds from writing many small files.
+    """
+    (
+        artifact_rows(content)
+        .hint("rebalance", "kind")
+        .write.mode("overwrite")
+        .partitionBy("kind")
+        .parquet(f"{path}/batch={int(batch)}")
+    )
+
+
+def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Every key once, as its latest batch wrote it; the texts stay out of the comparison of batches."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    latest = rows.groupBy("key").agg(F.max("batch").alias("batch"))
+    return rows.join(latest, ["key", "batch"], "left_semi")
 
 
 def replace_revision_files(files: DataFrame, path: str, revision_id: str | None = None) -> None:

@@ -98,10 +98,6 @@ class ClientWindow:
                 at = max(at, self.admitted[-limit] + width + 1)
         return at
 
-    def scope(self, ts: int) -> str:
-        hour = sum(1 for a in self.admitted if a >= ts - rules.HOUR_US)
-        return "client_hour" if 0 < self.per_hour <= hour else "client_day"
-
     def admit(self, ts: int) -> None:
         self.admitted.append(ts)
         keep = max(self.per_hour, self.per_day, 1)

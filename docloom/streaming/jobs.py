@@ -6,9 +6,11 @@ by watermarks, by retention, or by the number of open sessions, jobs and clients
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,10 +105,11 @@ def stream_admission(
     delay: str = "10 minutes",
     ts: str = "created_at",
 ) -> DataFrame:
-    """Sequential admission per client; state is the client's admitted times of a day at most.
+    """Sequential admission per client, in time order across micro-batches.
 
-    Attempts are decided in time order within a micro-batch; those older than the watermark are
-    dropped by Spark before they get here. An idle client's state expires a day after the watermark
+    An attempt waits in its client's state until the watermark has passed it, when nothing older can arrive, and is
+    decided then, so ``delay`` is also the delay of a decision and bounds what waits. Attempts that arrive
+    behind the watermark are dropped and counted by Spark. An idle client's state expires a day after the watermark
     passed its last admitted attempt.
     """
     rows = attempts.withWatermark(ts, delay).select(
@@ -114,21 +117,33 @@ def stream_admission(
     )
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        window = ClientWindow(per_hour, per_day, json.loads(state.get[0]) if state.exists else [])
-        part = pd.concat(list(batches)).sort_values(["ts_us", "attempt_id"])
-        denied = decide(window, part["ts_us"].to_numpy())
-        state.update((json.dumps(window.admitted),))
-        if window.admitted:
-            expiry = (window.admitted[-1] + rules.DAY_US) // 1000 + 1
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        admitted, waiting = json.loads(state.get[0]) if state.exists else ([], [])
+        window, passed = ClientWindow(per_hour, per_day, admitted), state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for part in batches:
+                waiting += zip(part["ts_us"].tolist(), part["attempt_id"].tolist())
+        waiting = sorted(map(list, waiting))
+        ripe = bisect.bisect_right(waiting, passed * 1000, key=lambda w: w[0])
+        part, waiting = waiting[:ripe], waiting[ripe:]
+        times = np.array([t for t, _ in part], dtype=np.int64)
+        denied = decide(window, times)
+        if waiting:
+            wake = waiting[0][0] // 1000 + 1
+        elif window.admitted:
+            wake = (window.admitted[-1] + rules.DAY_US) // 1000 + 1
+        else:
+            wake = 0
+        if not waiting and wake <= passed:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps([window.admitted, waiting]),))
+            state.setTimeoutTimestamp(max(wake, passed + 1))
         yield pd.DataFrame(
             {
-                "client_key": key[0],
-                "attempt_id": part["attempt_id"],
-                "ts_us": part["ts_us"],
+                "client_key": [key[0]] * len(part),
+                "attempt_id": [i for _, i in part],
+                "ts_us": times,
                 "allowed": denied == "",
                 "scope": [d or None for d in denied],
             }
@@ -229,9 +244,13 @@ def stream_pages(
 # -- running a stream over landed files -------------------------------------------------------
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(
+    stream: DataFrame, name: str, mode: str = "append", late: list[int] | None = None
+) -> DataFrame:
     """Run a stream to the end of its landed input and return what it wrote.
 
+    The number of rows that each stateful batch dropped as late is added to ``late``.
+
     Output goes to Parquet in the scratch folder, one directory per micro-batch. In update mode the last
     batch that mentions a row wins, so readers get ``batch`` as a column.
     """
@@ -250,5 +269,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
         .start()
     )
     query.awaitTermination()
+    if late is not None:
+        late += [s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]]
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     return spark.read.schema(schema).parquet(out)

@@ -1,6 +1,8 @@
 """Readers, writers and streams over temporary folders."""
 
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,19 +74,27 @@ def test_publishing_shows_whole_revisions(spark, tmp_path):
         revisions.publish_revision(spark, root, 2, rows("a", "a3", "v"), rows("a", "a3", "g"))
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
-    src = tmp_path / "in"
+def test_admission_is_in_order_across_batches_and_late_rows_are_counted(spark, tmp_path):
+    src, rng = tmp_path / "in", random.Random(4)
     schema = "attempt_id bigint, client_key string, created_at timestamp"
-    make = lambda rows: spark.createDataFrame(rows, "attempt_id bigint, client_key string, t string").select(
-        "attempt_id", "client_key", F.col("t").cast("timestamp").alias("created_at")
+    make = lambda rows: spark.createDataFrame(rows, "attempt_id bigint, client_key string, s bigint").select(
+        "attempt_id", "client_key", F.timestamp_seconds("s").alias("created_at")
     )
-    make([(1, "c", "2024-01-02 12:00:00")]).coalesce(1).write.parquet(str(src / "a"))
+    rows = [(i, rng.choice("abc"), 1_704_000_000 + rng.randint(0, 20_000)) for i in range(150)]
+    # arrival: up to nine minutes out of order; five files, then a closing row, then a row far too late
+    arrived = sorted(rows, key=lambda r: r[2] + rng.randint(0, 540))
+    files = [arrived[i : i + 30] for i in range(0, 150, 30)] + [[(-1, "closing", 1_704_200_000)], [(999, "a", 1_704_000_000)]]
+    for i, part in enumerate(files):
+        make(part).coalesce(1).write.parquet(str(src / f"{i}"))
+        for f in (src / f"{i}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
-    out = jobs.run_available(jobs.stream_admission(stream, 10, 50), "late")
-    assert [r.attempt_id for r in out.collect()] == [1]
-    late = make([(2, "c", "2024-01-01 00:00:00")])
-    both = late.unionByName(make([(1, "c", "2024-01-02 12:00:00")]))
-    assert batch.admission(both).count() == 2
+    late = []
+    out = jobs.run_available(jobs.stream_admission(stream, 3, 8), "late", late=late)
+    got = sorted((r.attempt_id, r.allowed, r.scope) for r in out.collect() if r.attempt_id >= 0)
+    want = sorted((r.attempt_id, r.allowed, r.scope) for r in batch.admission(make(rows), 3, 8).collect())
+    assert got == want and sum(late) == 1 and {r[1] for r in want} == {True, False}
+    assert out.select("batch").distinct().count() >= 5
 
 
 def test_session_stops_at_first_boundary(spark):
@@ -95,3 +105,16 @@ def test_session_stops_at_first_boundary(spark):
     df = spark.createDataFrame([(*r, None) for r in rows], EVENTS)
     got = batch.session_fold(df).first()
     assert (got.reply, got.next_index, got.ended) == ("a", 8, True)
+
+
+def test_artifacts_are_replaced_by_key_and_retry(spark, tmp_path):
+    path = f"{tmp_path}/artifacts"
+    rows = lambda *items: spark.createDataFrame(
+        [("wiki_markdown", "r", "v1", page, text) for page, text in items],
+        "kind string, repo_id string, revision_id string, page_id string, text string",
+    )
+    revisions.write_artifacts(rows(("a", "one"), ("b", "two")), path, 1)
+    revisions.write_artifacts(rows(("b", "three")), path, 2)
+    revisions.write_artifacts(rows(("b", "three")), path, 2)
+    got = revisions.read_artifacts(spark, path).collect()
+    assert sorted((r.page_id, r.text) for r in got) == [("a", "one"), ("b", "three")]
