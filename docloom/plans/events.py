@@ -377,6 +377,22 @@ def stream_stale_jobs(spark, sf):
     return jobs.run_available(jobs.stream_stale_jobs(beats, _GAP_MINUTES), "stale").drop("batch")
 
 
+@register(
+    "stream_unstarted_jobs",
+    f"""WITH j AS (SELECT CAST(user_id AS STRING) AS job_id, min(epoch_us(ts)) AS started_us,
+        min(epoch_us(ts)) FILTER (event_type = 'click') AS session_us FROM events GROUP BY 1)
+    SELECT job_id, started_us, started_us + {_GAP_MINUTES * 60_000_000} AS failed_us FROM j
+    WHERE started_us + {_GAP_MINUTES * 60_000_000} <= {_WATERMARK_SQL}
+      AND (session_us IS NULL OR session_us > started_us + {_GAP_MINUTES * 60_000_000})""",
+)
+def stream_unstarted_jobs(spark, sf):
+    log = _stream(spark, sf).select(
+        F.col("user_id").cast("string").alias("job_id"), "ts", (F.col("event_type") == "click").alias("has_session")
+    )
+    found = jobs.stream_unstarted_jobs(log, _GAP_MINUTES, retention_minutes=100 * 24 * 60)
+    return jobs.run_available(found, "unstarted").drop("batch")
+
+
 @register(
     "stream_pages",
     """SELECT page_id, url, CAST(len(regexp_extract_all(html, '(?i)\\bhref=')) AS BIGINT) AS hrefs FROM pages

@@ -206,6 +206,48 @@ def stream_stale_jobs(
     )
 
 
+_UNSTARTED = "job_id string, started_us bigint, failed_us bigint"
+
+
+def stream_unstarted_jobs(
+    events: DataFrame,
+    minutes: int = rules.STALE_BEFORE_SESSION_MINUTES,
+    delay: str = "1 minute",
+    retention_minutes: int = 7 * 24 * 60,
+) -> DataFrame:
+    """Jobs that had no session within ``minutes`` of their first event, once each.
+
+    ``events``: job_id, ts, has_session. An event-time timer fires when the watermark passes the limit, so order within
+    ``delay`` does not matter. A settled job is remembered until it has been silent for ``retention_minutes``.
+    """
+    width, keep = minutes * 60_000_000, retention_minutes * 60_000_000
+    rows = events.withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("us"), "has_session")
+    never = 2**62
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, session, last, settled = state.get if state.exists else (never, never, 0, False)
+        if not state.hasTimedOut:
+            for part in batches:
+                started, last = min(started, int(part["us"].min())), max(last, int(part["us"].max()))
+                opened = part.loc[part["has_session"].astype(bool), "us"]
+                session = min(session, int(opened.min())) if len(opened) else session
+        elif settled:
+            state.remove()
+            return
+        now = state.getCurrentWatermarkMs()
+        due = not settled and now * 1000 >= started + width
+        settled = settled or due
+        state.update((started, session, last, settled))
+        wake = (last + keep if settled else started + width) // 1000 + 1
+        state.setTimeoutTimestamp(max(wake, now + 1))
+        if due and session > started + width:
+            yield pd.DataFrame({"job_id": [key[0]], "started_us": [started], "failed_us": [started + width]})
+
+    return rows.groupBy("job_id").applyInPandasWithState(
+        run, _UNSTARTED, "started bigint, session bigint, last bigint, settled boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def stream_pages(
     pages: DataFrame, out: str, checkpoint: str, delay: str = "1 day", ts: str = "landed_at"
 ):
