@@ -9,7 +9,8 @@ Medians are found for all nodes of a level together by histograms: each round is
 narrow table of points, and narrows the range around every median to one bucket. Only histogram rows
 (``max_cells`` at most a round) and the splits reach the driver. A round's bucket counts shrink as nodes grow.
 
-Nulls: a null text weighs one byte and equals the empty text; a null metadata value lies below all others.
+Nulls: a null text weighs one byte and equals the empty text; a metadata value that is null or no number lies
+below all others (dimensions are strings or numbers).
 Repeated rows stay and each gets a slot of its own; ids may repeat or be null. Other columns are not looked at,
 and their names do not matter. An empty table gives an empty result. A text whose copies outweigh a
 shard makes that shard heavier; it is not torn apart.
@@ -35,7 +36,7 @@ def _number(df: DataFrame, name: str) -> Column:
     c, kind = F.col(name), df.schema[name].dataType
     if isinstance(kind, T.StringType):
         c = F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0"), 16, 10)
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
+    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(-1.0))
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> DataFrame:
