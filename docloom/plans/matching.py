@@ -12,6 +12,7 @@ from docloom.functions import urls as U
 from docloom.operators import joins, matching, navtree, ordering, quality, rollups
 from docloom.plans import duck as D
 from docloom.plans.catalog import register
+from docloom.plans.corpus import _SEG, _TOPIC, _USEFUL_TOPIC
 from docloom.plans.inputs import cte, table
 from docloom.plans.repositories import (
     _EVIDENCE_SQL,
@@ -304,10 +305,10 @@ def assemble_context(spark, sf):
 
 @register("fill_outline")
 def fill_outline(spark, sf):
-    """Pages added to the first twenty pages of each outline to reach forty."""
-    kept = ordering.trim_outline(outline(spark, sf), 20)
-    targets = kept.select("repo_id").distinct().withColumn("target_pages", F.lit(40))
-    return matching.fill_outline(kept, entries(spark, sf), targets)
+    """Twenty pages added to each outline where its entries hold as many new topics."""
+    pages = outline(spark, sf)
+    targets = pages.groupBy("repo_id").agg((F.count(F.lit(1)) + 20).alias("target_pages"))
+    return matching.fill_outline(pages, entries(spark, sf), targets)
 
 
 @register("normalize_outline")
@@ -316,7 +317,45 @@ def normalize_outline(spark, sf):
     return named.select("repo_id", "pos", "slug", "title", "new_slug", "new_title")
 
 
-@register("build_nav")
+_NAV_WORD = f"CASE WHEN lower(w) IN {D.strings(rules.NAV_ACRONYMS)} THEN upper(w) WHEN regexp_matches(w, '^[A-Z0-9]{{2,}}$') THEN w ELSE upper(w[1]) || w[2:] END"
+
+
+def _nav_title(x: str) -> str:
+    words = f"string_split(trim(regexp_replace(regexp_replace({x}, '[-_]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ')"
+    return f"array_to_string(list_transform({words}, lambda w: {_NAV_WORD}), ' ')"
+
+
+def _folders(parts: str) -> str:
+    return f"list_filter(list_transform({parts}, lambda v: {_nav_title('v')}), lambda label: {_USEFUL_TOPIC})"
+
+
+_GROUP_SLUGS = f"list_filter(list_transform(string_split_regex(coalesce(\"group\", ''), '\\s+/\\s+'), lambda v: {D.slug('v')}), lambda v: v <> '')"
+_PATH_SEGS = f"list_filter({D.segments(D.path('url'))}, lambda v: NOT {D.hit('v', rules.TOPIC_SKIPPED_SEGMENT)} AND NOT {D.hit('v', rules.TOPIC_VERSION_SEGMENT)})"
+
+
+def _with_ns(p: str) -> str:
+    return (
+        f"CASE WHEN ns IS NULL OR NOT g THEN {p} WHEN coalesce({p}[1], '') = 'react' AND starts_with(ns, 'react-') THEN list_concat([ns], {p}[2:])"
+        f" WHEN NOT list_contains({p}, ns) THEN list_concat([ns], {p}) ELSE {p} END"
+    )
+
+
+_PARTS_SQL = f"""n0 AS (SELECT repo_id, pos AS entry_pos, url, {GENERIC_SQL} AS g, (SELECT {_NS} FROM (SELECT lower({D.path('url')}) AS p)) AS ns,
+      list_filter({_GROUP_SLUGS}, lambda v: NOT {D.hit('v', '^(docs?|documentation)$')})[:3] AS named FROM entries),
+    n1 AS (SELECT *, {_folders(_with_ns('named'))} AS own, {_folders(f'{_PATH_SEGS}[:2]')} AS derived FROM n0),
+    parts AS (SELECT repo_id, entry_pos, CASE WHEN len(own) > 0 THEN own WHEN len(derived) > 0 THEN derived ELSE ['Official Docs'] END AS parts FROM n1)"""
+
+
+@register(
+    "build_nav",
+    f"""{cte('entries', 'outline')}, {_BEST_SQL}, {_PARTS_SQL},
+    l AS (SELECT o.repo_id, o.pos, o.slug, o.title, CASE WHEN {D.slug('o.slug')} = 'overview' THEN ['Start Here'] WHEN parts IS NULL THEN ['Additional Topics'] ELSE parts[:3] END AS parts
+      FROM outline o LEFT JOIN best USING (repo_id, pos) LEFT JOIN parts USING (repo_id, entry_pos)),
+    d AS (SELECT repo_id, pos, unnest(list_transform(range(1, len(parts) + 1), lambda k: parts[:k])) AS p FROM l)
+    SELECT repo_id, 'dir:' || array_to_string(p, '/') AS node_id, CASE WHEN len(p) > 1 THEN 'dir:' || array_to_string(p[:-2], '/') END AS parent_id,
+      CAST(len(p) AS INT) AS depth, CAST(min(pos) AS INT) AS ord, CAST(NULL AS STRING) AS slug, p[-1] AS title FROM d GROUP BY repo_id, p
+    UNION ALL SELECT repo_id, 'page:' || slug, 'dir:' || array_to_string(parts, '/'), CAST(len(parts) + 1 AS INT), CAST(pos AS INT), slug, title FROM l""",
+)
 def build_nav(spark, sf):
     return navtree.build_nav(outline(spark, sf), entries(spark, sf))
 
@@ -456,12 +495,35 @@ def page_issues(spark, sf):
     return quality.page_issues(drafts(spark, sf), planned(spark, sf), evidence(spark, sf), tree(spark, sf))
 
 
-@register("accept_drafts")
+_SECTION = rules.SOURCE_SECTION.replace("(?im)^", r"(?i)(^|\n)").replace(r"\b", "")
+
+
+@register(
+    "accept_drafts",
+    _ISSUES_SQL
+    + f""", j AS (SELECT repo_id, page_slug, pos, count(*) AS n, count(*) FILTER (e.c NOT IN {D.strings(quality.FALLBACK_SAFE)}) AS serious FROM i GROUP BY 1, 2, 3),
+    f AS (SELECT w.repo_id, w.slug AS page_slug, CASE WHEN w.pos % 2 = 0 THEN 2 ELSE 1 END AS attempts, coalesce(j.n, 0) AS n,
+        is_important AND coalesce(j.serious, 0) = 0 AND (starts_with(ltrim(md), '# ' || title) OR regexp_matches(md, '(?m)^#\\s+.+')) AND h2 >= 3 AND {D.hit('md', _SECTION)}
+          AND sources AND len(valid) > 0 AND ({D.count('md', chr(92) + 'S+')} >= 300 OR detail OR example) AS publishable
+      FROM w LEFT JOIN j ON j.repo_id = w.repo_id AND j.page_slug = w.slug AND j.pos = w.pos)
+    SELECT repo_id, page_slug, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(coalesce(min(1) FILTER (n = 0), max(attempts) FILTER (n > 0 AND publishable)) AS INT) AS attempt,
+      CASE WHEN bool_or(n = 0) THEN 'accepted' WHEN bool_or(publishable) THEN 'accepted_with_warnings' ELSE 'failed' END AS verdict FROM f GROUP BY 1, 2""",
+)
 def accept_drafts(spark, sf):
     return quality.accept_drafts(_facts(spark, sf))
 
 
-@register("repair_feedback")
+@register(
+    "repair_feedback",
+    _ISSUES_SQL
+    + """, k AS (SELECT repo_id, page_slug, pos, count(*) AS issues, coalesce(string_agg(DISTINCT e.d, ', ' ORDER BY e.d) FILTER (e.c = 'source_not_mentioned'), '') AS missing_paths,
+        coalesce(string_agg(DISTINCT e.d, ', ' ORDER BY e.d) FILTER (e.c = 'foreign_path'), '') AS unrelated_paths, bool_or(e.c = 'too_few_words') AS short,
+        bool_or(e.c = 'no_reference_detail') AS needs_reference, bool_or(e.c = 'no_guide_example') AS needs_example, bool_or(e.c = 'too_few_sections') AS needs_sections FROM i GROUP BY 1, 2, 3),
+    z AS (SELECT k.*, w.pw, w.min_words, CASE WHEN short THEN greatest(0, w.min_words - w.pw) END AS deficit
+      FROM k JOIN w ON w.repo_id = k.repo_id AND w.slug = k.page_slug AND w.pos = k.pos)
+    SELECT repo_id, page_slug, CAST(unnest(CASE WHEN pos % 2 = 0 THEN [1, 2] ELSE [1] END) AS INT) AS attempt, issues, missing_paths, unrelated_paths, CAST(deficit AS INT) AS word_deficit,
+      CAST(CASE WHEN deficit > 350 THEN deficit + 150 ELSE 500 END AS INT) AS words_to_add, short AND pw < floor(min_words * 0.65) AS rewrite, needs_reference, needs_example, needs_sections FROM z""",
+)
 def repair_feedback(spark, sf):
     facts = _facts(spark, sf)
     return quality.repair_feedback(quality.page_issues_of(facts), facts)
@@ -474,7 +536,17 @@ def outline_issues(spark, sf):
     )
 
 
-@register("missing_topics")
+@register(
+    "missing_topics",
+    f"""{cte('entries', 'outline', 'tree')}, {_EVIDENCE_SQL}, p AS (SELECT repo_id, pos, doc, unnest(list_append(string_split_regex(coalesce("group", ''), '\\s+/\\s+'), {_SEG})) AS p
+        FROM (SELECT *, row_number() OVER () AS doc FROM entries)),
+    l AS (SELECT DISTINCT repo_id, doc, {_TOPIC} AS label FROM p WHERE p IS NOT NULL),
+    c AS (SELECT repo_id, label, count(*) AS count FROM l WHERE {_USEFUL_TOPIC} GROUP BY 1, 2),
+    h AS (SELECT c.* FROM c JOIN evidence USING (repo_id) WHERE count >= greatest(4, link_count // 80) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY count DESC, label) <= 12),
+    t AS (SELECT repo_id, regexp_replace(lower(string_agg(title || ' ' || slug || ' ' || purpose, ' ' ORDER BY CAST(pos AS STRING))), '[^a-z0-9]+', ' ', 'g') AS txt FROM outline GROUP BY 1),
+    x AS (SELECT h.*, coalesce(txt, '') AS txt, list_filter({D.words('label')}, lambda v: v NOT IN {D.strings(rules.GENERIC_TOPIC_WORDS)})[:4] AS ws FROM h LEFT JOIN t USING (repo_id))
+    SELECT repo_id, label, count FROM x WHERE NOT (len(list_filter(ws, lambda v: NOT contains(txt, v))) = 0 OR (len(ws) > 1 AND contains(txt, {D.compact('label')})))""",
+)
 def missing_topics(spark, sf):
     text = rollups.outline_text(outline(spark, sf))
     return rollups.missing_topics(
