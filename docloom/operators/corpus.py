@@ -727,34 +727,44 @@ def repo_docs_index(files: DataFrame, texts: DataFrame, repos: DataFrame) -> Dat
 # -- X10 --------------------------------------------------------------------------------------
 
 
+def _rewritten(c: Column, mark: str, pattern: str) -> Column:
+    """Matches of ``pattern`` blanked; texts without ``mark``, a part of every match, are left alone."""
+    return let(c, lambda t: F.when(~F.contains(t, F.lit(mark)), t).otherwise(F.regexp_replace(t, pattern, " ")))
+
+
 def prose(markdown: Column) -> Column:
     """Markdown without code, source lines, addresses and paths."""
-    t = F.regexp_replace(markdown, r"(?s)```.*?```", " ")
-    t = F.regexp_replace(t, r"`[^`\n]+`", " ")
-    t = F.regexp_replace(t, r"(?im)^.*\bSources:\s*.*$", " ")
-    t = F.regexp_replace(t, r"https?://\S+", " ")
-    # A word without a slash is tried once, from its start.
-    return F.regexp_replace(
-        t, r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_./-]+", " "
+    t = _rewritten(markdown, "```", r"(?s)```.*?```")
+    t = _rewritten(t, "`", r"`[^`\n]+`")
+    t = let(
+        t,
+        lambda x: F.when(~F.contains(F.lower(x), F.lit("sources:")), x).otherwise(
+            F.regexp_replace(x, r"(?im)^.*\bSources:\s*.*$", " ")
+        ),
     )
+    t = _rewritten(t, "://", r"https?://\S+")
+    # A word without a slash is tried once, from its start.
+    return _rewritten(t, "/", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_./-]+")
 
 
-def count_matches(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+def count_matches(c: Column, pattern: str, mark: str | None = None) -> Column:
+    """Matches of ``pattern``; a text without ``mark``, a part of every match, is not searched."""
+    found = F.regexp_count(c, F.lit(pattern))
+    return found if mark is None else F.when(~F.contains(c, F.lit(mark)), 0).otherwise(found)
 
 
 def metric_columns(c: Column) -> dict[str, Column]:
     return {
         "prose_words": count_matches(prose(c), r"[A-Za-z0-9][A-Za-z0-9'-]*"),
         "raw_words": count_matches(c, r"\S+"),
-        "h2": count_matches(c, r"(?m)^##\s+"),
-        "h3": count_matches(c, r"(?m)^###\s+"),
+        "h2": count_matches(c, r"(?m)^##\s+", "##"),
+        "h3": count_matches(c, r"(?m)^###\s+", "###"),
         "index_headings": count_headings(c),
         "links": count_links(c),
-        "table_rows": count_matches(c, r"(?m)^\|.+\|$"),
-        "fences": count_matches(c, r"(?m)^```"),
-        "inline_code": count_matches(c, r"`[^`\n]+`"),
-        "option_bullets": count_matches(c, r"(?m)^\s*[-*]\s+`[^`\n]+`"),
+        "table_rows": count_matches(c, r"(?m)^\|.+\|$", "|"),
+        "fences": count_matches(c, r"(?m)^```", "```"),
+        "inline_code": count_matches(c, r"`[^`\n]+`", "`"),
+        "option_bullets": count_matches(c, r"(?m)^\s*[-*]\s+`[^`\n]+`", "`"),
     }
 
 

@@ -311,12 +311,6 @@ def fill_outline(spark, sf):
     return matching.fill_outline(pages, entries(spark, sf), targets)
 
 
-@register("normalize_outline")
-def normalize_outline(spark, sf):
-    named = matching.normalize_outline(outline(spark, sf), entries(spark, sf))
-    return named.select("repo_id", "pos", "slug", "title", "new_slug", "new_title")
-
-
 _NAV_WORD = f"CASE WHEN lower(w) IN {D.strings(rules.NAV_ACRONYMS)} THEN upper(w) WHEN regexp_matches(w, '^[A-Z0-9]{{2,}}$') THEN w ELSE upper(w[1]) || w[2:] END"
 
 
@@ -340,6 +334,42 @@ def _with_ns(p: str) -> str:
     )
 
 
+_TAIL = f"{_GROUP_SLUGS}[greatest(len({_GROUP_SLUGS}) - 1, 1):]"
+_TITLE_WORD = f"CASE WHEN lower(w) IN {D.strings(rules.OUTLINE_ACRONYMS)} THEN upper(w) ELSE upper(w[1]) || lower(w[2:]) END"
+_QUALIFIER_PARTS = f"list_filter(list_transform(string_split_regex(coalesce(\"group\", ''), '\\s+/\\s+'), lambda v: trim(v)), lambda v: v <> '' AND NOT regexp_matches(v, '(?i)^(api reference|apis?|docs?|documentation|learn|reference)$'))"
+
+
+@register(
+    "normalize_outline",
+    f"""{cte('entries', 'outline')}, {_BEST_SQL},
+    k0 AS (SELECT repo_id, pos AS entry_pos, {D.slug('title')} AS et, {GENERIC_SQL} AS g, {_URL_SLUG} AS es, (SELECT {_NS} FROM (SELECT lower({D.path('url')}) AS p)) AS ns,
+      {_TAIL} AS tail, {_nav_title(f'{_QUALIFIER_PARTS}[-1]')} AS gq FROM entries),
+    k1 AS (SELECT *, {_with_ns('tail')} AS placed FROM k0),
+    k2 AS (SELECT *, CASE WHEN et <> '' AND placed[-1] = et THEN placed[:-2] WHEN et <> '' AND NOT g AND list_contains(placed, et) THEN [] ELSE placed END AS kept FROM k1),
+    k AS (SELECT *, coalesce(nullif({D.slug("array_to_string(list_append(kept, et), '-')")}, ''), 'official-docs-page') AS page_slug,
+      CASE WHEN ns = 'react' THEN coalesce(gq, 'React') WHEN ns IS NOT NULL THEN {_nav_title('ns')} ELSE gq END AS qualifier FROM k2),
+    x AS (SELECT o.repo_id, o.pos, o.slug, o.title, {D.slug('o.slug')} AS cur, {GENERIC_SQL.replace('title', 'o.title')} AS generic, k.* EXCLUDE (repo_id, kept, placed, tail)
+      FROM outline o LEFT JOIN best USING (repo_id, pos) LEFT JOIN k ON k.repo_id = best.repo_id AND k.entry_pos = best.entry_pos),
+    y AS (SELECT *, et <> '' AND contains(cur, et || '-' || et) AS rt, es IS NOT NULL AND contains(cur, es || '-' || es) AS rs, g AND ns IS NOT NULL AND et <> '' AS gn, string_split(ns, '-')[-1] AS nt FROM x),
+    z AS (SELECT *, CASE WHEN ns <> 'react' AND NOT contains(cur, ns) THEN [page_slug] WHEN rt OR rs THEN list_filter([CASE WHEN rs THEN es END, CASE WHEN rt THEN replace(cur, et || '-' || et, et) END,
+        CASE WHEN rs THEN replace(cur, es || '-' || es, es) END, CASE WHEN gn THEN {D.slug("ns || '-' || et")} END,
+        CASE WHEN gn AND starts_with(et, nt || '-') THEN {D.slug("ns || '-' || et[length(nt) + 2:]")} END, es, et], lambda v: v IS NOT NULL AND v <> '') ELSE [] END AS options FROM y),
+    w AS (SELECT repo_id, pos, cur, unnest(options) AS wish, unnest(range(len(options))) AS nth FROM z),
+    f AS (SELECT repo_id, pos, wish FROM w WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.repo_id = w.repo_id AND z.cur = w.wish) QUALIFY row_number() OVER (PARTITION BY repo_id, pos ORDER BY nth) = 1),
+    n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY repo_id, wish ORDER BY pos) = 1),
+    q AS (SELECT z.*, coalesce(n.wish, cur) AS new_slug, CASE WHEN entry_pos IS NOT NULL AND generic AND qualifier IS NOT NULL AND NOT starts_with({D.slug('title')}, {D.slug('qualifier')}) THEN qualifier || ' ' || title ELSE title END AS full_title
+      FROM z LEFT JOIN n ON n.repo_id = z.repo_id AND n.pos = z.pos),
+    c AS (SELECT *, trim(regexp_replace(regexp_replace(full_title, {D.q(rules.NAV_CHROME_PHRASE)}, '', 'g'), '\\s+', ' ', 'g')) AS clean FROM q)
+    SELECT repo_id, pos, slug, title, new_slug, CASE WHEN entry_pos IS NULL THEN title WHEN clean = '' THEN full_title
+      WHEN {D.hit(D.slug('new_slug'), rules.SETUP_SLUG)} AND {D.hit('clean', rules.SETUP_TITLE)} THEN array_to_string(list_transform(list_filter(string_split_regex({D.slug('new_slug')}, '[-_]+'), lambda v: v <> ''), lambda w: {_TITLE_WORD}), ' ')
+      ELSE clean END AS new_title FROM c""",
+)
+def normalize_outline(spark, sf):
+    named = matching.normalize_outline(outline(spark, sf), entries(spark, sf))
+    return named.select("repo_id", "pos", "slug", "title", "new_slug", "new_title")
+
+
+
 _PARTS_SQL = f"""n0 AS (SELECT repo_id, pos AS entry_pos, url, {GENERIC_SQL} AS g, (SELECT {_NS} FROM (SELECT lower({D.path('url')}) AS p)) AS ns,
       list_filter({_GROUP_SLUGS}, lambda v: NOT {D.hit('v', '^(docs?|documentation)$')})[:3] AS named FROM entries),
     n1 AS (SELECT *, {_folders(_with_ns('named'))} AS own, {_folders(f'{_PATH_SEGS}[:2]')} AS derived FROM n0),
@@ -600,7 +630,109 @@ def entity_mentions(spark, sf):
     )
 
 
-@register("expand_candidates")
+def _below(base: str, paths) -> str:
+    return "[" + ", ".join(f"{base} || {D.q(p)}" for p in paths) + "]"
+
+
+def _where(cond: str, items: str) -> str:
+    return f"CASE WHEN {cond} THEN {items} ELSE [] END"
+
+
+def _landing(base: str) -> str:
+    return f"list_concat({_below(base, rules.DOCS_LANDING_PATHS)}, [{base} || '/' || lower(name), {base} || '/' || lower(name) || '/docs'])"
+
+
+def _subdomain(base: str) -> str:
+    fixed = ["/", "/llms.txt", "/llms-full.txt", "/docs/llms.txt", "/sitemap.xml", *rules.LOCALIZED_LANDING_PATHS]
+    return f"list_concat({_below(base, fixed)}, {_landing(base)})"
+
+
+def _all(*lists: str) -> str:
+    out = lists[0]
+    for more in lists[1:]:
+        out = f"list_concat({out}, {more})"
+    return out
+
+
+def _first_at(cond: str) -> str:
+    return f"coalesce(list_position(list_transform({D.segments(D.path('url'))}, lambda v: {cond}), true), 0) - 1"
+
+
+_INDEX_FILES = ["/llms.txt", "/llms-full.txt", "/sitemap.xml"]
+_DOCS_AT = _first_at(D.hit("v", rules.DOCS_INDEX_ROOT))
+_REPO_AT = _first_at(f"{D.compact('v')} = rc OR {D.compact(chr(114) + 'egexp_replace(v, ' + D.q('(?i)[.][a-z0-9]+$') + ', ' + D.q('') + ')')} = rc")
+_ORIGIN = f"lower(regexp_extract(url, {D.q('^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)')}, 1))"
+_FLAGS = f"{_REPO_HIT} AS rs, {_OWNER_HIT} AS os, ({_TOPIC_HIT}) AS ts, {D.registrable(D.host('url'))} = {D.registrable(D.host('homepage_url'))} AS hr, {_DOCS_AT} AS docs_at, {_REPO_AT} AS repo_at, {D.segments(D.path('url'))} AS segs"
+_CANDIDATES_OF_SEED = _all(
+    "[url]",
+    _below("o", [*_INDEX_FILES, "/sitemap/sitemap-index.xml"]),
+    _where("known", _landing("o")),
+    _where("known OR starts_with(clean, '/docs')", _below("o", ["/docs/llms.txt", "/docs/sitemap.xml"])),
+    _where(f"clean <> '' AND NOT {D.hit('clean', '[.][A-Za-z0-9]+$')}", _below("o || clean", [*_INDEX_FILES, "/contents.html"])),
+    _where(
+        "length(rc) >= 3 AND len(segs) >= 2 AND docs_at >= 0 AND repo_at > docs_at",
+        _below("o || '/' || array_to_string(segs[:repo_at + 1], '/')", ["", *_INDEX_FILES, "/contents.html"]),
+    ),
+    _where("docs_at >= 0", _below("o || '/' || array_to_string(segs[:docs_at + 1], '/')", ["", *_INDEX_FILES])),
+    _where(D.hit("segs[1]", rules.FIRST_SEGMENT_INDEX), _below("o || '/' || segs[1]", ["/llms.txt", "/sitemap.xml"])),
+    _where(
+        D.hit("segs[1]", "^[0-9]+(?:[.][0-9]+)?$"),
+        _all(
+            _below("o || '/' || segs[1]", ["/", "/contents.html"]),
+            _below(
+                "o || '/' || string_split(segs[1], '.')[1]",
+                ["/", "/contents.html", "/library/index.html", "/reference/index.html", "/tutorial/index.html"],
+            ),
+        ),
+    ),
+    _where(
+        D.hit(D.host("url"), "^(www[.])?[^.]+[.][^.]+$"),
+        _all(_subdomain("'https://docs.' || root"), _subdomain("'https://doc.' || root")),
+    ),
+    _where(
+        f"length(own) >= 3 AND list_contains(list_transform({D.segments(D.path('homepage_url'))}, lambda v: {D.compact('v')}), rc)",
+        _all(_below("'https://' || own || '.dev'", _INDEX_FILES), _landing("'https://' || own || '.dev'")),
+    ),
+)
+_BARE = f"coalesce(nullif(regexp_replace(lower({D.path('url')}), '/+$', ''), ''), '/')"
+_DOCS_HOST = f"(starts_with({D.host('url')}, 'docs.') OR starts_with({D.host('url')}, 'doc.'))"
+_CANDIDATE = " + ".join(
+    [
+        _case("regexp_replace(url, '/$', '') = regexp_replace(seed, '/$', '')", 220),
+        _case(f"contains({D.compact(D.host('seed'))}, regexp_replace(lower(name), '[^a-z0-9]', '', 'g'))", 50),
+        "CASE WHEN rs THEN 160 WHEN os THEN 50 ELSE 0 END",
+        _case("from_hr", 80),
+        _case("from_rs", 80),
+        _case("from_ts", 35),
+        D.weights(f"lower({D.path('seed')})", rules.CANDIDATE_FROM_RULES),
+        D.weights(D.path("url"), rules.CANDIDATE_PATH_RULES),
+        _case(f"len(segs) >= 3 AND length(rc) >= 3 AND docs_at >= 0 AND repo_at > docs_at AND {D.hit(D.path('url'), rules.INDEX_FILE_KIND)}", 180),
+        _case(f"{D.path('url')} LIKE '%/sitemap.xml' AND {D.path('url')} NOT LIKE '%/docs/sitemap.xml'", 35),
+        _case(f"{_BARE} = '/sitemap.xml' AND NOT rs AND from_rs", -90),
+        _case(f"{_DOCS_HOST} AND {_BARE} IN ('/llms.txt', '/sitemap.xml')", 120),
+        _case(_DOCS_HOST, 20),
+        _case(f"{D.host('seed')} LIKE '%.dev'", 10),
+    ]
+)
+_CANDIDATE_ORDER = f"score DESC, length({D.path('source_url')}), source_url"
+
+
+@register(
+    "expand_candidates",
+    f"""WITH {_SITE_ROWS}, u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY repo_id, url ORDER BY pos) = 1),
+    seeds AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY pos) <= {rules.MAX_URLS_PER_REPO}),
+    j AS (SELECT seeds.*, r.name, r.homepage_url, {D.compact('r.name')} AS rc, {D.compact('r.owner')} AS oc FROM seeds JOIN r USING (repo_id)),
+    f AS (SELECT *, {_FLAGS}, {_ORIGIN} AS o, regexp_replace({D.path('url')}, '/+$', '') AS clean, regexp_replace({D.host('url')}, '^www[.]', '') AS root, regexp_replace(lower(name), '[^a-z0-9-]', '', 'g') AS own FROM j),
+    k AS (SELECT *, rs OR os OR ts OR hr AS known FROM f),
+    c AS (SELECT repo_id, pos, url AS seed, name, homepage_url, rc, oc, rs AS from_rs, ts AS from_ts, hr AS from_hr, unnest(list_distinct({_CANDIDATES_OF_SEED})) AS url FROM k),
+    g AS (SELECT *, {_FLAGS} FROM c),
+    x AS (SELECT repo_id, pos, seed, url, {_CANDIDATE} AS score FROM g),
+    m AS (SELECT repo_id, url AS source_url, CAST(max(score) AS INT) AS score, arg_max(seed, (score, -pos)) AS discovered_from, any_value({_ORIGIN}) AS origin FROM x GROUP BY 1, 2),
+    t AS (SELECT *, {D.hit(D.path('source_url'), rules.PRIMARY_INDEX_FILE)} AS prim FROM m QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {_CANDIDATE_ORDER}) <= {rules.MAX_CANDIDATES}),
+    a AS (SELECT * FROM t QUALIFY NOT prim OR row_number() OVER (PARTITION BY repo_id, origin, prim ORDER BY {_CANDIDATE_ORDER}) <= {rules.MAX_PRIMARY_PER_ORIGIN}),
+    b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY repo_id, origin ORDER BY {_CANDIDATE_ORDER}) <= {rules.MAX_PER_ORIGIN})
+    SELECT repo_id, source_url, score, discovered_from, origin FROM b QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY {_CANDIDATE_ORDER}) <= {rules.MAX_CANDIDATES_KEPT}""",
+)
 def expand_candidates(spark, sf):
     urls, known = _sites(spark, sf)
     return joins.limit_candidates(joins.expand_candidates(urls, known))
