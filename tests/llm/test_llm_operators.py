@@ -13,8 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docloom.llm import base, contamination, html_text, langid, licenses, packing, personal, quality_rules, registry
-from docloom.llm import sharding, simhash, warc
+from docloom.llm import base, contamination, html_text, langid, licenses, near_copies, packing, personal, quality_rules
+from docloom.llm import registry, sharding, simhash, warc
 from docloom.session import materialized
 
 SF = "/root/testdata/sf0.001"
@@ -480,6 +480,51 @@ def test_shards_are_even_and_equal_texts_stay_together(spark, docs, tmp_path):
 # -- pipeline and queries ----------------------------------------------------------------------------
 
 
+def test_near_copies_equal_brute_force_jaccard(spark):
+    r = random.Random(7)
+    rows, text = [], {}
+    for g in range(12):
+        base_words = [f"w{r.randint(0, 400)}" for _ in range(r.choice((3, 12, 60, 150)))]
+        for _ in range(60 if g == 5 else 8):
+            words = list(base_words)
+            for _ in range(r.choice((0, 0, 1, 1, 2, 6))):
+                words[r.randrange(len(words))] = f"v{r.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, rows[0][1]), (None, "no such text here at all")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                near += a != b
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    assert near > 50
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted(tuple(sorted(str(rows[i][0]) for i in range(len(rows)) if root[i] == g)) for g in set(root))
+    for most, block, sample in ((32, 1024, 8192), (2, 7, 0)):
+        found, classes = near_copies.near_copies(df, pair_most=most, block_rows=block, sample=sample)
+        got = {}
+        for x in found.join(classes, "set_key").collect():
+            got.setdefault(x.grp, []).append(str(x.doc_id))
+        assert sorted(tuple(sorted(v)) for v in got.values()) == want, (most, block)
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    words = [f"word{i}" for i in range(100)]
+    near, far = list(words), list(words)
+    near[50] = "other"
+    for i in (10, 30, 50, 70):
+        far[i] = "other"
+    rows = [(2, " ".join(words)), (1, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == {1, 3}
+
+
 def test_pipeline_stages_follow_their_operators(spark):
     sf = "/root/testdata/sf0.01"
     docs = base.table(spark, sf, "documents")
