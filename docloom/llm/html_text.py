@@ -5,6 +5,7 @@ sidebars, notices, adverts, forms, comments and the like are bad by their elemen
 are bad; long blocks rich in stop words are good; short ones, and ones poor in stop words inside an article,
 stay ambiguous. The second pass gives every ambiguous block the label of its nearest decided neighbours in
 its own region (article or rest); where they disagree, or none is decided, the region decides.
+An article only shifts thresholds: blocks outside it are judged as on a page without one.
 
 Pages are independent rows, so there is no shuffle; memory is one page.
 
@@ -178,7 +179,6 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block]) -> list[Block]:
     """Label every block good or bad, in two passes."""
-    has_article = any(b.region == "article" for b in found)
     for b in found:
         words = WORD.findall(b.text.lower())
         size, links = len(b.text), b.linked / max(len(b.text), 1)
@@ -194,8 +194,6 @@ def classify(found: list[Block]) -> list[Block]:
             b.label = "near"
         else:
             b.label = "near" if inside else "bad"
-        if has_article and not inside:
-            b.label = "bad"
     decided = [(i, b) for i, b in enumerate(found) if b.label in ("good", "bad")]
     after = {}
     for i, b in reversed(decided):
@@ -211,8 +209,6 @@ def classify(found: list[Block]) -> list[Block]:
         labels = {x.label for x in near}
         if len(labels) == 1:
             (verdict,) = labels
-            if b.region == "article" and verdict == "bad":
-                verdict = "good"  # links beside it say nothing against a paragraph of the article
         else:
             verdict = "good" if b.region == "article" or (labels and b.label == "near") else "bad"
         b.text, b.label = b.text, f"{b.label}>{verdict}"

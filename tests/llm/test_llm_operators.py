@@ -251,6 +251,22 @@ def test_two_passes_without_an_article():
     assert html_text.main_text(page) == f"{one} Short one. {one}"
 
 
+def test_a_region_does_not_hide_a_plain_body():
+    body = "This is the text of the page and it is not in an article but in a plain block of the body. " * 4
+    body = body.strip()
+    for teaser in (
+        '<div class="post-meta">By X</div>',
+        "<article><h2>More</h2><p>A teaser.</p></article>",
+        '<section class="story">Soon</section>',
+        '<div class="entry"><a href="/a">Read the other story of the day</a></div>',
+    ):
+        for page in (f"{teaser}<div class=text>{body}</div>", f"<div>{body}</div>{teaser}", f"<div>{body}</div>{teaser}<div>{body}</div>"):
+            assert html_text.main_text(f"<html><body>{page}</body></html>").count(body) == page.count(body), page
+    links = "<p><a href=/a>Read the first of all the other stories</a></p>"
+    page = f"<article><p>{body}</p><p>{body}</p>{links}<p>Share this</p>{links}</article>"
+    assert html_text.main_text(page) == f"{body} {body}"  # between bad neighbours
+
+
 def test_random_markup_does_not_break_extraction():
     r = random.Random(2)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "<a href='x>", "<!--", "-->", "<script>", "</script>", "&amp;", "&#xZ;", "<", ">", '"', "w ", "<br/>"]
