@@ -1,10 +1,11 @@
 """Personal data in texts: candidates by generators, boosted trees to judge them, calibrated thresholds to redact.
 
 Four base kinds (email, ip, card, phone) are found by fixed patterns and always stand. Generators of high recall propose
-further, overlapping spans: keys with values, long mixed tokens, national phone numbers, social security numbers, IBANs, MAC and
+further, overlapping spans of any length: keys with values, long mixed tokens, national phone numbers, social security numbers, IBANs, MAC and
 IPv6 addresses, obscured mail addresses. Boosted trees score each from its format and its
 context; a span stands if its score reaches the threshold of its generator, which is set on held-out examples so that at
-most ``false_rate`` of the negative ones pass. Of overlapping spans the base wins, then the higher score.
+most ``false_rate`` of the negative ones pass. Of overlapping spans the base wins, then the higher score; 16 or more characters of the
+other that are left stand in pieces.
 
 The trees are fitted on the driver on at most ``examples`` generated spans, written by format grammars into the words of
 at most ``sample`` documents (the smallest by a hash of the id); the model is a few kilobytes and travels with the tasks. Texts are
@@ -40,8 +41,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-PAIR = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,40}[\"']?[ ]?[=:][ ]?[\"']?([^\s\"',;=]{4,256})")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,256}(?![A-Za-z0-9_+/-])")
+PAIR = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,40}[\"']?[ ]?[=:][ ]?[\"']?([^\s\"',;=]{4,}+)")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
 NATIONAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -138,6 +139,7 @@ def _mod97(s: str) -> bool:
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s = text[start:end]
     n = len(s)
+    m = min(n, 256)  # what grows with the length is as in a span of 256; the whole span is looked at
     counts = Counter(s)
     digits, upper = sum(c.isdigit() for c in s), sum(c.isupper() for c in s)
     lower = sum(c.islower() for c in s)
@@ -147,14 +149,14 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     vowels = sum(c in "aeiouAEIOU" for c in s)
     return [
         float(ADDED.index(kind)),
-        n,
+        m,
         digits / n,
         upper / n,
         lower / n,
-        n - digits - upper - lower,
+        (n - digits - upper - lower) * m / n,
         entropy,
-        len(counts) / n,
-        turns,
+        len(counts) / m,
+        turns * m / n,
         vowels / max(upper + lower, 1),
         float(all(c in "0123456789abcdefABCDEF" for c in s)),
         float(kind == "iban" and _mod97(s)),
@@ -247,26 +249,31 @@ class Model:
         return sorted(base, key=lambda s: (order[s[0]], s[1])), sorted(kept, key=lambda s: (order[s[0]], s[1]))
 
 
-def _apart(ranked, taken):
-    """Those of the ranked spans that touch no better one; ``taken``: sorted spans that stand already."""
+def _apart(ranked, taken, least: int = 16):
+    """The ranked spans where no better one stands; ``taken``: sorted spans that stand already.
+
+    Of a span that better ones cover in part, the rest stands in pieces if it has ``least`` characters or more: a long secret is not
+    let through for a card number among its digits.
+    """
     import bisect
 
-    starts = [a for a, _ in taken]
-    reach, most = [], 0
-    for _, b in taken:
-        most = max(most, b)
-        reach.append(most)
     own: list[tuple[int, int]] = []  # disjoint, sorted
+    for a, b in taken:
+        if own and a < own[-1][1]:
+            own[-1] = (own[-1][0], max(own[-1][1], b))
+        else:
+            own.append((a, b))
     kept = []
     for score, (kind, a, b) in ranked:
-        i = bisect.bisect_left(starts, b)
-        if i and reach[i - 1] > a:
-            continue
-        j = bisect.bisect_left(own, (b, 0))
-        if j and own[j - 1][1] > a:
+        i, j = bisect.bisect_left(own, (a, a)), bisect.bisect_left(own, (b, 0))
+        if i and own[i - 1][1] > a:
+            i -= 1
+        ends = [a, *[x for span in own[i:j] for x in span], b]
+        free = [(x, y) for x, y in zip(ends[::2], ends[1::2]) if x < y]
+        if i < j and sum(y - x for x, y in free) < least:
             continue
-        own.insert(j, (a, b))
-        kept.append((kind, a, b, float(-score)))
+        own[i:j] = sorted([*own[i:j], *free])
+        kept += [(kind, x, y, float(-score)) for x, y in free]
     return kept
 
 
@@ -287,14 +294,19 @@ def _iban(r: random.Random) -> str:
     return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
 
+def _long(r: random.Random) -> int:
+    """A length between 64 and 5,000, short ones more often."""
+    return int(64 * (5000 / 64) ** r.random())
+
+
 def example(r: random.Random, positive: bool) -> tuple[str, str]:
     """(what stands before the span, the span) of one generated case."""
     pick = r.choice
     if positive:
         lead, span = pick(
             [
-                lambda: (pick(["password", "passwd", "pwd", "secret", "api_key", "token", "auth", "PASSWORD"]) + pick(["=", ": ", ":", " = "]), _write(r, pick(["x" * r.randint(8, 40), "*" * r.randint(8, 24), "aaaa99", "Aaaaaa99", "aaaaaaaa"]))),
-                lambda: (pick(["", "key ", "bearer ", "token "]), pick(["AKIA" + _write(r, "*" * 16).upper(), "ghp_" + _write(r, "*" * 36), "sk-" + _write(r, "*" * 40), _write(r, "*" * 32), "eyJ" + _write(r, "*" * 60)])),
+                lambda: (pick(["password", "passwd", "pwd", "secret", "api_key", "token", "auth", "PASSWORD"]) + pick(["=", ": ", ":", " = "]), _write(r, pick(["x" * r.randint(8, 40), "*" * r.randint(8, 24), "aaaa99", "Aaaaaa99", "aaaaaaaa", "*" * _long(r), "x" * _long(r)]))),
+                lambda: (pick(["", "key ", "bearer ", "token "]), pick(["AKIA" + _write(r, "*" * 16).upper(), "ghp_" + _write(r, "*" * 36), "sk-" + _write(r, "*" * 40), _write(r, "*" * 32), "eyJ" + _write(r, "*" * 60), _write(r, pick("*x") * _long(r)), "eyJ" + _write(r, "*" * _long(r))])),
                 lambda: (pick(["call ", "phone ", "tel ", "mobile ", "", ""]), _write(r, pick(["(999) 999-9999", "999-999-9999", "999.999.9999", "999 999 9999"]))),
                 lambda: (pick(["ssn ", "social security ", "", "ssn: "]), _write(r, "999-99-9999")),
                 lambda: (pick(["iban ", "account ", "", "bank "]), _iban(r)),
@@ -308,7 +320,7 @@ def example(r: random.Random, positive: bool) -> tuple[str, str]:
         [
             lambda: (pick(["width", "height", "size", "color", "ratio", "page", "version", "note", "lang", "mode"]) + pick(["=", ": ", ":", " = "]), _write(r, pick(["9999", "9.99", "aaaaaa", "aaaaaaaaa", "99999", "aaaa-aaaa", "aaaa/aaaa"]))),
             lambda: (pick(["see", "note", "thus", "said", "that is"]) + pick([": ", ":"]), _write(r, "a" * r.randint(4, 12))),
-            lambda: (pick(["", "part ", "item ", "sku ", "the "]), _write(r, pick(["a" * 8 + "-" + "a" * 8 + "9", "aaaaaaaaaaaaaaaaaaa9", "Aaaaaaaa-aaaaaaaa-99", "9" * 18, "aaaa/aaaa/aaaaa/a99"]))),
+            lambda: (pick(["", "part ", "item ", "sku ", "the "]), _write(r, pick(["a" * 8 + "-" + "a" * 8 + "9", "aaaaaaaaaaaaaaaaaaa9", "Aaaaaaaa-aaaaaaaa-99", "9" * 18, "aaaa/aaaa/aaaaa/a99", "aaaaaa-aaaaaaaa/" * (_long(r) // 16) + "a9"]))),
             lambda: (pick(["order ", "version ", "build ", "isbn ", "page "]), _write(r, pick(["9999 9999 9999", "99 9999 9999", "999-9999-9999", "9999.999.9999"]))),
             lambda: (pick(["order ", "part ", "item ", "sku "]), _write(r, "999-99-9999")),
             lambda: (pick(["", "item ", "order "]), _write(r, pick(["AA99 AAAA AAAA", "AA99AAAAAAAA9", "AA99 9999 9999 9999"]))),

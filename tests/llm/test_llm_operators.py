@@ -216,6 +216,23 @@ def test_added_spans_on_held_out_cases():
     assert personal.redact("mail a.b@c.org now", model) == "mail [EMAIL] now"
 
 
+def test_long_secrets_leave_no_tail():
+    model = personal.train(["and", "of", "thing", "other"], 4000)
+    r = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (256, 257, 300, 1000, 5000):
+        for lead in ("token=", "api_key: ", "password=", "secret = ", "", "key ", "bearer "):
+            for alphabet in (letters, letters + "_-", "0123456789abcdef"):
+                blob = "".join(r.choice(alphabet) for _ in range(n))
+                got = personal.redact(f"some words {lead}{blob} and more", model)
+                # digits among it may be a card number, which stands as such
+                assert re.fullmatch(re.escape(f"some words {lead}") + r"(\[(SECRET|TOKEN|CARD)\])+ and more", got), (n, lead, got[:80])
+        jwt = ".".join("eyJ" + "".join(r.choice(letters) for _ in range(n // 3)) for _ in range(3))
+        left = re.sub(r"\[(SECRET|TOKEN|CARD)\]", "", personal.redact(f"auth token={jwt} and more", model))
+        assert left.replace(".", "") == "auth token= and more", n
+        assert personal.redact("see " + "some-plain-words/" * (n // 17) + "9 here", model).startswith("see some-plain")
+
+
 # -- HTML -----------------------------------------------------------------------------------------
 
 
