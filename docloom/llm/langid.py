@@ -7,7 +7,7 @@ text gives each word its label probabilities; their mean names the text's langua
 
 Training is on the driver, on at most ``per_language`` texts of each language (the smallest by a hash of the id), ``window``
 words of each. Prediction is a map over Arrow batches, in slices of bounded words; all texts of a slice are walked
-together. No shuffle carries text.
+together. A run of more than 40 letters counts as consecutive words of 40, so unspaced text is read whole. No shuffle carries text.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing could be learned. Languages
 that are null are not learned from. Repeated rows and null ids are each predicted. Other columns are not looked at, and
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from docloom.llm.base import table
 from docloom.llm.registry import register
 
-RUN = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]{1,40}")  # a longer run of letters is read as consecutive words
 BUCKETS = 1 << 15
 UNKNOWN = "und"
 
@@ -56,7 +56,7 @@ class Crf:
         return self.__dict__ | {"known": {}, "scores": self.scores[:0]}
 
     def features(self, word: str) -> list[int]:
-        w = f"^{word[:40]}$"
+        w = f"^{word}$"
         n = len(w)
         names = [w[:2], w[:3], w[:4], w[-2:] + "<", w[-3:] + "<", w[-4:] + "<", *[w[i : i + 3] + "=" for i in range(n - 2)]]
         if word in self.lexicon:

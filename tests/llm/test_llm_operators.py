@@ -303,6 +303,15 @@ def test_held_out_language_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
 
 
+def test_long_letter_runs_are_read_whole():
+    crf = langid.train([("en", ["the", "and", "thought"] * 20), ("de", ["der", "und", "nicht"] * 20)], sequences=200, epochs=2)
+    for head, tail, want in (("the", "und", "de"), ("und", "the", "en")):
+        words = langid.words_of(head * 13 + tail * 200)
+        assert "".join(words) == head * 13 + tail * 200
+        mean = crf.posteriors([words])[0].mean(axis=0)
+        assert crf.labels[int(mean.argmax())] == want and len(words) > 1
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
