@@ -27,6 +27,7 @@ def load() -> None:
         html_text,
         langid,
         licenses,
+        merkle,
         packing,
         personal,
         quality_rules,
