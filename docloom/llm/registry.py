@@ -24,6 +24,7 @@ def load() -> None:
     """Import every module that registers a query."""
     from docloom.llm import (  # noqa: F401
         contamination,
+        dialogue,
         html_text,
         langid,
         licenses,
