@@ -28,6 +28,7 @@ def load() -> None:
         html_text,
         langid,
         licenses,
+        line_quality,
         merkle,
         packing,
         personal,
