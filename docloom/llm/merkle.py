@@ -123,14 +123,13 @@ def fold(leaf: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
 
 def _build(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("pos")
-    total = rows.column("total")[0].as_py()
-    n = rows.num_rows
-    block = Block.build([x.encode() for x in rows.column("digest").to_pylist()], height(n) if total <= BLOCK else LEVELS)
+    n, at = rows.num_rows, rows.column("block")[0].as_py()
+    # the first block of a tree, if not full, is the only one
+    block = Block.build([x.encode() for x in rows.column("digest").to_pylist()], LEVELS if at else height(n))
     return pa.table(
         {
             "tree": rows.column("tree")[:1],
             "pos": rows.column("block")[:1],
-            "total": pa.array([-(-total // BLOCK)], pa.int64()),
             "n": pa.array([n], pa.int32()),
             "h": pa.array([block.h], pa.int32()),
             "nodes": pa.array([block.nodes.tobytes()], pa.binary()),
@@ -139,21 +138,21 @@ def _build(rows: pa.Table) -> pa.Table:
     )
 
 
-BLOCK_KINDS = "tree string, pos long, total long, n int, h int, nodes binary, digest string"
+BLOCK_KINDS = "tree string, pos long, n int, h int, nodes binary, digest string"
 
 
 def layers(leaves: DataFrame, name: str) -> list[DataFrame]:
-    """Blocks of every layer over ``leaves`` (tree, pos, total, digest), lowest first; the last has one block a tree."""
-    most = leaves.agg(F.max("total")).first()[0]
+    """Blocks of every layer over ``leaves`` (tree, pos, digest), lowest first; the last has one block a tree."""
     out, at = [], leaves
-    while most:
-        cut = at.select("tree", "pos", "total", "digest", F.floor(F.col("pos") / BLOCK).alias("block"))
+    while True:
+        cut = at.select("tree", "pos", "digest", F.floor(F.col("pos") / BLOCK).alias("block"))
         at = materialized(cut.groupBy("tree", "block").applyInArrow(_build, BLOCK_KINDS), f"{name}-{len(out)}")
+        last = at.agg(F.max("pos")).first()[0]
+        if last is None:
+            return []
         out.append(at)
-        if most <= BLOCK:
-            break
-        most = -(-most // BLOCK)
-    return out
+        if last == 0:
+            return out
 
 
 def _block_of(row: dict) -> Block:
@@ -239,21 +238,17 @@ def group_name(group: Column) -> Column:
 
 
 def placed(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` (tree, id, leaf, ...) with pos and total: place within the tree and the tree's leaves."""
-    at = materialized(ranked(rows, "tree", ["id", "leaf"], name), f"{name}-placed")
-    totals = at.groupBy("tree").agg(F.count(F.lit(1)).alias("total"))
-    return at.join(totals, "tree")
+    """``rows`` (tree, id, leaf, ...) with pos, the place within the tree."""
+    return ranked(rows, "tree", ["id", "leaf"], name)
 
 
 def manifest_of(leaves: DataFrame) -> Manifest:
-    """The manifest of ``leaves`` (tree, pos, total, leaf)."""
-    groups = layers(leaves.select("tree", "pos", "total", F.col("leaf").alias("digest")), "merkle-groups")
+    """The manifest of ``leaves`` (tree, pos, leaf)."""
+    groups = layers(leaves.select("tree", "pos", F.col("leaf").alias("digest")), "merkle-groups")
     if not groups:
         return Manifest([], [], None)
     subroots = groups[-1].select(F.col("tree").alias("name"), "digest", F.lit("*").alias("tree"))
-    n = subroots.count()
-    names = ranked(subroots, "tree", ["name"], "merkle-names").withColumn("total", F.lit(n).cast("long"))
-    names = materialized(names, "merkle-order")
+    names = ranked(subroots, "tree", ["name"], "merkle-names")
     return Manifest(groups, layers(names, "merkle-root"), names)
 
 

@@ -51,5 +51,6 @@ def ranked(df: DataFrame, key: str, order: list[str], name: str, out: str = "pos
     pieces = ends.join(broken.select(key), key)
     before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     skip = pieces.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    skip = materialized(skip, f"{name}-skip")
     whole = runs.join(F.broadcast(skip), [key, "_part"], "left")
     return whole.select(*df.columns, (F.col("_local") + F.coalesce("_skip", F.lit(0))).alias(out))
