@@ -6,7 +6,7 @@ follows a body through a shuffle are the small extracted rows, never the body.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +39,7 @@ from docloom.operators.predicates import (
     locale_scope,
     weighted,
 )
+from docloom.session import materialized
 from docloom.operators.rollups import map_group  # noqa: F401  (re-exported for callers)
 
 _HREF = r"(?i)\bhref=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
@@ -343,14 +344,59 @@ def sitemap_urls(
     )
 
 
-def nested_sitemaps(locs: DataFrame, keys: Sequence[str] = ("page_id",), n: int = 6) -> DataFrame:
-    """Nested sitemaps to read next, best six per sitemap; English ones push out other locales."""
+def nested_sitemaps(locs: DataFrame, keys: Sequence[str] = ("page_id",), n: int | None = 6) -> DataFrame:
+    """Nested sitemaps to read next, the best ``n`` per sitemap (None: all); English ones push out other locales."""
     nested = locs.filter("is_nested")
     english = nested.groupBy(*keys).agg(F.bool_or("is_english").alias("_any"))
     kept = nested.join(english, list(keys)).filter(
         ~F.col("_any") | F.col("is_english") | F.col("has_docs_path")
     )
-    return top_per_group(kept.drop("_any"), keys, [F.col("nested_score").desc(), "pos"], n)
+    kept = kept.drop("_any")
+    return kept if n is None else top_per_group(kept, keys, [F.col("nested_score").desc(), "pos"], n)
+
+
+def sitemap_documents(
+    starts: DataFrame,
+    bodies: DataFrame,
+    keys: Sequence[str] = ("repo_id",),
+    n: int | None = 6,
+    depth: int | None = None,
+    is_document: Callable[[Column], Column] | None = None,
+    url: str = "url",
+    body: str = "html",
+) -> DataFrame:
+    """Documents that sitemaps list, through the sitemaps nested in them: ``keys``, url, sitemap (that lists it), depth, pos.
+
+    ``starts``: ``keys`` and the address of a sitemap. ``bodies``: landed addresses and bodies. A sitemap that lists documents (``is_document`` of
+    their address; by default all but ``.xml``) gives these; one that lists none hands on to its best ``n`` nested ones (None: all). Every round joins what is
+    still unread with the landed bodies and writes the addresses it found, so only addresses are kept between rounds; a sitemap is read once for each of ``keys``
+    whatever names it, so cycles end. Rounds go on until nothing is new, or for ``depth`` rounds beyond the first. An address listed
+    several times comes once, from the shallowest sitemap.
+    """
+    keys = list(keys)
+    document = is_document or (lambda u: ~F.lower(U.path(u)).endswith(".xml"))
+    landed = bodies.select(U.dedupe_key(F.col(url)).alias("_key"), F.col(body).alias("_body")).dropDuplicates(["_key"])
+    frontier = starts.select(*keys, F.col(url).alias("sitemap"), U.dedupe_key(F.col(url)).alias("_key"))
+    frontier = materialized(frontier.dropDuplicates([*keys, "_key"]), "sitemaps")
+    seen, found, level = frontier.select(*keys, "_key"), [], 0
+    while True:
+        read = frontier.join(landed, "_key")
+        locs = sitemap_urls(read, [*keys, "_key"], "sitemap", "_body").withColumn("_document", document(F.col("url")))
+        locs = materialized(locs, "sitemap-locs")
+        found.append(locs.filter("_document").select(*keys, "url", F.col("page_url").alias("sitemap"), F.lit(level).alias("depth"), "pos"))
+        if level == depth:
+            break
+        level += 1
+        giving = locs.filter("_document").select(*keys, "_key").distinct()
+        handed = nested_sitemaps(locs.join(giving, [*keys, "_key"], "left_anti"), [*keys, "_key"], n)
+        new = handed.select(*keys, F.col("url").alias("sitemap"), U.dedupe_key(F.col("url")).alias("_key"))
+        new = new.dropDuplicates([*keys, "_key"]).join(seen, [*keys, "_key"], "left_anti")
+        frontier = materialized(new, "sitemaps")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select(*keys, "_key"))
+    documents = reduce(DataFrame.unionByName, found).withColumn("_key", U.dedupe_key(F.col("url")))
+    return first_wins(documents, [*keys, "_key"], ["depth", "sitemap", "pos"]).drop("_key")
 
 
 # -- X7, W3, W4, X8 ---------------------------------------------------------------------------

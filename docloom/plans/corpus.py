@@ -177,7 +177,10 @@ def _readable_sql(x: str) -> str:
     return f"regexp_replace({D.decode(x)}, '^\\s+|\\s+$', '', 'g')"
 
 
-@register("readable_text", f"SELECT page_id, {_readable_sql('html')} AS text FROM pages")
+READABLE_SQL = f"SELECT page_id, {_readable_sql('html')} AS text FROM pages"
+
+
+@register("readable_text", READABLE_SQL)
 def readable_text(spark, sf):
     return corpus.readable_text(table(spark, sf, "pages")).select("page_id", "text")
 
@@ -411,6 +414,47 @@ def sitemap_urls(spark, sf):
     return corpus.sitemap_urls(pages.select("page_id", "url", body.alias("html")))
 
 
+# A landed sitemap for every page: of each three, one lists its page and a document beside it, the others hand on to
+# sitemaps of later pages, to each other and to one that never landed.
+_MAP_URL = "'https://' || {h} || CASE WHEN {n} % 2 = 0 THEN '/docs/sitemap-' ELSE '/en-x/docs-sitemap-' END || CAST({n} AS STRING) || '.xml'"
+
+
+def _map_body(n: str, h: str, url: str) -> str:
+    def loc(x: str) -> str:
+        return f"'<sitemap><loc>' || {x} || '</loc></sitemap>'"
+
+    nested = [_MAP_URL.format(h=h, n=f"({n} * 2 + {i})") for i in (1, 2)] + [_MAP_URL.format(h=h, n=n), f"'https://' || {h} || '/docs/absent-sitemap.xml'"]
+    nested += [f"'https://' || {h} || '/blog/sitemap.txt.xml'", f"'https://' || {h} || '/en/sitemap.xml'"]
+    nested[-1] = f"'https://' || {h} || CASE WHEN {n} % 7 = 0 THEN '/en/sitemap.xml' ELSE '/guide/sitemap-a.xml' END"
+    handing = " || ".join(loc(x) for x in nested)
+    own, beside = f"regexp_replace({url}, '#.*$', '')", f"'https://' || {h} || '/docs/page-' || CAST({n} AS STRING)"
+    return f"CASE WHEN {n} % 3 = 1 THEN {loc(own)} || {loc(beside)} ELSE {handing} END"
+
+
+_MAP_HOST = "'docs' || CAST(page_id % 5 AS STRING) || '.acme.dev'"
+_MAP_N = "CAST(floor(page_id / 5) AS BIGINT)"
+_MAPS = f"page_id, {_MAP_URL.format(h=_MAP_HOST, n=_MAP_N)} AS url, {_map_body(_MAP_N, _MAP_HOST, 'url')} AS html"
+
+
+@register(
+    "sitemap_documents",
+    f"""WITH RECURSIVE m AS (SELECT page_id, {_MAP_URL.format(h=_MAP_HOST, n=_MAP_N)} AS url, {_map_body(_MAP_N, _MAP_HOST, 'pages.url')} AS html FROM pages),
+    l AS (SELECT url AS sitemap, unnest(x) AS loc, unnest(range(len(x))) AS pos FROM (SELECT url, regexp_extract_all(html, '(?i)<loc>\\s*([^<]+?)\\s*</loc>', 1) AS x FROM m)),
+    f AS (SELECT *, {D.path('loc')} AS path, {D.hit(D.path('loc'), rules.ENGLISH_SITEMAP)} AS en, {D.hit(D.path('loc'), rules.DOCS_SITEMAP)} AS dp FROM l),
+    d AS (SELECT sitemap, loc AS url FROM f WHERE NOT ends_with(lower(path), '.xml')),
+    g AS (SELECT * FROM f WHERE ends_with(lower(path), '.xml') AND {D.hit('lower(path)', rules.NESTED_SITEMAP)} AND sitemap NOT IN (SELECT sitemap FROM d)),
+    e AS (SELECT sitemap, loc FROM (SELECT *, bool_or(en) OVER (PARTITION BY sitemap) AS any_en FROM g) WHERE NOT any_en OR en OR dp
+      QUALIFY row_number() OVER (PARTITION BY sitemap ORDER BY CASE WHEN en THEN 100 ELSE 0 END + CASE WHEN dp THEN 50 ELSE 0 END
+        + CASE WHEN contains(lower(path), '/latest/') THEN 20 ELSE 0 END DESC, pos) <= 3),
+    r AS (SELECT page_id, url FROM m UNION SELECT r.page_id, e.loc FROM r JOIN e ON e.sitemap = r.url)
+    SELECT DISTINCT r.page_id, d.url FROM r JOIN d ON d.sitemap = r.url""",
+)
+def sitemap_documents(spark, sf):
+    """Documents reachable from every landed sitemap, through all that are nested in it."""
+    maps = computed(table(spark, sf, "pages"), _MAPS)
+    return corpus.sitemap_documents(maps.select("page_id", "url"), maps, ["page_id"], n=3).select("page_id", "url")
+
+
 # -- documents --------------------------------------------------------------------------------
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docloom.functions.ids import micros
 from docloom.operators import joins, ordering, rollups
 from docloom.plans.catalog import register
-from docloom.plans.inputs import computed, cte, derive, table
+from docloom.plans.corpus import HEADINGS_SQL, LINKS_SQL, READABLE_SQL
+from docloom.plans.inputs import SQL, computed, cte, derive, table
 from docloom.session import scratch_dir
 from docloom.streaming import batch, jobs
 
@@ -272,38 +273,75 @@ def _file_stream(spark, sf, name):
 
 
 def _stream_attempts(spark, sf):
-    return _stream(spark, sf).select(
-        F.col("event_id").alias("attempt_id"),
-        F.col("user_id").cast("string").alias("client_key"),
-        F.col("ts").alias("created_at"),
-    )
+    return computed(_stream(spark, sf), SQL["attempts"][1])
+
 
+def _closed(spark, stream, ts, landed, **values):
+    """``stream`` and one row two days after the last of ``landed``: a table ends, a stream does not, and only a later row
+    lets the watermark pass all others."""
+    folder = scratch_dir(spark, "closing")
+    last = landed.agg((F.max(ts).cast("timestamp") + F.expr("INTERVAL 2 DAYS")).alias("_last"))
+    given = {**{k: F.lit(v) for k, v in values.items()}, ts: F.col("_last")}
+    row = last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    row.write.mode("overwrite").parquet(f"{folder}/rows")
+    return stream.union(spark.readStream.schema(stream.schema).parquet(f"{folder}/rows"))
 
-@register("stream_session_fold", _FOLD_SQL)
+
+@register("stream_session_fold", _FOLD_SQL.replace(" AS ended", " AS ended, 0::BIGINT AS skipped"))
 def stream_session_fold(spark, sf):
-    folded = jobs.run_available(
-        jobs.stream_session_fold(_session_events(_stream(spark, sf))), "sessions", "update"
-    )
-    last = ordering.first_wins(folded, ["session_id"], [F.col("batch").desc()])
+    events = _closed(spark, _session_events(_stream(spark, sf)), "ts", table(spark, sf, "events"), session_id="closing", seq=0)
+    folded = jobs.run_available(jobs.stream_session_fold(events, retention="1000 days"), "sessions", "update")
+    last = ordering.first_wins(folded.where("session_id <> 'closing'"), ["session_id"], [F.col("batch").desc()])
     return last.drop("batch")
 
 
+@register(
+    "session_tool_calls",
+    _TURN_SQL
+    + """, r AS (SELECT session_id, call_id, min(seq) AS first_seq, max(seq) FILTER (type = 'actions.requested') AS asked,
+        max(seq) FILTER (type = 'action.result') AS answered, arg_max(tool_name, seq) FILTER (tool_name IS NOT NULL) AS name
+      FROM t WHERE type IN ('actions.requested', 'action.result') GROUP BY 1, 2)
+    SELECT session_id, call_id, first_seq, coalesce(name, 'tool') AS tool_name, 'in ' || CAST(asked AS STRING) AS input,
+      CASE WHEN answered > coalesce(asked, -1) THEN 'out ' || CAST(answered AS STRING) END AS output,
+      CASE WHEN answered > coalesce(asked, -1) THEN 'ok' END AS status,
+      CASE WHEN answered > coalesce(asked, -1) THEN CASE WHEN asked IS NULL THEN 'result_only' ELSE 'done' END ELSE 'pending' END AS state
+    FROM r""",
+)
+def session_tool_calls(spark, sf):
+    """Tool calls of each session's current turn."""
+    return batch.session_tool_calls(_session_events(table(spark, sf, "events")))
+
+
 @register("stream_admission", _ADMISSION_SQL)
 def stream_admission(spark, sf):
-    # A table ends, a stream does not: a closing row long after the last attempt lets the watermark pass them all.
-    closing = scratch_dir(spark, "closing")
-    last = derive(spark, sf, "attempts").agg(
-        F.lit(-1).cast("bigint").alias("attempt_id"),
-        F.lit("closing").alias("client_key"),
-        (F.max("created_at") + F.expr("INTERVAL 2 DAYS")).alias("created_at"),
-    )
-    last.write.mode("overwrite").parquet(f"{closing}/rows")
-    end = spark.readStream.schema(last.schema).parquet(f"{closing}/rows")
-    attempts = _stream_attempts(spark, sf).union(end)
+    attempts = _stream_attempts(spark, sf).select("attempt_id", "client_key", "created_at")
+    attempts = _closed(spark, attempts, "created_at", derive(spark, sf, "attempts"), attempt_id=-1, client_key="closing")
     decided = jobs.stream_admission(attempts, _PER_HOUR, _PER_DAY).where("attempt_id >= 0")
     return jobs.run_available(decided, "admission").drop("batch")
 
 
+_LIVE_SCOPES = ("client_hour", "client_day", "repo_cooldown")
+
+
+@register(
+    "stream_rolling_usage",
+    f"""{_A}, u AS (SELECT *, epoch_us(created_at) AS us FROM attempts)
+    SELECT attempt_id, """
+    + ", ".join(f"count(*) {_over(*_SCOPES[n])} AS {n}_count, min(us) {_over(*_SCOPES[n])} AS {n}_oldest" for n in _LIVE_SCOPES)
+    + " FROM u",
+)
+def stream_rolling_usage(spark, sf):
+    """Live usage of every attempt, the scopes side by side."""
+    attempts = _closed(spark, _stream_attempts(spark, sf), "created_at", derive(spark, sf, "attempts"), attempt_id=-1, client_key="closing", repo_full_name="closing")
+    used = jobs.run_available(jobs.stream_rolling_usage(attempts).where("attempt_id >= 0"), "live-usage")
+    wide = [
+        F.max(F.when(F.col("scope") == n, F.col(c))).alias(f"{n}_{out}")
+        for n in _LIVE_SCOPES
+        for c, out in (("attempts", "count"), ("oldest_us", "oldest"))
+    ]
+    return used.groupBy("attempt_id").agg(*wide)
+
+
 @register(
     "stream_usage",
     """WITH w AS (SELECT CAST(user_id AS STRING) AS client_key, epoch_us(ts) AS us,
@@ -393,22 +431,50 @@ def stream_unstarted_jobs(spark, sf):
     return jobs.run_available(found, "unstarted").drop("batch")
 
 
+def _page_counts(links: str, headings: str, texts: str, pages: str) -> str:
+    """Of every first copy: links and headings with a digest of each, and a digest of the text."""
+    return f"""SELECT p.page_id, p.url, coalesce(l.n, 0) AS links, l.digest AS links_md5, coalesce(h.n, 0) AS headings,
+      h.digest AS headings_md5, md5(t.text) AS text_md5
+    FROM ({pages}) p JOIN ({texts}) t ON t.page_id = p.page_id
+    LEFT JOIN (SELECT page_id, count(*) AS n, md5(string_agg(pos || ' ' || href || ' ' || url, '|' ORDER BY pos)) AS digest FROM ({links}) GROUP BY 1) l ON l.page_id = p.page_id
+    LEFT JOIN (SELECT page_id, count(*) AS n, md5(string_agg(pos || ' ' || level || ' ' || title || ' ' || url, '|' ORDER BY pos)) AS digest FROM ({headings}) GROUP BY 1) h ON h.page_id = p.page_id"""
+
+
 @register(
     "stream_pages",
-    """SELECT page_id, url, CAST(len(regexp_extract_all(html, '(?i)\\bhref=')) AS BIGINT) AS hrefs FROM pages
-    QUALIFY row_number() OVER (PARTITION BY regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') ORDER BY page_id) = 1""",
+    _page_counts(
+        LINKS_SQL,
+        HEADINGS_SQL,
+        READABLE_SQL,
+        """SELECT page_id, url FROM pages
+        QUALIFY row_number() OVER (PARTITION BY regexp_replace(regexp_replace(url, '#.*$', ''), '/$', '') ORDER BY page_id) = 1""",
+    ),
 )
 def stream_pages(spark, sf):
-    """Links, headings and texts of landed pages; counts the links kept per first copy."""
-    landed = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))
-    pages = _file_stream(spark, sf, "pages").withColumn("landed_at", landed)
+    """All three outputs of a stream over pages that land in four files, one a batch, as counts and digests."""
     root = scratch_dir(spark, "pages")
-    jobs.stream_pages(pages, f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    texts = spark.read.parquet(f"{root}/out/texts").select("page_id", "url")
-    links = spark.read.parquet(f"{root}/out/links").groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("_kept")
-    )
-    skipped = table(spark, sf, "pages").select(
-        "page_id", F.regexp_count("html", F.lit(r"(?i)\bhref=")).cast("bigint").alias("hrefs")
-    )
-    return texts.join(skipped, "page_id").join(links, "page_id", "left").drop("_kept")
+    pages = table(spark, sf, "pages")
+    for i, part in enumerate(_quarters(pages)):
+        part.withColumn("landed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id"))).write.parquet(f"{root}/in/{i}")
+    schema = spark.read.parquet(f"{root}/in/0").schema
+    landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/in")
+    jobs.stream_pages(landed, f"{root}/out", f"{root}/checkpoint", delay="1000 days").awaitTermination()
+    links, headings, texts = (spark.read.parquet(f"{root}/out/{kind}") for kind in ("links", "headings", "texts"))
+
+    def digest(rows, *columns):
+        line = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("pos", *columns)])
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("x")))), lambda r: r["x"]), "|")
+        return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.md5(lines).alias("md5"))
+
+    out = texts.select("page_id", "url", F.md5("text").alias("text_md5"))
+    for kind, rows in (("links", digest(links, "href", "url")), ("headings", digest(headings, "level", "title", "url"))):
+        rows = rows.select("page_id", F.col("n").alias(kind), F.col("md5").alias(f"{kind}_md5"))
+        out = out.join(rows, "page_id", "left").withColumn(kind, F.coalesce(kind, F.lit(0).cast("long")))
+    return out
+
+
+def _quarters(pages):
+    """Four ranges of page_id, so that of two copies of an address the one with the smaller id lands first."""
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    width = (high - low) // 4 + 1
+    return [pages.where(F.floor((F.col("page_id") - low) / width) == i).repartitionByRange(1, "page_id") for i in range(4)]

@@ -21,60 +21,56 @@ from docloom import rules
 from docloom.functions import urls as U
 from docloom.operators import corpus
 from docloom.session import scratch_dir
+from docloom.streaming import stateful
 from docloom.streaming.batch import ClientWindow, decide, paired_calls
 
-_FOLD = (
-    "session_id string, reply string, failure string, next_index bigint, tool_calls bigint, ended boolean"
-)
 _FOLD_STATE = "state string"
 
 
-def stream_session_fold(events: DataFrame) -> DataFrame:
+def stream_session_fold(events: DataFrame, delay: str = "10 minutes", retention: str = "7 days", ts: str = "ts") -> DataFrame:
     """Running reply, failure and tool calls per session; folding stops at the first turn boundary.
 
-    Emits the session's row whenever a batch changed it (update mode). Events must arrive in order of
-    seq per session; repeats are ignored.
+    Emits the session's row whenever a batch changed it (update mode). Events may arrive in any order within ``delay``: one
+    that does not follow on the last is folded when the watermark has passed it. ``skipped`` counts events that came behind
+    what was folded by then, repeats among them; Spark counts those behind the watermark. Lists and maps go at the end of a turn, the rest
+    when a session was silent for ``retention``. Times of a session must not fall with seq. Needs the RocksDB state store.
     """
-    flat = events.select(
+    flat = events.withWatermark(ts, delay).select(
         "session_id",
         "seq",
+        ts,
+        F.unix_micros(ts).alias("us"),
         "type",
         F.col("data.message").alias("message"),
         F.col("data.messageSoFar").alias("so_far"),
         F.col("data.callId").alias("call_id"),
     )
+    keep_ms = int(pd.Timedelta(retention).total_seconds() * 1000)
+    return flat.groupBy("session_id").transformWithStateInPandas(
+        stateful.SessionFold(keep_ms), stateful.FOLD, "update", "EventTime"
+    )
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = (
-            json.loads(state.get[0])
-            if state.exists
-            else {"reply": None, "failure": None, "next": None, "calls": [], "ended": False, "seen": 0}
-        )
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for row in rows.itertuples(index=False):
-            if s["ended"] or (s["next"] is not None and row.seq < s["next"]):
-                continue
-            stale = s["seen"] == 0 and row.seq > 0 and row.type == "session.waiting"
-            s["seen"], s["next"] = s["seen"] + 1, int(row.seq) + 1
-            if row.type == "message.completed" and isinstance(row.message, str):
-                s["reply"] = row.message
-            elif row.type == "message.appended" and isinstance(row.so_far, str):
-                s["reply"] = row.so_far
-            elif row.type in ("actions.requested", "action.result"):
-                if isinstance(row.call_id, str) and row.call_id not in s["calls"]:
-                    s["calls"].append(row.call_id)
-            if row.type == "session.failed":
-                s["failure"] = row.message if isinstance(row.message, str) else "session failed"
-            if row.type in rules.TURN_BOUNDARIES and not stale:
-                s["ended"] = True
-        state.update((json.dumps(s),))
-        yield pd.DataFrame(
-            [(key[0], s["reply"], s["failure"], s["next"], len(s["calls"]), s["ended"])],
-            columns=["session_id", "reply", "failure", "next_index", "tool_calls", "ended"],
-        )
 
-    return flat.groupBy("session_id").applyInPandasWithState(
-        fold, _FOLD, _FOLD_STATE, "update", GroupStateTimeout.NoTimeout
+def stream_rolling_usage(
+    attempts: DataFrame,
+    cooldown_us: int = rules.GENERATION_LIMITS["cooldown_us"],
+    delay: str = "10 minutes",
+    ts: str = "created_at",
+) -> DataFrame:
+    """attempt_id, scope, attempts, oldest_us: the trailing usage of every attempt by client hour, client day and repository cooldown.
+
+    The same numbers as ``rolling_usage``, both ends of a window included, once the watermark has passed an attempt. One union of the scopes feeds one state:
+    an attempt is a row under its client and one under its repository. Usage of all together is not a key to hold in one
+    task; ``stream_usage`` without keys counts it in slides. Needs the RocksDB state store.
+    """
+    windows = {"client": [("client_hour", rules.HOUR_US), ("client_day", rules.DAY_US)]}
+    keys = [F.struct(F.lit("client").alias("kind"), F.col("client_key").alias("name"))]
+    if cooldown_us > 0:
+        windows["repo"] = [("repo_cooldown", cooldown_us)]
+        keys.append(F.struct(F.lit("repo").alias("kind"), F.col("repo_full_name").alias("name")))
+    rows = attempts.withWatermark(ts, delay).select("attempt_id", ts, F.unix_micros(ts).alias("us"), F.inline(F.array(*keys)))
+    return rows.groupBy("kind", "name").transformWithStateInPandas(
+        stateful.TrailingUsage(windows), stateful.USAGE, "append", "EventTime"
     )
 
 
@@ -166,9 +162,6 @@ def stream_pair_calls(
     )
 
 
-_STALE = "job_id string, last_us bigint, failed_us bigint"
-
-
 def stream_stale_jobs(
     heartbeats: DataFrame,
     minutes: int = rules.STALE_ACTIVE_MINUTES,
@@ -176,33 +169,12 @@ def stream_stale_jobs(
 ) -> DataFrame:
     """Jobs that missed their heartbeat for longer than allowed, once per silence.
 
-    An event-time timer per job: it fires when the watermark passes the last heartbeat plus the limit.
-    A gap between two heartbeats of one batch is reported as well.
+    An event-time timer per job: it fires when the watermark passes the last heartbeat plus the limit. Heartbeats may arrive in any
+    order within ``delay``. Needs the RocksDB state store.
     """
-    width = minutes * 60_000_000
     rows = heartbeats.withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("us"))
-
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "last_us": [last], "failed_us": [last + width]})
-            return
-        times = sorted(pd.concat(list(batches))["us"].tolist())
-        if state.exists:
-            times = sorted([state.get[0], *times])
-        gaps = [a for a, b in zip(times, times[1:]) if b - a > width]
-        last = times[-1]
-        state.update((last,))
-        # The timer is in whole milliseconds and must lie past the watermark.
-        state.setTimeoutTimestamp(max((last + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if gaps:
-            yield pd.DataFrame(
-                {"job_id": key[0], "last_us": gaps, "failed_us": [g + width for g in gaps]}
-            )
-
-    return rows.groupBy("job_id").applyInPandasWithState(
-        run, _STALE, "last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        stateful.SilentJobs(minutes * 60_000_000), stateful.SILENT, "append", "EventTime"
     )
 
 
@@ -286,12 +258,29 @@ def stream_pages(
 # -- running a stream over landed files -------------------------------------------------------
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def started(spark, writer):
+    """Start a query on the RocksDB state store; a query keeps the settings it was started with, so the session gets its own back."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+
+
 def run_available(
-    stream: DataFrame, name: str, mode: str = "append", late: list[int] | None = None
+    stream: DataFrame, name: str, mode: str = "append", late: list[int] | None = None, progress: list | None = None
 ) -> DataFrame:
     """Run a stream to the end of its landed input and return what it wrote.
 
-    The number of rows that each stateful batch dropped as late is added to ``late``.
+    The number of rows that each stateful batch dropped as late is added to ``late``, the reports of all batches to ``progress``.
 
     Output goes to Parquet in the scratch folder, one directory per micro-batch. In update mode the last
     batch that mentions a row wins, so readers get ``batch`` as a column.
@@ -303,15 +292,17 @@ def run_available(
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    query = started(spark, writer)
     query.awaitTermination()
     if late is not None:
         late += [s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]]
+    if progress is not None:
+        progress += query.recentProgress
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     return spark.read.schema(schema).parquet(out)
