@@ -143,7 +143,7 @@ class TrailingUsage(StatefulProcessor):
         self.waiting.appendList(fresh)
         first = min(us for us, _ in fresh) // 1000 + 1
         timers = [int(t) for t in self.handle.listTimers()]
-        wake_at(self.handle, max(min([first, *timers]), timerValues.getCurrentWatermarkInMs() + 1))
+        wake_at(self.handle, min([first, *timers]))  # a timer that is due fires after the rows
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -192,7 +192,7 @@ class SilentJobs(StatefulProcessor):
         times = [int(us) for part in rows for us in part["us"]]
         self.waiting.appendList([(us,) for us in times])
         timers = [int(t) for t in self.handle.listTimers()]
-        wake_at(self.handle, max(min([min(times) // 1000 + 1, *timers]), timerValues.getCurrentWatermarkInMs() + 1))
+        wake_at(self.handle, min([min(times) // 1000 + 1, *timers]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
