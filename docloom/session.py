@@ -75,6 +75,21 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     scan with column pruning and size statistics.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark, name)}/table"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = scratch_dir(spark, name)
+    df.write.mode("overwrite").parquet(f"{folder}/table")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/table")
+    out._scratch = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of results of ``materialized`` that nothing will read again, instead of at the session's end.
+
+    Whatever was made of them must be materialized itself. Other DataFrames are left alone.
+    """
+    for df in tables:
+        folder = getattr(df, "_scratch", None)
+        if folder is not None:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
