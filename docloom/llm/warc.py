@@ -1,13 +1,15 @@
 """WARC archives as a Spark data source, with identical payloads stored once.
 
-``spark.read.format("warc")`` plans its partitions from the sizes of the files: small files together, large compressed ones
+``spark.read.format("warc")`` plans its partitions from the sizes of the files: small files together, large ones, compressed or not,
 cut at record boundaries. Every record's headers are parsed first; filters on record type and header columns
 that Spark pushes down are decided there, and a record they reject, or any with
 option ``payload`` = false, is skipped by its length without being inflated. The writer stores each record as a
-gzip member with the ``sl`` skip lengths of the format's annex; archives of other writers, without them, are read too.
+gzip member with the ``sl`` skip lengths of the format's annex; archives of other writers are read too: members without them or with
+many records, and header names in any case.
 
-A task writes files of names of its own and the commit lists the files that count in ``_manifest.json``, so retried or
-speculative tasks leave nothing that a reader sees. Files are opened through ``pyarrow.fs`` (local, HDFS, S3, GCS by
+A task writes files of names of its own and each commit lists the files that count in a ``_manifest-….json`` of its own, so retried or
+speculative tasks leave nothing that a reader sees, and appended jobs add up. Overwriting removes the lists and files of before. Folders are
+read with all below them, each by its own lists. Files are opened through ``pyarrow.fs`` (local, HDFS, S3, GCS by
 the path's scheme) and must be visible to all executors.
 
 ``archive``: a null payload counts as empty. Of equal payloads of at least ``least`` bytes the rows with the smallest id are
@@ -57,7 +59,7 @@ HEADERS = {
     "refers_to": "WARC-Refers-To",
     "payload_digest": "WARC-Payload-Digest",
 }
-MANIFEST = "_manifest.json"
+MANIFEST = r"_manifest.*\.json"
 BREAK = b"\r\n\r\n"
 
 
@@ -102,75 +104,117 @@ def _one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", str(value))
 
 
-def parse_headers(head: bytes) -> dict[str, str]:
+class Headers(dict):
+    """Header fields as they were written; ``of`` finds one whatever its case."""
+
+    def of(self, name: str, otherwise: str | None = None) -> str | None:
+        low = name.lower()
+        return next((v for k, v in self.items() if k.lower() == low), otherwise)
+
+    def length(self) -> int:
+        value = self.of("Content-Length", "0")
+        return int(value) if value.isdigit() else 0
+
+
+def parse_headers(head: bytes) -> Headers:
     lines = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
     pairs = (line.partition(b":") for line in lines[1:] if b":" in line)
-    return {k.strip().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
+    return Headers((k.strip().decode("utf-8", "replace"), v.strip().decode("utf-8", "replace")) for k, _, v in pairs)
 
 
-class _Member:
-    """A compressed record that is inflated only as far as asked for."""
+class _Cursor:
+    """Bytes of records one after another; ``out`` holds what was read from the current position on."""
 
-    def __init__(self, f, at: int, size: int | None):
-        self.f, self.at, self.size, self.z, self.out = f, at, size, zlib.decompressobj(31), b""
-        self.read = 0
+    out = b""
+
+    def _more(self, n: int) -> bool:
+        raise NotImplementedError
 
     def upto(self, mark: bytes, start: int = 0) -> int:
         """The position of ``mark``, or -1."""
-        while (i := self.out.find(mark, start)) < 0 and self._more(8192):
-            pass
+        while (i := self.out.find(mark, start)) < 0:
+            start = max(start, len(self.out) - len(mark))
+            if not self._more(8192):
+                break
         return i
 
     def whole(self, n: int) -> bytes:
-        while len(self.out) < n and self._more(1 << 20):
+        while len(self.out) < n and self._more(max(8192, min(n - len(self.out), 1 << 20))):
             pass
         return self.out[:n]
 
+    def skip(self, n: int) -> None:
+        """Move on by ``n`` bytes without keeping them."""
+        while len(self.out) < n:
+            n -= len(self.out)
+            self.out = b""
+            if not self._more(min(max(n, 8192), 1 << 20)):
+                return
+        self.out = self.out[n:]
+
+
+class _Member(_Cursor):
+    """A gzip member with one or more records, inflated only as far as asked for.
+
+    ``sizes``: its compressed and its inflated length, if its extra field tells them.
+    """
+
+    def __init__(self, f, at: int, sizes: tuple[int, int] | None):
+        self.f, self.at, self.sizes, self.z, self.out = f, at, sizes, zlib.decompressobj(31), b""
+        self.read = 0
+
+    def single(self, n: int) -> bool:
+        """Whether a record of ``n`` bytes, the first, is known to be all."""
+        return self.sizes is not None and n & 0xFFFFFFFF == self.sizes[1]
+
     def end(self) -> int:
         """Where the next member begins."""
-        if self.size is None:
-            while self._more(1 << 20):
-                self.out = b""
-            self.size = self.read - len(self.z.unused_data)
-        return self.at + self.size
+        if self.sizes is not None:
+            return self.at + self.sizes[0]
+        while self._more(1 << 20):
+            self.out = b""
+        return self.at + self.read - len(self.z.unused_data)
 
     def _more(self, n: int) -> bool:
         if self.z.eof:
             return False
-        n = n if self.size is None else min(n, self.size - self.read)
-        data = self.f.read_at(n, self.at + self.read) if n else b""
-        self.read += len(data)
-        self.out += self.z.decompress(data)
+        if self.z.unconsumed_tail:
+            data = self.z.unconsumed_tail
+        else:
+            n = n if self.sizes is None else min(n, self.sizes[0] - self.read)
+            data = self.f.read_at(n, self.at + self.read) if n > 0 else b""
+            self.read += len(data)
+        self.out += self.z.decompress(data, 4 << 20)  # a small input may inflate to much more
         return bool(data)
 
 
-class _Plain:
-    """A record of an archive that is not compressed."""
+class _Plain(_Cursor):
+    """The records of an archive that is not compressed."""
 
-    def __init__(self, f, at: int, _size=None):
-        self.f, self.at, self.out, self.length = f, at, b"", None
+    def __init__(self, f, at: int):
+        self.f, self.at, self.out = f, at, b""
 
-    def upto(self, mark: bytes, start: int = 0) -> int:
-        while (i := self.out.find(mark, start)) < 0 and self._more(8192):
-            pass
-        return i
+    @property
+    def here(self) -> int:
+        return self.at - len(self.out)
 
-    def whole(self, n: int) -> bytes:
-        if len(self.out) < n:
-            self._more(n - len(self.out))
-        return self.out[:n]
-
-    def end(self) -> int:
-        return self.at + self.length
+    def skip(self, n: int) -> None:
+        if n <= len(self.out):
+            self.out = self.out[n:]
+        else:
+            self.at, self.out = self.here + n, b""
 
     def _more(self, n: int) -> bool:
-        data = self.f.read_at(n, self.at + len(self.out))
+        data = self.f.read_at(n, self.at)
+        self.at += len(data)
         self.out += data
         return bool(data)
 
 
-def _skip_length(head: bytes) -> int | None:
-    return int.from_bytes(head[16:20], "little") if head[3:4] == b"\x04" and head[12:14] == b"sl" else None
+def _skip_lengths(head: bytes) -> tuple[int, int] | None:
+    if head[3:4] != b"\x04" or head[12:14] != b"sl":
+        return None
+    return int.from_bytes(head[16:20], "little"), int.from_bytes(head[20:24], "little")
 
 
 def _first_member(f, start: int, end: int) -> int:
@@ -189,37 +233,87 @@ def _first_member(f, start: int, end: int) -> int:
     return end
 
 
-def read_records(f, size: int, start: int, end: int, payload: bool, wanted):
-    """Rows of the records that begin in [start, end); ``wanted`` decides on the headers alone."""
-    zipped = f.read_at(2, 0) == b"\x1f\x8b"
-    at = _first_member(f, start, end) if zipped and start else start
-    while at < end and at < size:
-        rec = _Member(f, at, _skip_length(f.read_at(24, at))) if zipped else _Plain(f, at)
-        head = rec.upto(BREAK)
+def _follows(f, at: int, end: int, size: int) -> bool:
+    """Whether records follow on each other from ``at`` to beyond ``end``, or to the end of the file."""
+    cursor = _Plain(f, at)
+    while cursor.here < end:
+        if cursor.here >= size:
+            return True
+        head = cursor.upto(BREAK) if cursor.whole(5) == b"WARC/" else -1
+        headers = parse_headers(cursor.out[:head]) if head >= 0 else Headers()
+        if headers.of("WARC-Type") is None or headers.of("Content-Length") is None:
+            return False
+        cursor.skip(head + 4 + headers.length())
+        if cursor.whole(4) != BREAK and cursor.here < size:
+            return False
+        cursor.skip(4)
+    return cursor.here >= size or cursor.whole(5) == b"WARC/"
+
+
+def _first_plain(f, start: int, end: int, size: int) -> int:
+    """The first record at or after ``start`` in an archive that is not compressed, else ``end``.
+
+    What looks like records inside a payload does not follow on to the end of the range, unless the payload is
+    an archive that is longer than the range.
+    """
+    at, step, mark = max(0, start - 4), 1 << 20, BREAK + b"WARC/"
+    while at < end:
+        data = f.read_at(min(step, end - at) + len(mark), at)
+        i = data.find(mark)
+        while i >= 0 and at + i + 4 < end:
+            if _follows(f, at + i + 4, end, size):
+                return at + i + 4
+            i = data.find(mark, i + 1)
+        at += step
+    return end
+
+
+def _rows(cursor: _Cursor, payload: bool, wanted, stop):
+    """Rows of the records at the cursor until ``stop()`` or their end; a record is passed over by its length."""
+    first = True
+    while not stop():
+        head = cursor.upto(BREAK)
         if head < 0:
             return
-        headers = parse_headers(rec.out[:head])
-        body, length = head + 4, int(headers.get("Content-Length", 0))
-        if not zipped:
-            rec.length = body + length + 4
-        row = {name: headers.get(h) for name, h in HEADERS.items()}
+        skipped = len(cursor.out[:head]) - len(cursor.out[:head].lstrip(b"\r\n"))
+        headers = parse_headers(cursor.out[skipped:head])
+        body, length = head + 4, headers.length()
+        whole = body + length + 4
+        row = {name: headers.of(h) for name, h in HEADERS.items()}
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].removeprefix("sha256:")
         if wanted(row):
-            known, content = {*HEADERS.values(), "WARC-Profile", "Content-Type", "Content-Length"}, body
-            row["headers"] = [(k, v) for k, v in headers.items() if k not in known]
-            http = headers.get("Content-Type", "").startswith("application/http")
+            known, content = {h.lower() for h in (*HEADERS.values(), "WARC-Profile", "Content-Type", "Content-Length")}, body
+            row["headers"] = [(k, v) for k, v in headers.items() if k.lower() not in known]
+            http = headers.of("Content-Type", "").lower().startswith("application/http")
             if http:
-                cut = rec.upto(BREAK, body)
+                cut = cursor.upto(BREAK, body)
                 content = cut + 4 if 0 <= cut < body + length else body + length
-                inner = parse_headers(rec.out[body:content])
+                inner = parse_headers(cursor.out[body:content])
             row["payload_bytes"] = body + length - content
             if row["record_type"] == "revisit":
-                row["payload_bytes"], row["payload"] = int(inner.get("Content-Length", 0)) if http else 0, None
+                row["payload_bytes"], row["payload"] = inner.length() if http else 0, None
             else:
-                row["payload"] = rec.whole(body + length)[content:] if payload else None
+                row["payload"] = cursor.whole(body + length)[content:] if payload else None
             yield row
-        at = rec.end()
+        if first and isinstance(cursor, _Member) and cursor.single(whole):
+            return
+        first = False
+        cursor.skip(whole)
+
+
+def read_records(f, size: int, start: int, end: int, payload: bool, wanted):
+    """Rows of the records that begin in [start, end), of compressed archives those of the members that do; ``wanted`` decides on the headers alone."""
+    if f.read_at(2, 0) == b"\x1f\x8b":
+        at = _first_member(f, start, end) if start else start
+        while at < end and at < size:
+            member = _Member(f, at, _skip_lengths(f.read_at(24, at)))
+            yield from _rows(member, payload, wanted, lambda: False)
+            at = member.end()
+    else:
+        at = _first_plain(f, start, end, size) if start else start
+        cursor = _Plain(f, at)
+        yield from _rows(cursor, payload, wanted, lambda: cursor.here >= min(end, size))
 
 
 # -- the data source ------------------------------------------------------------------------------
@@ -264,16 +358,17 @@ class WarcReader(DataSourceReader):
         fs, root = _filesystem(self.path)
         infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         names = {i.path: i.size for i in infos if i.is_file and i.path.endswith((".warc", ".warc.gz"))}
-        listed = [i.path for i in infos if os.path.basename(i.path) == MANIFEST]
-        if listed:
-            with fs.open_input_stream(listed[0]) as s:
-                keep = set(json.loads(s.read()))
-            names = {n: s for n, s in names.items() if os.path.basename(n) in keep}
+        # each commit has left a list; in a folder with lists only what they name counts
+        listed: dict[str, set[str]] = {}
+        for i in infos:
+            if i.is_file and re.fullmatch(MANIFEST, os.path.basename(i.path)):
+                with fs.open_input_stream(i.path) as s:
+                    listed.setdefault(os.path.dirname(i.path), set()).update(json.loads(s.read()))
+        names = {n: s for n, s in names.items() if os.path.basename(n) in listed.get(os.path.dirname(n), {os.path.basename(n)})}
         out, now, load = [], [], 0
         for name, size in sorted(names.items()):
-            step = self.split if name.endswith(".gz") else size
-            for start in range(0, size, step or 1):
-                end = min(start + step, size)
+            for start in range(0, size, self.split):
+                end = min(start + self.split, size)
                 if now and load + end - start > self.split:
                     out, now, load = [*out, _Ranges(now)], [], 0
                 now.append((name, size, start, end))
@@ -301,7 +396,7 @@ class WarcReader(DataSourceReader):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
-        self.path, self.level = options["path"], int(options.get("level", 6))
+        self.path, self.level, self.overwrite = options["path"], int(options.get("level", 6)), overwrite
         self.most = int(options.get("filebytes", options.get("fileBytes", 1 << 30)))
 
     def write(self, iterator):
@@ -326,8 +421,14 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps([f for m in messages if m for f in m.files]).encode())
+        before = [i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.is_file] if self.overwrite else []
+        files = [f for m in messages if m for f in m.files]
+        with fs.open_output_stream(f"{root}/_manifest-{os.urandom(12).hex()}.json") as out:
+            out.write(json.dumps(files).encode())
+        # lists first, so that a reader never meets a list without its files; then what no list names any more
+        old = [p for p in before if os.path.basename(p) not in files and re.fullmatch(rf"{MANIFEST}|part-[0-9a-f]+\.warc\.gz", os.path.basename(p))]
+        for p in sorted(old, key=lambda p: not re.fullmatch(MANIFEST, os.path.basename(p))):
+            fs.delete_file(p)
 
     def abort(self, messages):
         fs, root = _filesystem(self.path)
