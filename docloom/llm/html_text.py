@@ -5,12 +5,18 @@ sidebars, notices, adverts, forms, comments and the like are bad by their elemen
 are bad; long blocks rich in stop words are good; short ones, and ones poor in stop words inside an article,
 stay ambiguous. The second pass gives every ambiguous block the label of its nearest decided neighbours in
 its own region (article or rest); where they disagree, or none is decided, the region decides.
-An article only shifts thresholds: blocks outside it are judged as on a page without one.
+An article only shifts thresholds: blocks outside it are judged as on a page without one. On a page whose long blocks have next to
+no listed stop words, its language is not listed, and length and links alone decide.
 
-Pages are independent rows, so there is no shuffle; memory is one page.
+A class or id marks an element only by a whole name: an unwanted word, alone, with the word of a container behind it (``comment-list``) or of a
+place before it (``site-footer``); ``has-sidebar`` or ``ad-free`` mark nothing. And names and forms are only claims: an element that holds most of the page's
+long blocks, while hardly any stand outside all such elements, is read as if it had none.
+
+Pages are independent rows, so there is no shuffle; memory is one page, and time grows with its length alone, however broken it is: open elements are counted, not
+searched, and a search that found nothing is not made again.
 
 A null or empty page gives an empty text. Character references are decoded, white space in a block becomes one space,
-blocks are joined by one space in page order. Unclosed elements, stray end tags, tags inside scripts and truncated pages
+blocks are joined by one space in page order. Unclosed elements (a link ends with the block it stands in), stray end tags, tags inside scripts and truncated pages
 are read as browsers do, roughly. Repeated rows are each extracted; other columns are not looked at.
 """
 
@@ -42,7 +48,7 @@ STOP_WORDS = frozenset(
     ).split()
 )
 # Elements that are never the article, raw ones whose content is no markup, and void ones.
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button select option label fieldset iframe object noscript template svg canvas".split())
+BOILERPLATE = frozenset("nav header footer aside menu dialog button select option iframe object noscript template svg canvas".split())
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -61,15 +67,25 @@ WANTED_NAMES = frozenset("article content post entry story main maincontent body
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LEAST = 0.06  # below it in all long blocks, the page's language is not a listed one
 LINKS_HIGH, LINKS_ARTICLE = 0.2, 0.5
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
-    re.S,
+# Words that stand behind or before an unwanted one in the name of its container.
+CONTAINERS = frozenset(
+    "area bar block body box button buttons card cards col column container content entries feed group header heading holder icons inner item items "
+    "label link links list main message module news outer panel post posts row section slot stories tab tabs text thread title top unit wrap wrapper".split()
+)
+PLACES = frozenset(
+    "article blog bottom content desktop entry fixed global left local main mobile page post primary right secondary site sticky story sub top user "
+    "web website".split()
 )
+
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.S)
 WORD = re.compile(r"\w+")
+QUOTE = re.compile(r"=\s*(?:(\")|('))|[\"']")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+UNSTACKED = frozenset("p li td th tr dt dd option h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
@@ -77,11 +93,21 @@ class Block:
     text: str
     linked: int
     region: str  # "article", "rest" or "out"
+    claim: int = -1  # the innermost element around it that is unwanted by its name, or a form
     label: str = ""
 
 
+def _unwanted(token: str) -> bool:
+    parts = [x for x in re.split("[_-]+", token) if x]
+    if not parts:
+        return False
+    if parts[0] in UNWANTED_NAMES:
+        return all(x in UNWANTED_NAMES or x in CONTAINERS or x.isdigit() for x in parts[1:])
+    return parts[-1] in UNWANTED_NAMES and all(x in PLACES for x in parts[:-1])
+
+
 def _kind(tag: str, attributes: str) -> str:
-    """What an element says about its content: "out", "in" or nothing."""
+    """What an element says about its content: "out", "claim" (out by its name), "in" or nothing."""
     if tag in BOILERPLATE:
         return "out"
     found = {}
@@ -93,102 +119,223 @@ def _kind(tag: str, attributes: str) -> str:
         return "out"
     if tag in ("article", "main") or found.get("role", "").lower() in ("main", "article"):
         return "in"
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    whole = names.split()
-    parts = re.split(r"[\s_-]+", names)
-    if tag not in ("body", "html") and (UNWANTED_NAMES.intersection(whole) or UNWANTED_NAMES.intersection(parts)):
-        return "out"
-    if tag in ("div", "section") and WANTED_NAMES.intersection([*whole, *parts]):
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    if tag == "form" or tag not in ("body", "html") and any(map(_unwanted, tokens)):
+        return "claim"
+    if tag in ("div", "section") and any(WANTED_NAMES.intersection((t, *re.split("[_-]+", t))) for t in tokens):
         return "in"
     return ""
 
 
+class _Finder:
+    """``str.find`` that does not look twice for what is not there."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.gone.add(what)
+        return i
+
+
+def _tag_end(page: str, at: int, find: _Finder) -> int:
+    """The position of the ``>`` that ends the tag at ``at``; one in a quoted value does not, if the quote is closed. -1: none."""
+    start = at
+    while (end := find.find(">", at)) >= 0:
+        quote = ""
+        for m in QUOTE.finditer(page, start, end):
+            if not quote and (m[1] or m[2]):
+                quote = m[1] or m[2]
+            elif quote and (m[0][-1] == quote):
+                quote = ""
+        if not quote:
+            return end
+        close = find.find(quote, end)
+        if close < 0:
+            return end
+        start = at = close + 1
+    return -1
+
+
+def tags(page: str):
+    """(text before, name in lower case or "", whether it ends an element, attributes) of every tag; the last has no name."""
+    find, at, n, open_text = _Finder(page), 0, len(page), 0
+    while (i := find.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            end = find.find("-->", i + 2)
+            close, name = (n if end < 0 else end + 3), None
+        elif page.startswith("<![CDATA[", i):
+            end = find.find("]]>", i)
+            close, name = (n if end < 0 else end + 3), None
+        elif page.startswith(("<!", "<?"), i):
+            end = find.find(">", i)
+            close, name = end + 1, None
+            if end < 0:
+                break
+        elif name := NAME.match(page, i):
+            end = _tag_end(page, name.end(), find)
+            close = end + 1
+            if end < 0:
+                break
+        else:
+            at = i + 1
+            continue
+        tag = name[1].lower() if name else ""
+        ends = name is not None and page[i + 1] == "/"
+        yield page[open_text:i], tag, ends, page[name.end() : end] if name else ""
+        if tag in RAW and not ends:
+            m = RAW_END[tag].search(page, close) if tag not in find.gone else None
+            if not m:
+                find.gone.add(tag)
+            close = m.end() if m else n
+        at = open_text = close
+    yield page[open_text:], "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with their link characters and region, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements that are not inline, and their kind
+    stack: list[tuple[str, str, bool, int]] = []  # open elements that are not inline, their kind, whether inside an article, the claim before
+    opened: dict[str, int] = {}  # how many of each are on the stack
+    count = {"in": 0, "out": 0, "": 0, "claim": 0}
+    parents: list[int] = []  # of each claim, the one around it
     texts: list[str] = []
-    linked = links = 0
-    region = "rest"
+    since: dict[str, int] | None = None  # blocks opened since the open link began
+    linked, claim, region = 0, -1, "rest"
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(texts)).split())
         if text:
-            out.append(Block(text, linked, region))
+            out.append(Block(text, linked, region, claim))
         texts.clear()
         linked = 0
 
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        text = page[at : m.start() if m else n]
+    def push(tag: str, kind: str) -> None:
+        nonlocal claim
+        stack.append((tag, kind, count["in"] > 0, claim))
+        opened[tag] = opened.get(tag, 0) + 1
+        count[kind] += 1
+        if kind == "claim":
+            parents.append(claim)
+            claim = len(parents) - 1
+
+    def pop() -> str:
+        nonlocal claim
+        tag, kind, _, claim = stack.pop()
+        opened[tag] -= 1
+        count[kind] -= 1
+        return tag
+
+    for text, tag, ends, attributes in tags(page):
         if text and region != "out":
             texts.append(text)
-            if links:
+            if since is not None:
                 linked += len(" ".join(html.unescape(text).split()))
-        if not m:
-            break
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
-        tag = tag.lower()
-        if tag in RAW and not end:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
         if tag == "a":
-            links = 0 if end else 1
+            since = None if ends else {}
         if tag in INLINE:
-            kind = "" if end or tag in VOID else _kind(tag, attributes)
+            kind = "" if ends or tag in VOID else _kind(tag, attributes)
             if tag in ("br", "wbr", "img"):
                 texts.append(" ")
-            elif kind == "out":
+            elif kind in ("out", "claim"):
                 flush()
-                stack.append((tag, "out"))
-            elif end and any(t == tag and k == "out" for t, k in stack[-1:]):
+                push(tag, kind)
+            elif ends and stack and stack[-1][0] == tag and stack[-1][1] in ("out", "claim"):
                 flush()
-                stack.pop()
+                pop()
             else:
                 continue
         else:
             flush()
             if tag in VOID:
                 continue
-            if not end:
-                if tag == "head" or tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6") or _kind(tag, attributes):
-                    stack.append((tag, "out" if tag == "head" else _kind(tag, attributes)))
+            if not ends:
+                if since is not None:
+                    since[tag] = since.get(tag, 0) + 1
+                kind = "out" if tag == "head" else _kind(tag, attributes)
+                if kind or tag not in UNSTACKED:
+                    push(tag, kind)
             else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-        kinds = [k for _, k in stack if k]
-        article = "in" in kinds
-        if "out" in kinds:
+                if since is not None:
+                    since[tag] = since.get(tag, 0) - 1
+                    if since[tag] < 0:  # the block that the link stands in
+                        since = None
+                if opened.get(tag):
+                    while pop() != tag:
+                        pass
+        if count["out"]:
             # a header inside an article may hold its headline
-            outs = [t for t, k in stack if k == "out"]
-            headline = article and outs == ["header"] and kinds.index("in") < kinds.index("out") and tag in ("h1", "h2", "header") and not (end and tag != "header")
-            region = "article" if headline and tag != "header" else "out"
+            headline = count["out"] == 1 and count["in"] and tag in ("h1", "h2") and not ends and _in_header(stack)
+            region = "article" if headline else "out"
         else:
-            region = "article" if article else "rest"
+            region = "article" if count["in"] else "rest"
     flush()
-    return out
+    return _settled(out, parents)
+
+
+def _in_header(stack: list) -> bool:
+    """Whether the only unwanted element is a header within an article; it is near the top of the stack if a headline stands in it."""
+    for tag, kind, inside, _ in reversed(stack[-8:]):
+        if kind == "out":
+            return tag == "header" and inside
+    return False
+
+
+def _settled(found: list[Block], parents: list[int]) -> list[Block]:
+    """Blocks in elements that are unwanted by name become "out", unless such an element holds the page's text."""
+    if not parents:
+        return found
+    held, total, free = [0] * len(parents), 0, 0
+    for b in found:
+        if b.region != "out" and len(b.text) >= LENGTH_LOW and b.linked <= LINKS_HIGH * len(b.text):
+            total += len(b.text)
+            if b.claim < 0:
+                free += len(b.text)
+            else:
+                held[b.claim] += len(b.text)
+    for i in range(len(parents) - 1, -1, -1):
+        if parents[i] >= 0:
+            held[parents[i]] += held[i]
+    unwanted: list[bool] = []
+    for i, parent in enumerate(parents):
+        own = not (2 * held[i] > total and free < LENGTH_HIGH)
+        unwanted.append(own or (parent >= 0 and unwanted[parent]))
+    for b in found:
+        if b.claim >= 0 and unwanted[b.claim]:
+            b.region = "out"
+    return [b for b in found if b.region != "out"]
+
+
+def _weight(text: str) -> int:
+    """Length in letters of an alphabet; a character of a script without spaces counts twice."""
+    return len(text) + sum(c >= "\u2e80" for c in text)
 
 
 def classify(found: list[Block]) -> list[Block]:
     """Label every block good or bad, in two passes."""
+    measured, all_words, all_stops = [], 0, 0
     for b in found:
         words = WORD.findall(b.text.lower())
-        size, links = len(b.text), b.linked / max(len(b.text), 1)
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+        size, links = _weight(b.text), b.linked / max(len(b.text), 1)
+        stops = sum(w in STOP_WORDS for w in words)
+        if size >= LENGTH_LOW and links <= LINKS_HIGH:
+            all_words, all_stops = all_words + len(words), all_stops + stops
+        measured.append((size, links, stops / max(len(words), 1)))
+    unlisted = all_stops < STOP_LEAST * all_words
+    for b, (size, links, stops) in zip(found, measured):
         inside = b.region == "article"
         if links > (LINKS_ARTICLE if inside else LINKS_HIGH):
             b.label = "bad"
         elif size < LENGTH_LOW:
             b.label = "short"
-        elif stops >= STOP_HIGH:
+        elif stops >= STOP_HIGH or unlisted:
             b.label = "good" if size > LENGTH_HIGH or inside else "near"
         elif stops >= STOP_LOW:
             b.label = "near"
