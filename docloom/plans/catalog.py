@@ -25,4 +25,4 @@ def register(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from docloom.plans import corpus, events, matching, repositories, tables  # noqa: F401
+    from docloom.plans import checked, corpus, events, matching, repositories, tables, written  # noqa: F401

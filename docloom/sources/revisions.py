@@ -123,7 +123,8 @@ def publish_revision(
 
     ``pages`` and ``files`` carry repo_id and revision_id. Their rows go to directories of their own
     first; readers only find them through the pointer snapshot, which is written last and counts once
-    its job has committed. A failed publish leaves the previous snapshot in charge. Versions must grow.
+    its job has committed. A failed publish leaves the previous snapshot in charge. Versions must grow, and a
+    repository has one revision in a publish.
     """
     versions = _completed_versions(spark, f"{root}/pointers")
     if versions and version <= versions[-1]:
@@ -132,14 +133,68 @@ def publish_revision(
     pages.write.mode("overwrite").parquet(f"{root}/pages/version={version}")
     files.write.mode("overwrite").parquet(f"{root}/files/version={version}")
     written = spark.read.parquet(f"{root}/pages/version={version}")
-    fresh = written.groupBy("repo_id").agg(F.max("revision_id").alias("revision_id"))
-    fresh = fresh.select("*", F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
+    fresh = written.groupBy("repo_id").agg(F.max("revision_id").alias("revision_id"), F.min("revision_id").alias("_least"))
+    several = fresh.where("revision_id <> _least").select("repo_id").limit(5).collect()
+    if several:
+        raise ValueError(f"more than one revision in a publish: {[r.repo_id for r in several]}")
+    fresh = fresh.select("repo_id", "revision_id", F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
     kept = before.join(fresh, "repo_id", "left_anti")
     kept.unionByName(fresh).write.mode("overwrite").parquet(f"{root}/pointers/version={version}")
 
 
+def live_versions(spark: SparkSession, root: str) -> list[int]:
+    """Versions that some repository's pointer names: at most one for each publish since the last compaction."""
+    return sorted(r.version for r in read_pointers(spark, root).select("version").distinct().collect())
+
+
 def read_published(spark: SparkSession, root: str, table: str = "pages") -> DataFrame:
-    """Rows of the current revision of every repository."""
+    """Rows of the current revision of every repository; only directories that a pointer names are listed and read."""
     current = read_pointers(spark, root).select("repo_id", "revision_id", "version")
-    stored = spark.read.parquet(f"{root}/{table}")
-    return stored.join(current, ["repo_id", "revision_id", "version"])
+    live = live_versions(spark, root)
+    if not live:
+        return current
+    folders = [f"{root}/{table}/version={v}" for v in live]
+    return spark.read.option("basePath", f"{root}/{table}").parquet(*folders).join(current, ["repo_id", "revision_id", "version"])
+
+
+def compact_versions(spark: SparkSession, root: str, version: int, tables: tuple[str, ...] = ("pages", "files")) -> None:
+    """Gather what is published in directories of one new version, so that readers list few.
+
+    Pointers keep their revision and time. As in a publish the snapshot is written last; what it leaves behind, ``remove_dead`` takes away.
+    """
+    versions = _completed_versions(spark, f"{root}/pointers")
+    if not versions or version <= versions[-1]:
+        raise ValueError(f"version {version} is not newer than {versions[-1:]}")
+    before = read_pointers(spark, root)
+    for table in tables:
+        rows = read_published(spark, root, table).drop("version")
+        rows.hint("rebalance", "repo_id").write.mode("overwrite").parquet(f"{root}/{table}/version={version}")
+    before.withColumn("version", F.lit(version).cast(before.schema["version"].dataType)).write.mode("overwrite").parquet(
+        f"{root}/pointers/version={version}"
+    )
+
+
+def remove_dead(spark: SparkSession, root: str, tables: tuple[str, ...] = ("pages", "files"), keep: int = 1) -> list[str]:
+    """Delete directories that none of the last ``keep`` snapshots needs, and the snapshots before these; returns them.
+
+    Readers of an older snapshot must have ended. A version above the newest snapshot may still be being published and stays.
+    """
+    versions = _completed_versions(spark, f"{root}/pointers")
+    kept = versions[-keep:]
+    if not kept:
+        return []
+    snapshots = spark.read.parquet(*[f"{root}/pointers/version={v}" for v in kept])
+    live = {r.version for r in snapshots.select("version").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    gone = []
+    for table in (*tables, "pointers"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path) if fs.exists(path) else ():
+            name = status.getPath().getName()
+            number = int(name.split("=", 1)[1]) if name.startswith("version=") else None
+            wanted = number is None or number > versions[-1] or number in (set(kept) if table == "pointers" else live)
+            if not wanted:
+                fs.delete(status.getPath(), True)
+                gone.append(f"{table}/{name}")
+    return sorted(gone)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators import corpus as operators
 from docloom.sources import corpus, drafts, revisions
 from docloom.streaming import batch, jobs
 
@@ -118,3 +119,43 @@ def test_artifacts_are_replaced_by_key_and_retry(spark, tmp_path):
     revisions.write_artifacts(rows(("b", "three")), path, 2)
     got = revisions.read_artifacts(spark, path).collect()
     assert sorted((r.page_id, r.text) for r in got) == [("a", "one"), ("b", "three")]
+
+
+def test_readers_list_live_versions_only(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda *items: spark.createDataFrame(list(items), "repo_id string, revision_id string, slug string")
+    shown = lambda: sorted((r.repo_id, r.revision_id, r.slug) for r in revisions.read_published(spark, root).collect())
+    read = lambda: {p.split("version=")[1].split("/")[0] for p in revisions.read_published(spark, root).inputFiles() if "/pages/" in p}
+    for version in range(1, 6):
+        page = rows(("a", f"a{version}", "x"), *([("b", "b1", "y")] if version == 2 else []))
+        revisions.publish_revision(spark, root, version, page, page)
+    want = [("a", "a5", "x"), ("b", "b1", "y")]
+    assert shown() == want and read() == {"2", "5"}
+    with pytest.raises(ValueError, match="more than one revision"):
+        two = rows(("c", "c1", "p"), ("c", "c2", "p"))
+        revisions.publish_revision(spark, root, 6, two, two)
+    assert shown() == want
+    revisions.compact_versions(spark, root, 7)
+    assert shown() == want and read() == {"7"}
+    gone = revisions.remove_dead(spark, root, keep=2)
+    assert {x for x in gone if x.startswith("pages")} == {"pages/version=1", "pages/version=3", "pages/version=4", "pages/version=6"}
+    assert shown() == want and revisions.remove_dead(spark, root) != [] and shown() == want
+
+
+def test_sitemaps_are_read_in_rounds(spark):
+    site = "https://docs.acme.dev"
+    loc = lambda *paths: "".join(f"<url><loc>{site}{p}</loc></url>" for p in paths)
+    bodies = [
+        (f"{site}/sitemap.xml", loc("/docs/a.xml", "/docs/b.xml")),
+        (f"{site}/docs/a.xml", loc("/docs/one", "/docs/two")),
+        (f"{site}/docs/b.xml", loc("/docs/c.xml", "/sitemap.xml", "/docs/sitemap-self.xml")),
+        (f"{site}/docs/c.xml", loc("/docs/two", "/docs/three")),
+        (f"{site}/other.xml", loc("/docs/four", "/docs/a.xml")),
+    ]
+    landed = spark.createDataFrame(bodies, "url string, html string")
+    starts = spark.createDataFrame([("r", f"{site}/sitemap.xml"), ("s", f"{site}/other.xml"), ("t", f"{site}/gone.xml")], "repo_id string, url string")
+    rows = lambda **how: sorted((r.repo_id, r.url.rsplit("/", 1)[1], r.sitemap.rsplit("/", 1)[1], r.depth) for r in operators.sitemap_documents(starts, landed, **how).collect())
+    first = [("r", "one", "a.xml", 1), ("r", "two", "a.xml", 1), ("s", "four", "other.xml", 0)]
+    assert rows() == sorted([*first, ("r", "three", "c.xml", 2)])
+    assert rows(depth=1) == first and rows(depth=0) == [("s", "four", "other.xml", 0)]
+    assert rows(n=1) == first  # of the nested ones the first by score and place
