@@ -9,6 +9,8 @@ Medians are found for all nodes of a level together by histograms: each round is
 narrow table of points, and narrows the range around every median to one bucket. Only histogram rows
 (``max_cells`` at most a round) and the splits reach the driver. A round's bucket counts shrink as nodes grow.
 
+A string dimension counts by the rank of its value among the distinct ones, which Spark sorts, so values that share a long prefix still split.
+
 Nulls: a null text weighs one byte and equals the empty text; a metadata value that is null or no number lies
 below all others (dimensions are strings or numbers).
 Repeated rows stay and each gets a slot of its own; ids may repeat or be null. Other columns are not looked at,
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.base import small, table
+from docloom.llm.ranks import ranked
 from docloom.llm.registry import register
 from docloom.session import materialized
 
@@ -31,23 +34,37 @@ TOP = 2**53  # hashes lie below it, exact in a double
 POINT = ["key", "crc", "size"]
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A metadata value as a number in its own order: strings by their first six bytes."""
-    c, kind = F.col(name), df.schema[name].dataType
-    if isinstance(kind, T.StringType):
-        c = F.conv(F.rpad(F.substring(F.hex(F.encode(c, "UTF-8")), 1, 12), 12, "0"), 16, 10)
-    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(-1.0))
+def _number(c: Column) -> Column:
+    """A numeric metadata value; null for what is no number."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
+def _ranks(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the strings of ``name`` replaced by their rank among its distinct values, in the order of their bytes."""
+    values = rows.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_every", F.lit("*"))
+    placed = materialized(ranked(values, "_every", [name], "shard-values", "_rank").select(name, "_rank"), "shard-ranks")
+    joined = rows.join(placed, name, "left").withColumn(name, F.coalesce(F.col("_rank").cast("double"), F.lit(-1.0)))
+    return joined.select(*rows.columns)
 
 
 def text_rows(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    strings = [i for i, d in enumerate(dims) if isinstance(docs.schema[d].dataType, T.StringType)]
+    rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text).alias("key"),
         F.crc32(text).alias("crc"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        *[_number(docs, d).alias(f"d{i}") for i, d in enumerate(dims)],
+        *[(F.col(d) if i in strings else _number(F.col(d))).alias(f"d{i}") for i, d in enumerate(dims)],
     )
+    rows = materialized(rows, "shard-texts")  # the texts are read once
+    numbers = [f"d{i}" for i in range(len(dims)) if i not in strings]
+    if numbers:
+        least = rows.agg(*[F.min(c).alias(c) for c in numbers]).first()
+        rows = rows.fillna({c: (0.0 if least[c] is None else least[c]) - 1 for c in numbers})
+    for i in strings:
+        rows = _ranks(rows, f"d{i}")
+    return rows
 
 
 class _Search:
