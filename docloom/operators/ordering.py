@@ -7,10 +7,11 @@ the rank of every row go through ``rank_by_position`` or the sliced windows belo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -526,6 +527,54 @@ def balanced_sample(
     )
 
 
+def visits(sizes: Sequence[int], n: int) -> list[tuple[int, int]]:
+    """(group, which of its rows) of the first ``n`` visits: groups in turn, and from the first one again whenever one is empty."""
+    left, out, cursor = [[i, 0, size] for i, size in enumerate(sizes) if size > 0], [], 0
+    while left and len(out) < n:
+        at = cursor % len(left)
+        entry = left[at]
+        out.append((entry[0], entry[1]))
+        entry[1] += 1
+        if entry[1] == entry[2]:
+            del left[at]
+            cursor = 0
+        else:
+            cursor += 1
+    return out
+
+
+def cursor_sample(
+    df: DataFrame, keys: Sequence[str], group: str, order: Sequence[str], n: int, group_scores: DataFrame | None = None
+) -> DataFrame:
+    """Take ``n`` rows per key from its groups in turn, starting over with the best group whenever one is used up.
+
+    Beside ``balanced_sample``, whose rounds are clean, this is the order of a cursor that goes back to the start: small groups
+    that are first in line are emptied before later ones have their turn. Groups stand by score, then by their first row in ``order``. Which
+    row of which group comes when follows from the groups' sizes alone: at most ``n`` groups of a key can be visited, so a
+    schedule of ``n`` visits is made of at most that many counts, and the rows join it by their rank.
+    """
+    keys = list(keys)
+    rounds = group_ranks_limited(df, [*keys, group], order, n, "_round")
+    sizes = df.groupBy(*keys, group).agg(F.count(F.lit(1)).alias("_size"))
+    if group_scores is None:
+        group_scores = sizes.select(*keys, group, group_score(F.col(group), F.col("_size")).alias("group_score"))
+    first = rounds.filter("_round = 1").select(*keys, group, *order).join(sizes, [*keys, group]).join(group_scores, [*keys, group])
+    lined = group_ranks_limited(first, keys, [F.col("group_score").desc(), *order], n, "_line")
+    listed = lined.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_line", F.col(group).alias("_group"), "_size"))).alias("_groups"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys, group).schema)
+
+    def schedule(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for *key, groups in batch.itertuples(index=False):
+                for at, (g, k) in enumerate(visits([x["_size"] for x in groups], n)):
+                    rows.append((*key, groups[g]["_group"], k + 1, at + 1))
+            yield pd.DataFrame(rows, columns=[*keys, group, "_round", "take_order"])
+
+    plan = listed.select(*keys, "_groups").mapInPandas(schedule, f"{kinds}, _round int, take_order int")
+    return rounds.join(plan, [*keys, group, "_round"]).drop("_round")
+
+
 def priority_rank(priority: Column) -> Column:
     return (
         F.when(priority == "required", 3).when(priority == "recommended", 2).when(

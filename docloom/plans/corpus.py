@@ -319,6 +319,31 @@ def balanced_sample(spark, sf):
     return ordering.balanced_sample(pages, ["site"], "host", ["page_id"], 60)
 
 
+@register(
+    "cursor_sample",
+    f"""WITH RECURSIVE p AS (SELECT page_id, {D.registrable(D.host('url'))} AS site, {D.host('url')} AS host FROM pages),
+    z AS (SELECT site, host, count(*) AS size, min(page_id) AS first FROM p GROUP BY 1, 2),
+    g AS (SELECT *, least(size, 80) + {D.weights('host', rules.GROUP_SCORES)} AS score FROM z),
+    l AS (SELECT site, list(host ORDER BY score DESC, first) AS hosts, list(size ORDER BY score DESC, first) AS sizes FROM g GROUP BY 1),
+    f AS (SELECT site, 0 AS i, 0 AS cursor, hosts, sizes, CAST(NULL AS VARCHAR) AS host FROM l
+      UNION ALL
+      SELECT site, i + 1, CASE WHEN sizes[nth] = 1 THEN 0 ELSE cursor + 1 END,
+        CASE WHEN sizes[nth] = 1 THEN list_concat(hosts[:nth - 1], hosts[nth + 1:]) ELSE hosts END,
+        CASE WHEN sizes[nth] = 1 THEN list_concat(sizes[:nth - 1], sizes[nth + 1:]) ELSE list_concat(list_append(sizes[:nth - 1], sizes[nth] - 1), sizes[nth + 1:]) END, hosts[nth]
+      FROM (SELECT *, cursor % len(hosts) + 1 AS nth FROM f WHERE len(hosts) > 0 AND i < 60)),
+    v AS (SELECT site, host, i, row_number() OVER (PARTITION BY site, host ORDER BY i) AS k FROM f WHERE i > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY site, host ORDER BY page_id) AS k FROM p)
+    SELECT r.page_id, r.site, r.host, CAST(v.i AS INT) AS take_order FROM v JOIN r ON r.site = v.site AND r.host = v.host AND r.k = v.k""",
+)
+def cursor_sample(spark, sf):
+    pages = table(spark, sf, "pages").select(
+        "page_id",
+        U.registrable_host(U.host(F.col("url"))).alias("site"),
+        U.host(F.col("url")).alias("host"),
+    )
+    return ordering.cursor_sample(pages, ["site"], "host", ["page_id"], 60).select("page_id", "site", "host", "take_order")
+
+
 _TITLE_FROM_SLUG = (
     "array_to_string(list_transform(list_filter(string_split_regex(regexp_replace({x}, '(?i)\\.[a-z0-9]+$', ''), '[-_]+'), lambda w: w <> ''),"
     " lambda w: CASE WHEN lower(w) IN {a} THEN upper(w) ELSE replace(upper(w[1]), 'ẞ', 'SS') || w[2:] END), ' ')"
