@@ -45,14 +45,8 @@ def _empty() -> Column:
 
 
 def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of length ``n``."""
-    last = F.length(text) - n + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(n)))
-        ),
-    ).otherwise(_empty())
+    """Distinct substrings of length ``n``, by one pass of a pattern that moves on by a character."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def containment_pairs(
@@ -61,19 +55,24 @@ def containment_pairs(
     """Exact (needle, text) pairs where the text contains the needle, without comparing all of them.
 
     ``needles``: keys and ``needle`` (none shorter than ``min_len``). ``texts``: keys, ``text_id`` columns
-    and ``text``. A contained needle's leading gram occurs in the text, so pairs meet on that gram and
-    are then verified. The join is spread over grams, not over repositories.
+    and ``text``. A contained needle has all its grams in the text, so a needle meets texts on the one of its grams that the
+    fewest texts of its keys have; a needle with a gram that none has meets nothing. Gram rows carry ids only, and
+    only of grams that needles have; the text is attached once, to the pairs that are left to be verified.
     """
     lengths = range(min(min_len, GRAM), GRAM + 1)
     wanted = needles.select(*keys, "needle").filter(F.length("needle") >= min_len).distinct()
-    wanted = wanted.withColumn("_gram", F.substring("needle", 1, GRAM))
+    own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))
+    sought = materialized(wanted.select(*keys, "needle", F.explode(own).alias("_gram")), "needle-grams")
     grams = F.concat(*[_grams(F.col("text"), n) for n in lengths])
-    spread = texts.select(*keys, *text_id, "text", F.explode(grams).alias("_gram"))
-    return (
-        wanted.join(spread, [*keys, "_gram"])
-        .filter(F.contains("text", "needle"))
-        .select(*keys, "needle", *text_id)
-    )
+    spread = texts.select(*keys, *text_id, F.explode(grams).alias("_gram"))
+    met = materialized(spread.join(sought.select(*keys, "_gram").distinct(), [*keys, "_gram"]), "text-grams")
+    counted = met.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = sought.join(counted, [*keys, "_gram"], "left")
+    rarest = ranked.groupBy(*keys, "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
+    rarest = rarest.filter("_r.n > 0").select(*keys, "needle", F.col("_r._gram").alias("_gram"))
+    pairs = rarest.join(met, [*keys, "_gram"]).select(*keys, "needle", *text_id)
+    found = pairs.join(texts.select(*keys, *text_id, "text"), [*keys, *text_id]).filter(F.contains("text", "needle"))
+    return found.select(*keys, "needle", *text_id).distinct()
 
 
 # -- J8 ---------------------------------------------------------------------------------------
@@ -247,14 +246,10 @@ def _has_any(terms: Column, wanted: Sequence[str]) -> Column:
     return F.arrays_overlap(terms, F.array(*[F.lit(w) for w in wanted]))
 
 
-def _asked(terms: Column, spec: str) -> Column:
-    """Any of the words; ``a+b`` stands for both."""
-    single = [w for w in spec.split() if "+" not in w]
-    both = [w.split("+") for w in spec.split() if "+" in w]
-    tests = [_has_any(terms, single)]
-    tests += [
-        reduce(lambda a, b: a & b, [F.array_contains(terms, part) for part in parts]) for parts in both
-    ]
+def _asked(terms: Column, rule: rules.SurfaceRule) -> Column:
+    """Any of the rule's words, or all of one of its groups."""
+    tests = [_has_any(terms, rule.any_of)]
+    tests += [reduce(lambda a, b: a & b, [F.array_contains(terms, w) for w in words]) for words in rule.all_of]
     return reduce(lambda a, b: a | b, tests)
 
 
@@ -300,7 +295,7 @@ def _surface(entry_mask: Column, path_mask: Column, is_docs_dir: Column) -> Colu
             lambda a, b: a + b,
             [
                 F.when(shared.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, w).otherwise(0)
-                for i, (_, _, w) in enumerate(rules.SURFACE_RULES)
+                for i, w in enumerate(r.weight for r in rules.SURFACE_RULES)
             ],
         )
 
@@ -367,7 +362,7 @@ def _source_features(files: DataFrame) -> DataFrame:
         f_segs=U.comparable_path_segments(path),
         f_flags=_bits(_path_flags(path)),
         f_surface=_bits(
-            [_has_any(F.col("f_words"), present.split()) for _, present, _ in rules.SURFACE_RULES]
+            [_has_any(F.col("f_words"), r.path_words) for r in rules.SURFACE_RULES]
         ),
         f_docs_dir=path.rlike("(?i)^docs?/"),
         f_own=weighted(path, rules.PATH_BOOSTS),
@@ -386,7 +381,7 @@ def _wanted_features(entries: DataFrame, repos: DataFrame) -> DataFrame:
     return stage(
         named.select("repo_id", "entry_pos", "e_terms", "e_segs"),
         e_flags=_bits(_term_flags(t, F.size("e_segs") > 0)),
-        e_surface=_bits([_asked(t, asked) for asked, _, _ in rules.SURFACE_RULES]),
+        e_surface=_bits([_asked(t, r) for r in rules.SURFACE_RULES]),
     )
 
 

@@ -296,17 +296,19 @@ def _foreign_paths() -> Column:
 
 
 def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per draft with everything its checks need.
+    """One row per draft with everything its checks need; a draft without an outline page, or a page whose repository has no evidence, has nulls there.
 
     ``drafts``: repo_id, page_slug, attempt, title, markdown, citations. ``outline``: repo_id, pos, slug,
     title, purpose, source_paths. ``evidence``: file_count, docs_count, link_count per repository. Paths
     are checked against the inventory by key; the long text takes part in equi-joins only.
     """
     pages = classify_pages(outline).withColumn("_key", T.slug(F.col("slug")))
+    known_size = F.col("file_count").isNotNull()
     needs = (
-        pages.join(evidence.select("repo_id", "file_count", "docs_count", "link_count"), "repo_id")
-        .withColumn("min_words", page_min_words())
-        .withColumn("min_sections", page_min_sections())
+        pages.join(evidence.select("repo_id", "file_count", "docs_count", "link_count"), "repo_id", "left")
+        .withColumn("min_words", F.when(known_size, page_min_words()))
+        .withColumn("min_sections", F.when(known_size, page_min_sections()))
+        .withColumn("has_evidence", known_size)
     )
     own = needs.select(
         "repo_id",
@@ -320,6 +322,7 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
         "is_important",
         "min_words",
         "min_sections",
+        "has_evidence",
     )
     ids = ["repo_id", "page_slug", "attempt"]
     known = valid_citations(drafts, files, tuple(ids))
@@ -337,7 +340,8 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
         *[m.alias(k) for k, m in metric_columns(md).items() if k not in ("links", "index_headings")],
     ).withColumn("_key", T.slug(F.col("page_slug")))
     joined = (
-        measured.join(own.drop("title"), ["repo_id", "_key"])
+        measured.join(own.drop("title"), ["repo_id", "_key"], "left")
+        .withColumn("source_paths", F.coalesce("source_paths", none))
         .join(known, ids, "left")
         .join(indexed, ["repo_id", "slug"], "left")
         .withColumn("valid_paths", F.coalesce("valid_paths", none))
@@ -359,6 +363,8 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
     return facts.select(
         *ids,
         "slug",
+        F.col("slug").isNotNull().alias("planned"),
+        "has_evidence",
         F.col("page_title").alias("title"),
         "is_reference",
         "is_guide",
@@ -393,6 +399,8 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
 def page_issues_of(facts: DataFrame) -> DataFrame:
     c = F.col
     fixed = [
+        _issue(~c("planned"), "no_outline_page"),
+        _issue(c("planned") & ~c("has_evidence"), "no_evidence"),
         _issue(~c("titled"), "no_title"),
         _issue(
             c("h2") < c("min_sections"), "too_few_sections", F.concat_ws("/", c("h2"), c("min_sections"))

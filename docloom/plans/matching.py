@@ -119,18 +119,13 @@ def _any_of(lst: str, words) -> str:
     return f"list_has_any({lst}, {_list(words)})"
 
 
-def _asked(spec: str) -> str:
-    tests = [_any_of("terms", [w for w in spec.split() if "+" not in w])]
-    for w in spec.split():
-        if "+" in w:
-            tests.append(" AND ".join(f"list_contains(terms, {D.q(x)})" for x in w.split("+")))
+def _asked(rule: rules.SurfaceRule) -> str:
+    tests = [_any_of("terms", rule.any_of)]
+    tests += [" AND ".join(f"list_contains(terms, {D.q(x)})" for x in words) for words in rule.all_of]
     return "(" + " OR ".join(f"({t})" for t in tests) + ")"
 
 
-_SURFACE = " + ".join(
-    _case(f"{_asked(asked)} AND {_any_of('words', present.split())}", w)
-    for asked, present, w in rules.SURFACE_RULES
-)
+_SURFACE = " + ".join(_case(f"{_asked(r)} AND {_any_of('words', r.path_words)}", r.weight) for r in rules.SURFACE_RULES)
 _TERM_SUM = """coalesce(list_sum(list_transform(terms, lambda x: CASE WHEN list_contains(words, x) THEN CASE WHEN length(x) <= 3 THEN 28 WHEN length(x) > 6 THEN 18 ELSE 14 END
   WHEN length(x) <= 3 OR NOT contains(lower(path), x) THEN 0 WHEN length(x) > 6 THEN 8 ELSE 4 END)), 0)"""
 _SIDES = {k: D.hit("lower(path)", p) for k, p in rules.SIDE_PATHS.items()}

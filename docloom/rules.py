@@ -7,6 +7,7 @@ Everything here is data. Patterns are regular expressions understood by Spark; w
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 # == limits ===================================================================================
 
@@ -60,41 +61,50 @@ CHAT_LIMITS = {"client_hour": 40, "client_day": 200, "global_hour": 600, "cooldo
 
 # == words ====================================================================================
 
-SLUG_ACRONYMS = "api cli sdk ui ssr ssg jsx tsx css html http url json sql orm".split()
-OUTLINE_ACRONYMS = "api cli css dom html jsx mcp mdx openapi sdk ui url".split()
-NAV_ACRONYMS = "api cli css dom html jsx mcp mdx openapi pwa rsc sdk ui url".split()
-TOPIC_ACRONYMS = "api cli css dom html jsx mdx pwa rsc sdk ui url".split()
+SLUG_ACRONYMS = [
+    "api", "cli", "sdk", "ui", "ssr", "ssg", "jsx", "tsx", "css", "html", "http", "url", "json", "sql",
+    "orm",
+]
+OUTLINE_ACRONYMS = ["api", "cli", "css", "dom", "html", "jsx", "mcp", "mdx", "openapi", "sdk", "ui", "url"]
+NAV_ACRONYMS = [
+    "api", "cli", "css", "dom", "html", "jsx", "mcp", "mdx", "openapi", "pwa", "rsc", "sdk", "ui", "url",
+]
+TOPIC_ACRONYMS = ["api", "cli", "css", "dom", "html", "jsx", "mdx", "pwa", "rsc", "sdk", "ui", "url"]
 
-USEFUL_SHORT_TERMS = "act api ci cli css dom jsx rsc sdk tsx".split()
+USEFUL_SHORT_TERMS = ["act", "api", "ci", "cli", "css", "dom", "jsx", "rsc", "sdk", "tsx"]
 GENERIC_TITLE_WORDS = (
-    "api app and components documentation guide guides or overview reference router the".split()
-)
-PAGE_KEYWORD_STOP_WORDS = (
-    "and are component components example examples for from guide guides how integration "
-    "integrations into overview page pattern patterns reference the this to using with"
-).split()
-DESCRIPTION_STOP_WORDS = (
-    "and apps build building for framework javascript native node open platform project react "
-    "server source the tool tools typescript web with"
-).split()
-STOP_TOPICS = (
-    "api app apps cli code compiler css framework go golang html javascript language library "
-    "node nodejs react server tool tools typescript web"
-).split()
-STOP_PATH_SEGMENTS = (
-    "assets bench benches build cmd common docs examples internal lib misc node_modules package "
-    "packages pkg scripts src test tests tools vendor website"
-).split()
-GENERIC_SOURCE_TERMS = (
-    "about adding advanced api apis built compiler component components concept concepts data doc "
-    "docs documentation example examples file files from getting guide guides html http https "
-    "introduction learn overview page pages quick reference removing start started tutorial "
-    "tutorials using your"
-).split()
-GENERIC_MATCH_WORDS = "api apis docs documentation learn overview reference".split()
-GENERIC_TOPIC_WORDS = (
-    "and api app docs documentation guide guides learn overview reference the".split()
+    [
+    "api", "app", "and", "components", "documentation", "guide", "guides", "or", "overview", "reference",
+    "router", "the",
+]
 )
+PAGE_KEYWORD_STOP_WORDS = [
+    "and", "are", "component", "components", "example", "examples", "for", "from", "guide", "guides", "how",
+    "integration", "integrations", "into", "overview", "page", "pattern", "patterns", "reference", "the",
+    "this", "to", "using", "with",
+]
+DESCRIPTION_STOP_WORDS = [
+    "and", "apps", "build", "building", "for", "framework", "javascript", "native", "node", "open",
+    "platform", "project", "react", "server", "source", "the", "tool", "tools", "typescript", "web", "with",
+]
+STOP_TOPICS = [
+    "api", "app", "apps", "cli", "code", "compiler", "css", "framework", "go", "golang", "html",
+    "javascript", "language", "library", "node", "nodejs", "react", "server", "tool", "tools", "typescript",
+    "web",
+]
+STOP_PATH_SEGMENTS = [
+    "assets", "bench", "benches", "build", "cmd", "common", "docs", "examples", "internal", "lib", "misc",
+    "node_modules", "package", "packages", "pkg", "scripts", "src", "test", "tests", "tools", "vendor",
+    "website",
+]
+GENERIC_SOURCE_TERMS = [
+    "about", "adding", "advanced", "api", "apis", "built", "compiler", "component", "components", "concept",
+    "concepts", "data", "doc", "docs", "documentation", "example", "examples", "file", "files", "from",
+    "getting", "guide", "guides", "html", "http", "https", "introduction", "learn", "overview", "page",
+    "pages", "quick", "reference", "removing", "start", "started", "tutorial", "tutorials", "using", "your",
+]
+GENERIC_MATCH_WORDS = ["api", "apis", "docs", "documentation", "learn", "overview", "reference"]
+GENERIC_TOPIC_WORDS = ["and", "api", "app", "docs", "documentation", "guide", "guides", "learn", "overview", "reference", "the"]
 
 HTML_ENTITIES = [
     ("&amp;", "&"),
@@ -122,7 +132,7 @@ LANGUAGE_BY_EXTENSION = {
     "yaml": "yaml",
 }
 UNUSED_PATH = r"node_modules/|/dist/|/build/|/coverage/|\.lock$"
-NAMED_SOURCE_FILES = "readme license copying changelog dockerfile".split()
+NAMED_SOURCE_FILES = ["readme", "license", "copying", "changelog", "dockerfile"]
 SOURCE_EXTENSION = r"(?i)\.(ts|tsx|js|jsx|py|go|rs|md|mdx|json|yaml|yml|toml|css)$"
 
 REPO_URL = r"(?i)^https://github\.com/([^/\s]+)/([^/\s#?]+?)(?:\.git)?/?$"
@@ -206,7 +216,7 @@ REPRESENTATIVE_FILE = (
     r"|(^|/)(index|main|mod|lib)\.(ts|tsx|js|jsx|rs)$"
     r"|(^|/)(next|vite|turbo|jest|vitest|eslint|biome|tsconfig|taskfile)\."
 )
-MAP_GROUP_ROOTS = "packages apps services crates".split()
+MAP_GROUP_ROOTS = ["packages", "apps", "services", "crates"]
 MAP_GROUP_PRIORITY = [
     (r"^root files$", 1_000),
     (r"^docs$", 900),
@@ -1173,78 +1183,114 @@ SUPPLEMENTS = [
 ]
 
 # == source path matching =====================================================================
-# (terms any of which must be asked for, path words any of which must be present, weight)
+class SurfaceRule(NamedTuple):
+    """Terms any of which must be asked for (or all of one of ``all_of``), path words any of which must be present, and the weight."""
+
+    any_of: tuple[str, ...]
+    path_words: tuple[str, ...]
+    weight: int
+    all_of: tuple[tuple[str, ...], ...] = ()
+
+
 SURFACE_RULES = [
-    ("route routing router", "route routes router routing", 44),
-    ("cache caching revalidate revalidation", "cache caching revalidate revalidation", 44),
-    (
-        "auth authentication authorization",
-        "auth authentication authorization oauth session sessions",
+    SurfaceRule(("route", "routing", "router"), ("route", "routes", "router", "routing"), 44),
+    SurfaceRule(
+        ("cache", "caching", "revalidate", "revalidation"),
+        ("cache", "caching", "revalidate", "revalidation"),
+        44,
+    ),
+    SurfaceRule(
+        ("auth", "authentication", "authorization"),
+        ("auth", "authentication", "authorization", "oauth", "session", "sessions"),
         42,
     ),
-    ("form forms", "form forms action actions", 34),
-    ("image images", "image images img media", 38),
-    ("font fonts", "font fonts typography", 34),
-    ("metadata opengraph open+graph", "metadata opengraph og head seo", 36),
-    ("proxy middleware", "proxy middleware interceptor interceptors", 42),
-    ("config configuration options", "config configuration options settings", 44),
-    ("cli command commands", "cli command commands bin", 46),
-    ("adapter adapters", "adapter adapters runtime runtimes", 42),
-    ("directive directives", "directive directives server client", 36),
-    ("function functions", "function functions api server", 26),
-    ("component components", "component components ui", 30),
-    ("hook hooks", "hook hooks", 34),
-    ("schema type types", "schema schemas type types typings", 34),
-    ("database db postgres sql", "database databases db postgres sql storage", 38),
-    ("storage bucket buckets", "storage bucket buckets blob files", 36),
-    (
-        "realtime websocket websockets",
-        "realtime websocket websockets channel channels subscription subscriptions",
+    SurfaceRule(("form", "forms"), ("form", "forms", "action", "actions"), 34),
+    SurfaceRule(("image", "images"), ("image", "images", "img", "media"), 38),
+    SurfaceRule(("font", "fonts"), ("font", "fonts", "typography"), 34),
+    SurfaceRule(
+        ("metadata", "opengraph"),
+        ("metadata", "opengraph", "og", "head", "seo"),
+        36,
+        all_of=(("open", "graph"),),
+    ),
+    SurfaceRule(("proxy", "middleware"), ("proxy", "middleware", "interceptor", "interceptors"), 42),
+    SurfaceRule(
+        ("config", "configuration", "options"),
+        ("config", "configuration", "options", "settings"),
+        44,
+    ),
+    SurfaceRule(("cli", "command", "commands"), ("cli", "command", "commands", "bin"), 46),
+    SurfaceRule(("adapter", "adapters"), ("adapter", "adapters", "runtime", "runtimes"), 42),
+    SurfaceRule(("directive", "directives"), ("directive", "directives", "server", "client"), 36),
+    SurfaceRule(("function", "functions"), ("function", "functions", "api", "server"), 26),
+    SurfaceRule(("component", "components"), ("component", "components", "ui"), 30),
+    SurfaceRule(("hook", "hooks"), ("hook", "hooks"), 34),
+    SurfaceRule(("schema", "type", "types"), ("schema", "schemas", "type", "types", "typings"), 34),
+    SurfaceRule(
+        ("database", "db", "postgres", "sql"),
+        ("database", "databases", "db", "postgres", "sql", "storage"),
         38,
     ),
-    (
-        "vector embedding embeddings search",
-        "vector vectors embedding embeddings search retrieval index indexes",
+    SurfaceRule(("storage", "bucket", "buckets"), ("storage", "bucket", "buckets", "blob", "files"), 36),
+    SurfaceRule(
+        ("realtime", "websocket", "websockets"),
+        ("realtime", "websocket", "websockets", "channel", "channels", "subscription", "subscriptions"),
+        38,
+    ),
+    SurfaceRule(
+        ("vector", "embedding", "embeddings", "search"),
+        ("vector", "vectors", "embedding", "embeddings", "search", "retrieval", "index", "indexes"),
         40,
     ),
-    (
-        "model models provider providers",
-        "model models provider providers inference generate generation",
+    SurfaceRule(
+        ("model", "models", "provider", "providers"),
+        ("model", "models", "provider", "providers", "inference", "generate", "generation"),
         38,
     ),
-    ("agent agents tool tools", "agent agents tool tools workflow workflows", 38),
-    (
-        "example examples cookbook recipe recipes template templates demo demos",
-        "example examples demo demos template templates cookbook recipe recipes",
+    SurfaceRule(
+        ("agent", "agents", "tool", "tools"),
+        ("agent", "agents", "tool", "tools", "workflow", "workflows"),
+        38,
+    ),
+    SurfaceRule(
+        ("example", "examples", "cookbook", "recipe", "recipes", "template", "templates", "demo", "demos"),
+        ("example", "examples", "demo", "demos", "template", "templates", "cookbook", "recipe", "recipes"),
         42,
     ),
-    (
-        "example examples cookbook recipe recipes template templates demo demos test tests testing "
-        "spec specs cypress jest playwright vitest",
-        "test tests testing spec specs fixture fixtures",
+    SurfaceRule(
+        (
+            "example", "examples", "cookbook", "recipe", "recipes", "template", "templates", "demo",
+            "demos", "test", "tests", "testing", "spec", "specs", "cypress", "jest", "playwright", "vitest",
+        ),
+        ("test", "tests", "testing", "spec", "specs", "fixture", "fixtures"),
         42,
     ),
-    (
-        "migration migrate upgrade upgrading",
-        "migration migrations migrate upgrade upgrading codemod codemods",
+    SurfaceRule(
+        ("migration", "migrate", "upgrade", "upgrading"),
+        ("migration", "migrations", "migrate", "upgrade", "upgrading", "codemod", "codemods"),
         40,
     ),
-    (
-        "troubleshoot troubleshooting debug debugging error errors",
-        "troubleshoot troubleshooting debug debugging error errors diagnostic diagnostics",
+    SurfaceRule(
+        ("troubleshoot", "troubleshooting", "debug", "debugging", "error", "errors"),
+        (
+            "troubleshoot", "troubleshooting", "debug", "debugging", "error", "errors", "diagnostic",
+            "diagnostics",
+        ),
         36,
     ),
 ]
 SURFACE_DOCS_BONUS = 18
-EXAMPLE_TERMS = "example examples cookbook recipe recipes template templates demo demos".split()
-TEST_TERMS = "test tests testing spec specs cypress jest playwright vitest".split()
-TOOLING_TERMS = (
-    "ci workflow workflows release deploy deployment publish publishing build bundling rollup npm yarn "
-    "actions"
-).split()
-CI_TERMS = "ci workflow workflows release deploy actions".split()
-BENCH_TERMS = "bench benchmark performance eval evals".split()
-LINT_TERMS = "eslint lint lints".split()
+EXAMPLE_TERMS = [
+    "example", "examples", "cookbook", "recipe", "recipes", "template", "templates", "demo", "demos",
+]
+TEST_TERMS = ["test", "tests", "testing", "spec", "specs", "cypress", "jest", "playwright", "vitest"]
+TOOLING_TERMS = [
+    "ci", "workflow", "workflows", "release", "deploy", "deployment", "publish", "publishing", "build",
+    "bundling", "rollup", "npm", "yarn", "actions",
+]
+CI_TERMS = ["ci", "workflow", "workflows", "release", "deploy", "actions"]
+BENCH_TERMS = ["bench", "benchmark", "performance", "eval", "evals"]
+LINT_TERMS = ["eslint", "lint", "lints"]
 ALWAYS_TERMS = r"^(api|apis|components?|configuration|directives|hooks?|lints?|overview)$"
 # Terms added when the entry text matches.
 ADDED_TERMS = [

@@ -193,13 +193,13 @@ def _facts(spark, rows):
     names = (
         "repo_id page_slug attempt is_important titled h2 min_sections source_section sources_line citations_n valid_n "
         "cited_visible visible_n off_target prose_words raw_words min_words near_miss_ok is_reference is_guide "
-        "reference_detail guide_example unmentioned"
+        "reference_detail guide_example unmentioned planned has_evidence"
     ).split()
     base = dict(
         repo_id="r", page_slug="p", attempt=1, is_important=True, titled=True, h2=4, min_sections=3,
         source_section=True, sources_line=True, citations_n=1, valid_n=1, cited_visible=True, visible_n=1,
         off_target=False, prose_words=900, raw_words=950, min_words=500, near_miss_ok=False, is_reference=False,
-        is_guide=False, reference_detail=True, guide_example=True, unmentioned="",
+        is_guide=False, reference_detail=True, guide_example=True, unmentioned="", planned=True, has_evidence=True,
     )
     df = spark.createDataFrame([tuple({**base, **r}[n] for n in names) for r in rows], names)
     return df.withColumn("unmentioned", F.nullif("unmentioned", F.lit(""))).withColumn(
@@ -232,6 +232,23 @@ def test_acceptance(spark):
     assert feedback.filter("page_slug = 'clean'").first().words_to_add == 640
 
 
+def test_drafts_without_a_page_or_evidence_are_reported(spark):
+    cite = "array<struct<path:string,start_line:int,end_line:int>>"
+    text = "# T\n\nwords of a page\n"
+    drafts = [("r", "known", 1, "T", text, []), ("r", "stray", 1, "T", text, []), ("q", "lone", 1, "T", text, [])]
+    drafts = spark.createDataFrame(drafts, f"repo_id string, page_slug string, attempt int, title string, markdown string, citations {cite}")
+    outline = [("r", 0, "known", "T", "p", ["src/a.ts"]), ("q", 0, "lone", "T", "p", ["src/a.ts"])]
+    outline = spark.createDataFrame(outline, "repo_id string, pos int, slug string, title string, purpose string, source_paths array<string>")
+    evidence = spark.createDataFrame([("r", 100, 10, 5)], "repo_id string, file_count int, docs_count int, link_count int")
+    files = spark.createDataFrame([("r", "src/a.ts")], "repo_id string, path string")
+    found = {}
+    for r in quality.page_issues(drafts, outline, evidence, files).collect():
+        found.setdefault(r.page_slug, set()).add(r.code)
+    assert "no_outline_page" in found["stray"] and "no_evidence" in found["lone"] and "no_citation" in found["stray"]
+    assert not {"no_outline_page", "no_evidence"} & found["known"] and "too_few_words" in found["known"]
+    assert not {"too_few_words", "too_few_sections"} & (found["stray"] | found["lone"])
+
+
 def test_outline_without_overview(spark):
     outline = spark.createDataFrame(
         [("r", 0, "a", "A", "p", "required", []), ("r", 1, "A!", "A", "p", "optional", [])],
@@ -336,3 +353,9 @@ def test_rule_grouped_navigation_equals_sequential_passes(spark):
         rest = "Gi" if "Gi" in folder.values() else "Rest"
         for _, _, slug, _ in (p for p in pages if p[0] == repo):
             assert got[(repo, slug)] == f"dir:{folder.get(slug, rest)}"
+
+
+def test_visits_start_over_when_a_group_is_empty():
+    assert ordering.visits([2, 1, 3], 10) == [(0, 0), (1, 0), (0, 1), (2, 0), (2, 1), (2, 2)]
+    assert ordering.visits([3, 3], 4) == [(0, 0), (1, 0), (0, 1), (1, 1)]
+    assert ordering.visits([], 3) == [] and ordering.visits([0, 2], 1) == [(1, 0)]
