@@ -324,10 +324,18 @@ def rolling_usage(
     ]
     if cooldown_us > 0:
         scopes.append(("repo_cooldown", ["repo_full_name"], cooldown_us))
-    result = base
-    for name, keys, window in scopes:
-        result = result.join(trailing_usage(base, keys, window, name), "attempt_id")
-    return result.drop("ts_us")
+    parts = [
+        trailing_usage(base, keys, window, "_").select(
+            "attempt_id", F.lit(name).alias("_scope"), F.col("__count").alias("_count"), F.col("__oldest").alias("_oldest")
+        )
+        for name, keys, window in scopes
+    ]
+    wide = [
+        F.max(F.when(F.col("_scope") == name, F.col(f"_{c}"))).alias(f"{name}_{c}") for name, _, _ in scopes for c in ("count", "oldest")
+    ]
+    # the scopes meet in one pass over their union and join the attempts once
+    usage = reduce(DataFrame.unionByName, parts).groupBy("attempt_id").agg(*wide)
+    return attempts.join(usage, "attempt_id")
 
 
 # -- W7 .. W10 --------------------------------------------------------------------------------
