@@ -241,8 +241,8 @@ def link_index(
     return from_links.unionByName(from_heads)
 
 
-def scoped_groups(entries: DataFrame) -> DataFrame:
-    """First 40 entries per group of each source, the group taken from the address where missing."""
+def scoped_groups(entries: DataFrame, n: int = rules.MAX_GROUP_ENTRIES) -> DataFrame:
+    """First ``n`` entries per group of each source, the group taken from the address where missing."""
     from docloom.operators.rollups import _segment_label
 
     label = F.coalesce(
@@ -252,7 +252,7 @@ def scoped_groups(entries: DataFrame) -> DataFrame:
         entries.withColumn("group", label),
         ["repo_id", "source_url", "group"],
         ["pos"],
-        rules.MAX_GROUP_ENTRIES,
+        n,
     )
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom import rules
 from docloom.functions.ids import micros
-from docloom.operators import joins, matching, ordering, predicates, rollups
+from docloom.operators import corpus, joins, matching, ordering, predicates, rollups
 from docloom.plans import duck as D
 from docloom.plans.catalog import register
+from docloom.plans.corpus import _LABEL, _SEG
 from docloom.plans.inputs import computed, cte, derive, table
-from docloom.plans.repositories import _INDEX, _INDEX_SCORE
+from docloom.plans.repositories import _INDEX, _INDEX_SCORE, top_files_sql, tree
 
 _OUTLINE, _REPOS, _DOC = cte("outline"), cte("repos"), cte("doc")
 _NOW = "2024-02-01 00:00:00"
@@ -158,7 +160,8 @@ def prefer_fallback(spark, sf):
 def topic_scope(spark, sf):
     """One broad index of all pages, cut to those that mention a keyword."""
     pages = table(spark, sf, "pages").select("page_id", "url", F.lit("r").alias("repo_id"))
-    keywords = pages.select("repo_id", F.array(F.lit("en"), F.lit("7")).alias("keywords")).distinct()
+    words = pages.select("repo_id").distinct().select("repo_id", F.posexplode(F.array(F.lit("en"), F.lit("7"))).alias("rank", "keyword"))
+    keywords = rollups.keyword_lists(words)
     return predicates.topic_scope(pages, keywords).select("page_id", "url")
 
 
@@ -188,3 +191,35 @@ def context_texts(spark, sf):
     files = computed(derive(spark, sf, "doc"), "repo_id, pos, CAST(doc_id AS STRING) AS path, text")
     chosen = files.where("pos < 40").select("repo_id", "path")
     return matching.context_texts(chosen, files, 3000).select("repo_id", "path", F.md5("text").alias("text_md5"))
+
+
+# -- files and entries ------------------------------------------------------------------------
+
+
+@register(
+    "sandbox_files",
+    f"""{cte('tree')}, r AS ({top_files_sql('chat_sandbox', 36)}),
+    s AS (SELECT repo_id, path, 0 AS src, pos AS nth FROM tree WHERE pos % 7 = 3 UNION ALL SELECT repo_id, path, 1, rank FROM r),
+    u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY repo_id, path ORDER BY src, nth) = 1)
+    SELECT repo_id, path, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY src, nth) AS INT) AS rank FROM u
+    QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY src, nth) <= 36""",
+)
+def sandbox_files(spark, sf):
+    """The context of a chat, a seventh of the files here, and the best files after it."""
+    files = tree(spark, sf)
+    context = files.where("pos % 7 = 3").select("repo_id", "path", F.col("pos").alias("rank"))
+    return ordering.sandbox_files(files, context)
+
+
+_COVERED = _LABEL.format(x="p", a=D.strings(rules.NAV_ACRONYMS))
+
+
+@register(
+    "scoped_groups",
+    f"""{cte('entries')}, p AS (SELECT *, {_SEG} AS p FROM entries),
+    l AS (SELECT repo_id, pos, title, url, coalesce("group", CASE WHEN p IS NOT NULL THEN {_COVERED} END, 'Documentation') AS label FROM p)
+    SELECT repo_id, pos, title, url, label AS "group" FROM l QUALIFY row_number() OVER (PARTITION BY repo_id, label ORDER BY pos) <= 3""",
+)
+def scoped_groups(spark, sf):
+    entries = derive(spark, sf, "entries").select("repo_id", "source_url", "pos", "group", "title", "url")
+    return corpus.scoped_groups(entries, 3).select("repo_id", "pos", "title", "url", "group")

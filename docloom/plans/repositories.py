@@ -169,7 +169,7 @@ def score_by_rules(spark, sf):
     return df
 
 
-def top_files_sql(name: str) -> str:
+def top_files_sql(name: str, limit: int = 12) -> str:
     rs = rules.RULE_SETS[name]
     where = ["true"]
     if rs.any_of:
@@ -186,7 +186,7 @@ def top_files_sql(name: str) -> str:
     extra = " AND score > 0" if rs.floor is not None else ""
     return f"""SELECT '{name}' AS rules, repo_id, path, score, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY score {direction}, {ties}) AS INT) AS rank
       FROM (SELECT *, {score_sql(name)} AS score FROM tree WHERE {' AND '.join(where)}) WHERE true{extra}
-      QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score {direction}, {ties}) <= {min(rs.limit, 12)}"""
+      QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY score {direction}, {ties}) <= {min(rs.limit, limit)}"""
 
 
 _TOP_SETS = [n for n in _PATH_SETS if n != "docs_tree"]
