@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import materialized
+from docloom.session import discard, materialized
 
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,6 +32,11 @@ def small(df: DataFrame, rows: int, limit: int = 20_000) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def sized(df: DataFrame, rows: int, row_bytes: int, most: int = 16 << 20) -> DataFrame:
+    """Hint a broadcast of fixed-width rows whose measured count makes them at most ``most`` bytes, else leave the join to Spark."""
+    return F.broadcast(df) if rows * row_bytes <= most else df
+
+
 def hash_sample(df: DataFrame, key: Column, wanted: int, n_rows: int) -> DataFrame:
     """About ``wanted`` to twice as many rows, those with the smallest hashes of ``key``; a filter, so only they move."""
     part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1 << 40)) / float(1 << 40)
@@ -73,6 +78,7 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         sums = [
             d.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20,0)"))).first() for d in (now, new)
         ]
+        discard(now, large)
         now = new
         if sums[0] == sums[1]:
             root = now.groupBy("a").agg(F.min("b").alias("root"))

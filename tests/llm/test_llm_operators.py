@@ -522,6 +522,25 @@ def test_shards_are_even_and_equal_texts_stay_together(spark, docs, tmp_path):
 # -- pipeline and queries ----------------------------------------------------------------------------
 
 
+def near_groups(texts):
+    """Group of every text, by comparing all of them."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    order = sorted(range(len(texts)), key=lambda i: len(sets[i]))
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if 5 * len(a) < 4 * len(b):
+                break
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    return dict(zip(texts, root))
+
+
 def test_near_copies_equal_brute_force_jaccard(spark):
     r = random.Random(7)
     rows, text = [], {}
@@ -580,7 +599,9 @@ def test_pipeline_stages_follow_their_operators(spark):
     assert set(seen["quality_rules"]) == {r.doc_id for r in q.where("kept").collect()}
     kept = seen["simhash_near_dedup"]
     assert len(set(kept.values())) == len(kept) and set(kept) <= set(seen["quality_rules"])
-    assert {t for t in seen["quality_rules"].values()} - set(kept.values()) == set()  # only copies went, here
+    # of every group of texts that five-word shingles at 0.8 connect, one stays
+    groups = near_groups(sorted(set(seen["quality_rules"].values())))
+    assert sorted(groups[t] for t in kept.values()) == sorted(set(groups.values())) and len(set(groups.values())) < len(groups)
     assert 0 < len(seen["decontamination"]) < len(kept)
     model_free = [plain_spans(t) for t in seen["personal_data"].values()]
     assert not any(model_free) and set(seen["personal_data"]) == set(seen["decontamination"])
