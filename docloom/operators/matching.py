@@ -25,7 +25,7 @@ from docloom.operators.ordering import (
     page_slugs,
     top_per_group,
 )
-from docloom.session import materialized
+from docloom.session import joinable
 from docloom.operators.predicates import (
     classify_entries,
     is_generic_entry_title,
@@ -62,10 +62,10 @@ def containment_pairs(
     lengths = range(min(min_len, GRAM), GRAM + 1)
     wanted = needles.select(*keys, "needle").filter(F.length("needle") >= min_len).distinct()
     own = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))
-    sought = materialized(wanted.select(*keys, "needle", F.explode(own).alias("_gram")), "needle-grams")
+    sought = joinable(wanted.select(*keys, "needle", F.explode(own).alias("_gram")), "needle-grams")
     grams = F.concat(*[_grams(F.col("text"), n) for n in lengths])
     spread = texts.select(*keys, *text_id, F.explode(grams).alias("_gram"))
-    met = materialized(spread.join(sought.select(*keys, "_gram").distinct(), [*keys, "_gram"]), "text-grams")
+    met = joinable(spread.join(sought.select(*keys, "_gram").distinct(), [*keys, "_gram"]), "text-grams")
     counted = met.groupBy(*keys, "_gram").agg(F.count(F.lit(1)).alias("_n"))
     ranked = sought.join(counted, [*keys, "_gram"], "left")
     rarest = ranked.groupBy(*keys, "needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_r"))
@@ -183,7 +183,8 @@ def match_entries(outline: DataFrame, entries: DataFrame) -> DataFrame:
     only reach 35 through the entry's title or address slug being part of the page text, through its
     namespace, or through six group words; each of those has its own blocked join.
     """
-    e, p = _entry_features(entries), _page_features(outline)
+    # Both sides feed several joins: their features are computed once.
+    e, p = joinable(_entry_features(entries), "entries"), joinable(_page_features(outline), "pages")
     texts = p.select("repo_id", "page_pos", F.col("p_text").alias("text"))
     ids = ["page_pos"]
     # Every title, address and namespace signal of a page implies containment in its text.
@@ -403,8 +404,8 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
     files of each (entry class, file class), so the full entry x file product never exists.
     """
     # Both sides feed several blocked joins: their features are computed once.
-    e = materialized(_wanted_features(entries, repos), "wanted")
-    f = materialized(_source_features(files), "sources")
+    e = joinable(_wanted_features(entries, repos), "wanted")
+    f = joinable(_source_features(files), "sources")
     f_class = ["f_flags", "f_surface", "f_docs_dir"]
     e_class = ["e_flags", "e_surface"]
     order = [F.col("f_own").desc(), "path"]
@@ -633,6 +634,7 @@ def select_snippets(
         reference_like=F.concat_ws(" ", "title", "slug").rlike(rules.REFERENCE_PAGE_TEXT),
         is_start=F.concat_ws(" ", F.col("slug"), F.col("title"), purpose).rlike(rules.START_PAGE_TEXT),
     ).drop("slug", "title", "purpose")
+    p = joinable(p, "pages")
     e = stage(
         entries.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url"),
         t=T.compact(F.col("title")),
@@ -641,6 +643,7 @@ def select_snippets(
         tokens=F.array_distinct(T.plain_words(F.col("title"))),
         all_tokens=F.array_distinct(T.plain_words(F.concat_ws(" ", "title", "url"))),
     )
+    e = joinable(e, "entries")
     # Everything that can be a direct signal is contained in the joined entry text.
     signal = F.array_distinct(
         F.filter(
@@ -657,7 +660,7 @@ def select_snippets(
     ).distinct()
     ids = ["repo_id", "page_pos"]
     joined = pairs.join(p, ids).join(e, ["repo_id", "entry_pos"])
-    scored = materialized(stage(joined, score=_snippet_score()).filter(F.col("score") > 0), "scored")
+    scored = joinable(stage(joined, score=_snippet_score()).filter(F.col("score") > 0), "scored")
     best = [F.col("score").desc(), "entry_pos"]
     pool = scored.select(*ids, "entry_pos", "url", "t", "score", "concepts", "all_tokens")
     by_word = pool.select(
@@ -930,7 +933,7 @@ def normalize_outline(outline: DataFrame, entries: DataFrame) -> DataFrame:
     Adds new_slug and new_title. A simpler slug is only taken when no other page of the repository has
     it; two pages after the same one are settled by position.
     """
-    matched = materialized(match_entries(outline, entries), "matched").select(
+    matched = joinable(match_entries(outline, entries), "matched").select(
         "repo_id", "pos", "entry_pos"
     )
     named = entries.select(
@@ -1011,7 +1014,7 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
     ``targets``: repo_id and target_pages (52 at most). Topics that the outline covers already are left
     out; the rest are taken evenly over folders, best entries first.
     """
-    best = materialized(match_entries(outline, entries), "matched")
+    best = joinable(match_entries(outline, entries), "matched")
     titles = entries.select("repo_id", F.col("pos").alias("entry_pos"), "title", "url")
     covered = stage(
         best.join(titles, ["repo_id", "entry_pos"]), topic_key=topic_key(F.col("title"), F.col("url"))
@@ -1026,7 +1029,7 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
         "repo_id",
         (F.col("target_pages") - F.coalesce("_have", F.lit(0))).alias("needed"),
     ).filter("needed > 0")
-    wanted = materialized(
+    wanted = joinable(
         fresh.join(need, "repo_id").withColumn("folder", F.array_join("parts", " / ")), "candidates"
     )
     # Slugs in use come first in order, so they are never changed.
@@ -1037,11 +1040,11 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
         .agg(F.lit(-1).cast("bigint").alias("_order"))
     )
     named = wanted.select("repo_id", F.col("base_slug").alias("_base"), F.col("topic_pos").cast("bigint").alias("_order"))
-    bases = materialized(named.unionByName(used), "slugs")
+    bases = joinable(named.unionByName(used), "slugs")
     slugs = page_slugs(bases, ["repo_id"], "_base", "_order", "slug").filter(
         "_order >= 0"
     ).select("repo_id", F.col("_order").alias("topic_pos"), "slug")
-    rows = materialized(wanted.join(slugs, ["repo_id", "topic_pos"]), "named")
+    rows = joinable(wanted.join(slugs, ["repo_id", "topic_pos"]), "named")
     folder = F.col("folder")
     per_folder = rows.groupBy("repo_id", "folder").agg(
         F.count(F.lit(1)).alias("_n"),

@@ -34,7 +34,7 @@ from docloom.operators.rollups import (
     redundant_topics,
 )
 from docloom.operators.ordering import top_per_group
-from docloom.session import materialized
+from docloom.session import joinable
 
 _ISSUE = "struct<code:string,detail:string>"
 
@@ -123,7 +123,7 @@ def outline_issues(
             ", ",
         ).alias("missing_topics"),
     )
-    matched = materialized(match_entries(outline, entries), "matched")
+    matched = joinable(match_entries(outline, entries), "matched")
     named = entries.select("repo_id", F.col("pos").alias("entry_pos"), U.namespace(F.col("url")).alias("_ns"))
     aligned = pages.join(matched.select("repo_id", "pos", "entry_pos"), ["repo_id", "pos"], "left").join(
         named, ["repo_id", "entry_pos"], "left"

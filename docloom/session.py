@@ -24,6 +24,9 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Bytes of a field in a row in memory, other than the eight of a number.
+WIDTHS = {"string": 32, "binary": 32, "array": 96, "map": 96, "struct": 96}
+
 
 def build_session(
     app: str = "docloom",
@@ -82,6 +85,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def joinable(df: DataFrame, name: str) -> DataFrame:
+    """``materialized`` for a table that others join, so large that its files must not pass for a broadcast.
+
+    Files of repeated values are a small part of what their rows take in memory, and Spark sees only the files. The rows
+    are counted; beyond the session's broadcast threshold joins with the table are told to sort and merge.
+    """
+    out = materialized(df, name)
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    width = 16 + sum(WIDTHS.get(f.dataType.typeName(), 8) for f in out.schema.fields)
+    return out.hint("merge") if 0 < limit < out.count() * width else out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove the folders of results of ``materialized`` that nothing will read again, instead of at the session's end.
 
