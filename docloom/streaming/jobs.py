@@ -220,19 +220,58 @@ def stream_unstarted_jobs(
     )
 
 
+def first_copies(pages: DataFrame, delay: str, ts: str) -> DataFrame:
+    """The first page of each ``url_key``, by ``ts`` and page_id; later copies drop until the watermark is ``delay`` past it.
+
+    ``dropDuplicatesWithinWatermark`` keeps whichever copy of a micro-batch comes out of the shuffle first. Of a copy only
+    the best so far is held.
+    """
+    known = F.coalesce(ts, F.timestamp_seconds(F.lit(0)))
+    order = [F.unix_micros(known).alias("_us"), F.col("page_id").isNull().alias("_late")]
+    micros = {c: F.unix_micros(c) for c, kind in pages.dtypes if kind == "timestamp"}  # pandas would move them to local time
+    rows = pages.select(
+        *[micros[c].alias(c) if c in micros else c for c in pages.columns],
+        F.col(ts).alias("_ts"),
+        *order,
+        F.unix_millis(known + F.expr(f"INTERVAL {delay}")).alias("_until"),
+    )
+
+    def rank(row: pd.DataFrame) -> tuple:
+        return tuple(row[c].iloc[0] for c in ("_us", "_late", "page_id"))
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        until = state.get[0] if state.exists else now
+        best = None
+        for part in batches:
+            if until <= now:
+                first = part.sort_values(["_us", "_late", "page_id"]).iloc[:1]
+                best = first if best is None or rank(first) < rank(best) else best
+        if best is not None:
+            until = int(best["_until"].iloc[0])
+            yield best[columns]
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until, now + 1))
+
+    columns = pages.columns
+    kinds = StructType([StructField(f.name, LongType() if f.name in micros else f.dataType) for f in pages.schema.fields])
+    first = rows.groupBy("url_key").applyInPandasWithState(run, kinds, "until bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return first.select(*[F.timestamp_micros(c).alias(c) if c in micros else c for c in columns])
+
+
 def stream_pages(
     pages: DataFrame, out: str, checkpoint: str, delay: str = "1 day", ts: str = "landed_at"
 ):
     """Extract links, headings and text of newly landed pages, the first copy of each address only.
 
+    Of copies in one micro-batch the one with the least ``ts``, then page_id, is the first, in whatever order tasks hand them over.
     Returns the started query (``availableNow``: it ends with the input). Every micro-batch writes its
     own directory with overwrite, so a batch that runs again replaces what it wrote.
     """
-    unique = (
-        pages.withWatermark(ts, delay)
-        .withColumn("url_key", U.dedupe_key(F.col("url")))
-        .dropDuplicatesWithinWatermark(["url_key"])
-    )
+    unique = first_copies(pages.withWatermark(ts, delay).withColumn("url_key", U.dedupe_key(F.col("url"))), delay, ts)
 
     def write(batch: DataFrame, epoch: int) -> None:
         landed = batch.persist()
