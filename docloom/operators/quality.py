@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import urls as U
+from docloom.functions.binding import stage
 from docloom.operators.corpus import metric_columns
 from docloom.operators.joins import valid_citations
 from docloom.operators.matching import match_entries
@@ -396,7 +397,8 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
     )
 
 
-def page_issues_of(facts: DataFrame) -> DataFrame:
+def _issues_found() -> Column:
+    """The issues of a row of facts, as an array."""
     c = F.col
     fixed = [
         _issue(~c("planned"), "no_outline_page"),
@@ -424,9 +426,12 @@ def page_issues_of(facts: DataFrame) -> DataFrame:
     foreign = F.transform(
         "foreign_paths", lambda p: F.struct(F.lit("foreign_path").alias("code"), p.alias("detail"))
     )
-    found = F.concat(F.filter(F.array(*fixed), lambda i: i.isNotNull()), foreign)
+    return F.concat(F.filter(F.array(*fixed), lambda i: i.isNotNull()), foreign)
+
+
+def page_issues_of(facts: DataFrame) -> DataFrame:
     keys = ["repo_id", "page_slug", "attempt"]
-    return facts.select(*keys, F.explode(found).alias("i")).select(*keys, "i.code", "i.detail")
+    return facts.select(*keys, F.explode(_issues_found()).alias("i")).select(*keys, "i.code", "i.detail")
 
 
 def page_issues(
@@ -447,17 +452,10 @@ def accept_drafts(facts: DataFrame) -> DataFrame:
     The first attempt without issues; else the last attempt of an important page whose issues are all
     harmless and that has a title, three sections, sources and a visible valid citation; else none.
     """
-    issues = page_issues_of(facts).groupBy("repo_id", "page_slug", "attempt").agg(
-        F.count(F.lit(1)).alias("_issues"),
-        F.count_if(~F.col("code").isin(FALLBACK_SAFE)).alias("_serious"),
-    )
-    judged = facts.join(issues, ["repo_id", "page_slug", "attempt"], "left").fillna(
-        0, ["_issues", "_serious"]
-    )
+    # Issues are counted in the row they are found in, so that the texts are judged once.
     c = F.col
-    publishable = (
+    whole = (
         c("is_important")
-        & (c("_serious") == 0)
         & c("titled")
         & (c("h2") >= 3)
         & c("source_section")
@@ -466,10 +464,18 @@ def accept_drafts(facts: DataFrame) -> DataFrame:
         & c("cited_visible")
         & ((c("raw_words") >= 300) | c("reference_detail") | c("guide_example"))
     )
+    codes = F.transform(_issues_found(), lambda i: i["code"])
+    counted = stage(facts.select("repo_id", "page_slug", "attempt", whole.alias("_whole"), codes.alias("_codes")), _issues=F.size("_codes"))
+    judged = counted.groupBy("repo_id", "page_slug", "attempt").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum("_issues").alias("_issues"),
+        F.sum(F.size(F.filter("_codes", lambda i: ~i.isin(FALLBACK_SAFE)))).alias("_serious"),
+        F.bool_or("_whole").alias("_whole"),
+    )
     clean = F.when(c("_issues") == 0, c("attempt"))
-    spare = F.when((c("_issues") > 0) & publishable, c("attempt"))
+    spare = F.when((c("_issues") > 0) & (c("_serious") == 0) & c("_whole"), c("attempt"))
     picked = judged.groupBy("repo_id", "page_slug").agg(
-        F.count(F.lit(1)).alias("attempts"),
+        F.sum("_rows").alias("attempts"),
         F.min(clean).alias("_clean"),
         F.max(spare).alias("_spare"),
     )
