@@ -27,6 +27,7 @@ from docloom.plans.repositories import (
     outline,
     tree,
 )
+from docloom.session import joinable
 
 _NAME = "acme-router"
 
@@ -550,7 +551,7 @@ def accept_drafts(spark, sf):
       CAST(CASE WHEN deficit > 350 THEN deficit + 150 ELSE 500 END AS INT) AS words_to_add, short AND pw < floor(min_words * 0.65) AS rewrite, needs_reference, needs_example, needs_sections FROM z""",
 )
 def repair_feedback(spark, sf):
-    facts = _facts(spark, sf)
+    facts = joinable(_facts(spark, sf), "facts")  # both sides of a join: the texts are judged once
     return quality.repair_feedback(quality.page_issues_of(facts), facts)
 
 
