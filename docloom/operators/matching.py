@@ -25,7 +25,7 @@ from docloom.operators.ordering import (
     page_slugs,
     top_per_group,
 )
-from docloom.session import joinable
+from docloom.session import discard, joinable
 from docloom.operators.predicates import (
     classify_entries,
     is_generic_entry_title,
@@ -58,6 +58,7 @@ def containment_pairs(
     and ``text``. A contained needle has all its grams in the text, so a needle meets texts on the one of its grams that the
     fewest texts of its keys have; a needle with a gram that none has meets nothing. Gram rows carry ids only, and
     only of grams that needles have; the text is attached once, to the pairs that are left to be verified.
+    The pairs are stored, so that plans that go on from them do not hold the search for them.
     """
     lengths = range(min(min_len, GRAM), GRAM + 1)
     wanted = needles.select(*keys, "needle").filter(F.length("needle") >= min_len).distinct()
@@ -72,7 +73,9 @@ def containment_pairs(
     rarest = rarest.filter("_r.n > 0").select(*keys, "needle", F.col("_r._gram").alias("_gram"))
     pairs = rarest.join(met, [*keys, "_gram"]).select(*keys, "needle", *text_id)
     found = pairs.join(texts.select(*keys, *text_id, "text"), [*keys, *text_id]).filter(F.contains("text", "needle"))
-    return found.select(*keys, "needle", *text_id).distinct()
+    found = joinable(found.select(*keys, "needle", *text_id).distinct(), "contained")
+    discard(sought, met)
+    return found
 
 
 # -- J8 ---------------------------------------------------------------------------------------
@@ -210,7 +213,7 @@ def match_entries(outline: DataFrame, entries: DataFrame) -> DataFrame:
     by_words = full.join(wordy.select("repo_id", "e_words", "entry_pos"), ["repo_id", "e_words"]).select(
         "repo_id", "page_pos", "entry_pos"
     )
-    pairs = by_signal.unionByName(by_words).distinct()
+    pairs = joinable(by_signal.unionByName(by_words).distinct(), "entry-pairs")
     joined = pairs.join(p, ["repo_id", "page_pos"]).join(e, ["repo_id", "entry_pos"])
     scored = (
         stage(joined, score=_entry_score())
@@ -466,6 +469,7 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
         .groupBy("repo_id", "entry_pos", "path")
         .agg(F.sum("gain").alias("gain"), F.max("docs").alias("docs"))
     )
+    gains = joinable(gains, "gains")  # read several times below, like the scores and what is found
     detail = gains.join(e.select("repo_id", "entry_pos", *e_class), ["repo_id", "entry_pos"]).join(
         f.select("repo_id", "path", "f_own", *f_class), ["repo_id", "path"]
     )
@@ -482,6 +486,7 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
         )
         .filter(F.col("score") >= SOURCE_THRESHOLD)
     )
+    scored = joinable(scored, "scored")
     ids = ["repo_id", "entry_pos"]
     strong = group_ranks_limited(
         scored.filter(F.col("docs_score") >= DOCS_MATCH_THRESHOLD),
@@ -495,7 +500,7 @@ def match_source_paths(entries: DataFrame, files: DataFrame, repos: DataFrame) -
         [F.col("score").desc(), "path"],
         MAX_SOURCE_PATHS,
     ).withColumn("source", F.lit("scored"))
-    found = strong.unionByName(plain)
+    found = joinable(strong.unionByName(plain), "found")
     lost = e.select(*ids).join(found.select(*ids), ids, "left_anti")
     spare = lost.join(fallback_sources(files, repos), "repo_id").select(
         "repo_id",

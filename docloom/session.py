@@ -94,7 +94,11 @@ def joinable(df: DataFrame, name: str) -> DataFrame:
     out = materialized(df, name)
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     width = 16 + sum(WIDTHS.get(f.dataType.typeName(), 8) for f in out.schema.fields)
-    return out.hint("merge") if 0 < limit < out.count() * width else out
+    if not 0 < limit < out.count() * width:
+        return out
+    told = out.hint("merge")
+    told._scratch = out._scratch
+    return told
 
 
 def discard(*tables: DataFrame) -> None:
