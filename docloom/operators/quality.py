@@ -74,8 +74,12 @@ def outline_issues(
     ``outline``: repo_id, pos, slug, title, purpose, priority, source_paths. ``nav``: adjacency rows.
     ``evidence``: repo_id, file_count, docs_count, link_count. ``entries``: repo_id, pos, group, title, url.
     ``repos``: repo_id, name. Every check is an aggregate per repository; they meet in one row each.
+    What several checks read, and each few checks, are stored, as one plan of all would outgrow the driver.
     """
-    pages = classify_pages(outline)
+    outline = joinable(outline.select("repo_id", "pos", "slug", "title", "purpose", "priority", "source_paths"), "outline")
+    entries = joinable(entries.select("repo_id", "pos", "group", "title", "url"), "outline-entries")
+    nav = joinable(nav, "outline-nav")
+    pages = joinable(classify_pages(outline), "outline-pages")
     basic = pages.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.size("source_paths") == 0).alias("unsourced"),
@@ -85,7 +89,7 @@ def outline_issues(
     budget = page_budget(evidence).select(
         "repo_id", "file_count", "docs_count", F.coalesce("link_count", F.lit(0)).alias("links"), "min_pages"
     )
-    text = outline_text(outline, nav)
+    text = joinable(outline_text(outline, nav), "outline-text")
     labels = outline_text(outline, nav, labels_only=True)
     families = coverage_families(entries, text)
     missing_families = (
@@ -157,7 +161,9 @@ def outline_issues(
         repeated,
         repos.select("repo_id", T.slug(F.col("name")).alias("repo_slug")),
     ]
-    row = reduce(lambda a, b: a.join(b, "repo_id", "left"), parts, basic)
+    row = basic
+    for i in range(0, len(parts), 3):
+        row = joinable(reduce(lambda a, b: a.join(b, "repo_id", "left"), parts[i : i + 3], row), "outline-checks")
     row = row.fillna(
         0,
         [
