@@ -13,7 +13,7 @@ from docloom.functions.binding import stage
 from docloom.operators.matching import match_entries, nav_parts
 from docloom.operators.predicates import any_match
 from docloom.schemas import NAV_DEPTH
-from docloom.session import materialized
+from docloom.session import joinable, materialized
 
 MAX_DEPTH = NAV_DEPTH
 _COLUMNS = ["repo_id", "node_id", "parent_id", "depth", "ord", "slug", "title"]
@@ -182,7 +182,7 @@ def build_nav(outline: DataFrame, entries: DataFrame) -> DataFrame:
     Leaves go under up to three folders; the overview under ``Start Here``, pages without an entry under
     ``Additional Topics``. Order follows the pages.
     """
-    best = match_entries(outline, entries).select("repo_id", "pos", "entry_pos")
+    best = joinable(match_entries(outline, entries).select("repo_id", "pos", "entry_pos"), "matched")
     placed = stage(
         entries.select("repo_id", F.col("pos").alias("entry_pos"), "group", "title", "url"),
         _parts=nav_parts(F.col("group"), F.col("title"), F.col("url")),
@@ -193,7 +193,8 @@ def build_nav(outline: DataFrame, entries: DataFrame) -> DataFrame:
         .when(F.col("_parts").isNull(), F.array(F.lit("Additional Topics")))
         .otherwise(F.slice("_parts", 1, 3))
     )
-    return _tree_rows(joined.select("repo_id", "pos", "slug", "title", parts.alias("parts")))
+    leaves = joined.select("repo_id", "pos", "slug", "title", parts.alias("parts"))
+    return _tree_rows(materialized(leaves, "nav-leaves"))
 
 
 def build_nav_by_rules(
