@@ -966,15 +966,16 @@ def normalize_outline(outline: DataFrame, entries: DataFrame) -> DataFrame:
     options = F.when(foreign, F.array("_page_slug")).otherwise(
         simpler_slug_options(current, T.slug(t), F.col("_slug"), ns, is_generic_title(t))
     )
-    wishes = stage(joined, _options=F.coalesce(options, _empty())).select(
-        "repo_id", "pos", "_current", "_options"
+    # Stored without the pages' other columns, which only the result needs.
+    wishes = joinable(
+        stage(joined, _options=F.coalesce(options, _empty())).select("repo_id", "pos", "_current", "_options"), "wishes"
     )
     taken = wishes.select("repo_id", F.col("_current").alias("_wish")).distinct()
     tried = wishes.select("repo_id", "pos", "_current", F.posexplode("_options").alias("_at", "_wish"))
     free = tried.join(taken, ["repo_id", "_wish"], "left_anti")
     first_free = top_per_group(free, ["repo_id", "pos"], ["_at"], 1)
-    settled = first_wins(first_free, ["repo_id", "_wish"], "pos").select(
-        "repo_id", "pos", F.col("_wish").alias("_new")
+    settled = joinable(
+        first_wins(first_free, ["repo_id", "_wish"], "pos").select("repo_id", "pos", F.col("_wish").alias("_new")), "settled"
     )
     result = joined.join(settled, ["repo_id", "pos"], "left")
     new_slug = F.coalesce("_new", current)
