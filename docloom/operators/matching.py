@@ -1028,7 +1028,7 @@ def fill_outline(outline: DataFrame, entries: DataFrame, targets: DataFrame) ->
     unmatched = outline.join(best.select("repo_id", "pos"), ["repo_id", "pos"], "left_anti").select(
         "repo_id", T.slug(F.col("title")).alias("_t")
     ).filter("_t <> ''").select("repo_id", F.concat(F.lit("title:"), F.col("_t")).alias("topic_key"))
-    known = covered.unionByName(unmatched).distinct()
+    known = joinable(covered.unionByName(unmatched).distinct(), "known")
     fresh = outline_candidates(entries).join(known, ["repo_id", "topic_key"], "left_anti")
     sizes = outline.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_have"))
     need = targets.join(sizes, "repo_id", "left").select(

@@ -22,6 +22,7 @@ from docloom.functions.ids import micros
 from docloom.functions.text import slug as slug_of
 from docloom.functions.text import slug_path_title
 from docloom.operators.predicates import first_match, weighted
+from docloom.session import joinable
 
 _BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -179,7 +180,7 @@ def page_slugs(
     involved = links.join(tangled, [*keys, "_stem"], "left_semi").select(
         *keys, F.explode(F.array(base, "_child")).alias(base)
     )
-    mixed = involved.distinct().withColumn("_mixed", F.lit(True))
+    mixed = joinable(involved.distinct().withColumn("_mixed", F.lit(True)), "mixed-slugs")
     joined = marked.join(mixed, [*keys, base], "left")
     simple = numbered_slugs(joined.filter("_mixed is null"), keys, base, [pos], out)
     item = F.struct(F.col(pos).alias("p"), F.col(base).alias("b"))

@@ -14,7 +14,7 @@ def _exchanges(df):
     return len(re.findall("Exchange", df._jdf.queryExecution().executedPlan().toString()))
 
 
-@pytest.mark.parametrize("name", ["match_source_paths", "outline_issues", "build_nav", "normalize_outline"])
+@pytest.mark.parametrize("name", ["match_source_paths", "outline_issues", "build_nav", "normalize_outline", "fill_outline"])
 def test_no_plan_of_a_matching_query_is_large(spark, monkeypatch, name):
     sizes, stored = [], session.materialized
 
