@@ -6,13 +6,11 @@ by watermarks, by retention, or by the number of open sessions, jobs and clients
 
 from __future__ import annotations
 
-import bisect
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -24,7 +22,10 @@ from docloom.session import scratch_dir
 from docloom.streaming import stateful
 from docloom.streaming.batch import ClientWindow, decide, paired_calls
 
-_FOLD_STATE = "state string"
+
+def _part(column: str) -> Column:
+    """The group that a key is handled in."""
+    return F.pmod(F.xxhash64(column), F.lit(stateful.PARTS)).cast("int")
 
 
 def stream_session_fold(events: DataFrame, delay: str = "10 minutes", retention: str = "7 days", ts: str = "ts") -> DataFrame:
@@ -60,7 +61,7 @@ def stream_rolling_usage(
     """attempt_id, scope, attempts, oldest_us: the trailing usage of every attempt by client hour, client day and repository cooldown.
 
     The same numbers as ``rolling_usage``, both ends of a window included, once the watermark has passed an attempt. One union of the scopes feeds one state:
-    an attempt is a row under its client and one under its repository. Usage of all together is not a key to hold in one
+    an attempt is a row under its client and one under its repository. Names are dealt into groups that are counted together. Usage of all together is not a key to hold in one
     task; ``stream_usage`` without keys counts it in slides. Needs the RocksDB state store.
     """
     windows = {"client": [("client_hour", rules.HOUR_US), ("client_day", rules.DAY_US)]}
@@ -69,7 +70,7 @@ def stream_rolling_usage(
         windows["repo"] = [("repo_cooldown", cooldown_us)]
         keys.append(F.struct(F.lit("repo").alias("kind"), F.col("repo_full_name").alias("name")))
     rows = attempts.withWatermark(ts, delay).select("attempt_id", ts, F.unix_micros(ts).alias("us"), F.inline(F.array(*keys)))
-    return rows.groupBy("kind", "name").transformWithStateInPandas(
+    return rows.withColumn("part", _part("name")).groupBy("kind", "part").transformWithStateInPandas(
         stateful.TrailingUsage(windows), stateful.USAGE, "append", "EventTime"
     )
 
@@ -105,48 +106,53 @@ def stream_admission(
 
     An attempt waits in its client's state until the watermark has passed it, when nothing older can arrive, and is
     decided then, so ``delay`` is also the delay of a decision and bounds what waits. Attempts that arrive
-    behind the watermark are dropped and counted by Spark. An idle client's state expires a day after the watermark
-    passed its last admitted attempt.
+    behind the watermark are dropped and counted by Spark. An idle client's times go a day after the watermark
+    passed its last admitted attempt. Clients are dealt into groups, one state and one call a group.
     """
     rows = attempts.withWatermark(ts, delay).select(
-        "client_key", "attempt_id", F.col(ts), F.unix_micros(ts).alias("ts_us")
+        _part("client_key").alias("part"), "client_key", "attempt_id", F.col(ts), F.unix_micros(ts).alias("ts_us")
     )
+    columns = ["client_key", "attempt_id", "ts_us"]
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        admitted, waiting = json.loads(state.get[0]) if state.exists else ([], [])
-        window, passed = ClientWindow(per_hour, per_day, admitted), state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for part in batches:
-                waiting += zip(part["ts_us"].tolist(), part["attempt_id"].tolist())
-        waiting = sorted(map(list, waiting))
-        ripe = bisect.bisect_right(waiting, passed * 1000, key=lambda w: w[0])
-        part, waiting = waiting[:ripe], waiting[ripe:]
-        times = np.array([t for t, _ in part], dtype=np.int64)
-        denied = decide(window, times)
-        if waiting:
-            wake = waiting[0][0] // 1000 + 1
-        elif window.admitted:
-            wake = (window.admitted[-1] + rules.DAY_US) // 1000 + 1
-        else:
-            wake = 0
-        if not waiting and wake <= passed:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps([window.admitted, waiting]),))
-            state.setTimeoutTimestamp(max(wake, passed + 1))
+        held, passed = state.get if state.exists else (None, None), state.getCurrentWatermarkMs()
+        before, waiting = (stateful.unpacked([h] if h else [], columns) for h in held)
+        parts = [] if state.hasTimedOut else [part[columns] for part in batches]
+        parts = [f for f in (waiting, *parts) if len(f)]
+        waiting = pd.concat(parts, ignore_index=True) if parts else waiting
+        ripe = waiting["ts_us"] <= passed * 1000
+        left, part = waiting[~ripe], waiting[ripe]
+        at, clients = stateful.runs(part["client_key"], part["ts_us"], part["attempt_id"])
+        part = part.iloc[at]
+        admitted = {name: times.tolist() for name, times in before.groupby("client_key", dropna=False)["ts_us"]}
+        names, times = part["client_key"].tolist(), part["ts_us"].to_numpy(np.int64)
+        denied = np.empty(len(part), dtype=object)
+        for a, b in clients:
+            window = ClientWindow(per_hour, per_day, admitted.get(names[a]))
+            denied[a:b] = decide(window, times[a:b])
+            admitted[names[a]] = window.admitted
+        # admitted times over a day behind the watermark deny nothing any more
+        admitted = {c: t for c, t in admitted.items() if t and (t[-1] + rules.DAY_US) // 1000 + 1 > passed}
+        wakes = [(t[-1] + rules.DAY_US) // 1000 + 1 for t in admitted.values()]
+        wakes += [int(left["ts_us"].min()) // 1000 + 1] if len(left) else []
+        if wakes:
+            kept = pd.DataFrame([(c, t) for c, ts_us in admitted.items() for t in ts_us], columns=["client_key", "ts_us"])
+            state.update(tuple(stateful.packed(f) if len(f) else None for f in (kept, left)))
+            state.setTimeoutTimestamp(max(min(wakes), passed + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(
             {
-                "client_key": [key[0]] * len(part),
-                "attempt_id": [i for _, i in part],
+                "client_key": names,
+                "attempt_id": part["attempt_id"].tolist(),
                 "ts_us": times,
                 "allowed": denied == "",
                 "scope": [d or None for d in denied],
             }
         )
 
-    return rows.groupBy("client_key").applyInPandasWithState(
-        run, _ADMITTED, _FOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return rows.groupBy("part").applyInPandasWithState(
+        run, _ADMITTED, "admitted binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -169,13 +175,14 @@ def stream_stale_jobs(
 ) -> DataFrame:
     """Jobs that missed their heartbeat for longer than allowed, once per silence.
 
-    An event-time timer per job: it fires when the watermark passes the last heartbeat plus the limit. Heartbeats may arrive in any
-    order within ``delay``. Needs the RocksDB state store.
+    A silence ends a session window of Spark's with that gap, so a job is one row of state in the JVM: it comes out when the watermark has passed
+    the last heartbeat plus the limit. Heartbeats may arrive in any order within ``delay``; one behind the watermark counts as long as its own limit is not passed.
     """
-    rows = heartbeats.withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("job_id").transformWithStateInPandas(
-        stateful.SilentJobs(minutes * 60_000_000), stateful.SILENT, "append", "EventTime"
-    )
+    width = minutes * 60_000_000
+    # a window goes when the watermark reaches its end, a silence counts when it has passed that: one microsecond later
+    shifted = heartbeats.select("job_id", F.timestamp_micros(F.unix_micros("ts") + 1).alias("ts")).withWatermark("ts", delay)
+    silent = shifted.groupBy("job_id", F.session_window("ts", f"{width} microseconds").alias("w")).agg((F.max(F.unix_micros("ts")) - 1).alias("last_us"))
+    return silent.select("job_id", "last_us", (F.col("last_us") + width).alias("failed_us"))
 
 
 _UNSTARTED = "job_id string, started_us bigint, failed_us bigint"
@@ -190,34 +197,37 @@ def stream_unstarted_jobs(
     """Jobs that had no session within ``minutes`` of their first event, once each.
 
     ``events``: job_id, ts, has_session. An event-time timer fires when the watermark passes the limit, so order within
-    ``delay`` does not matter. A settled job is remembered until it has been silent for ``retention_minutes``.
+    ``delay`` does not matter. A settled job is remembered until it has been silent for ``retention_minutes``. Jobs are dealt
+    into groups, one state and one call a group.
     """
     width, keep = minutes * 60_000_000, retention_minutes * 60_000_000
-    rows = events.withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("us"), "has_session")
+    rows = events.withWatermark("ts", delay).select(_part("job_id").alias("part"), "job_id", "ts", F.unix_micros("ts").alias("us"), "has_session")
     never = 2**62
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        started, session, last, settled = state.get if state.exists else (never, never, 0, False)
-        if not state.hasTimedOut:
-            for part in batches:
-                started, last = min(started, int(part["us"].min())), max(last, int(part["us"].max()))
-                opened = part.loc[part["has_session"].astype(bool), "us"]
-                session = min(session, int(opened.min())) if len(opened) else session
-        elif settled:
-            state.remove()
-            return
+        jobs = [stateful.unpacked([state.get[0]], [])] if state.exists else []
+        for part in [] if state.hasTimedOut else batches:
+            us = part["us"]
+            session = us.where(part["has_session"].astype(bool), never)
+            jobs.append(pd.DataFrame({"job_id": part["job_id"], "started": us, "session": session, "last": us, "settled": False}))
+        by = pd.concat(jobs, ignore_index=True).groupby("job_id", dropna=False, sort=False)
+        jobs = by.agg({"started": "min", "session": "min", "last": "max", "settled": "max"}).reset_index()
         now = state.getCurrentWatermarkMs()
-        due = not settled and now * 1000 >= started + width
-        settled = settled or due
-        state.update((started, session, last, settled))
-        wake = (last + keep if settled else started + width) // 1000 + 1
-        state.setTimeoutTimestamp(max(wake, now + 1))
-        if due and session > started + width:
-            yield pd.DataFrame({"job_id": [key[0]], "started_us": [started], "failed_us": [started + width]})
-
-    return rows.groupBy("job_id").applyInPandasWithState(
-        run, _UNSTARTED, "started bigint, session bigint, last bigint, settled boolean", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        jobs = jobs[~(jobs["settled"] & ((jobs["last"] + keep) // 1000 + 1 <= now))]
+        due = ~jobs["settled"] & (now * 1000 >= jobs["started"] + width)
+        failed = jobs[due & (jobs["session"] > jobs["started"] + width)]
+        jobs = jobs.assign(settled=jobs["settled"] | due)
+        if len(jobs):
+            wake = jobs["started"] + width
+            wake = wake.where(~jobs["settled"], jobs["last"] + keep)
+            state.update((stateful.packed(jobs),))
+            state.setTimeoutTimestamp(max(int(wake.min()) // 1000 + 1, now + 1))
+        else:
+            state.remove()
+        if len(failed):
+            yield pd.DataFrame({"job_id": failed["job_id"], "started_us": failed["started"], "failed_us": failed["started"] + width})
+
+    return rows.groupBy("part").applyInPandasWithState(run, _UNSTARTED, "jobs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_copies(pages: DataFrame, delay: str, ts: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom import rules
@@ -26,11 +27,29 @@ def wake_at(handle: StatefulProcessorHandle, ms: int | None) -> None:
         handle.registerTimer(ms)
 
 
-def put(state, values: list[tuple]) -> None:
-    if values:
-        state.put(values)
-    elif state.exists():
-        state.clear()
+#: Keys are dealt into so many groups: a call for each of many small keys costs far more than its rows.
+PARTS = 512
+
+
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one value of state."""
+    data, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, data.schema) as out:
+        out.write_table(data)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(values: list[bytes], columns: list[str]) -> pd.DataFrame:
+    frames = [pa.ipc.open_stream(v).read_pandas() for v in values]
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c: [] for c in columns})
+
+
+def runs(key: pd.Series, *order: pd.Series) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Positions sorted by key and ``order``, and the range of each key among them; nulls are one key."""
+    code = pd.factorize(key, use_na_sentinel=False)[0]
+    at = np.lexsort((*reversed([o.to_numpy() for o in order]), code))
+    cuts = np.flatnonzero(np.diff(code[at])) + 1
+    return at, list(zip([0, *cuts], [*cuts, len(at)])) if len(at) else []
 
 
 def _text(value) -> str | None:
@@ -124,10 +143,11 @@ USAGE = "attempt_id bigint, scope string, attempts bigint, oldest_us bigint"
 
 
 class TrailingUsage(StatefulProcessor):
-    """For every attempt of a key, how many of its attempts lie in each trailing window, itself included, and the oldest of them.
+    """For every attempt of a name, how many of its attempts lie in each trailing window, itself included, and the oldest of them.
 
-    Attempts wait until the watermark has passed them and are then counted together, so order of arrival does not matter. The
-    state is the waiting attempts and the times within the longest window; it goes when the last of them has left that.
+    A key is one kind and one of ``PARTS`` groups of names. Attempts wait until the watermark has passed them and are then counted together, so order
+    of arrival does not matter. The state is the waiting attempts, a value for each batch, and the times within the longest window; it goes when the last of
+    them has left that.
     """
 
     def __init__(self, windows: dict[str, list[tuple[str, int]]]):
@@ -135,88 +155,51 @@ class TrailingUsage(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "us bigint")
-        self.waiting = handle.getListState("waiting", "us bigint, attempt_id bigint")
+        self.times = handle.getValueState("times", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(int(us), int(i)) for part in rows for us, i in zip(part["us"], part["attempt_id"])]
-        self.waiting.appendList(fresh)
-        first = min(us for us, _ in fresh) // 1000 + 1
+        fresh = pd.concat([part[["name", "us", "attempt_id"]] for part in rows], ignore_index=True)
+        self.waiting.appendValue((packed(fresh),))
         timers = [int(t) for t in self.handle.listTimers()]
-        wake_at(self.handle, min([first, *timers]))  # a timer that is due fires after the rows
+        wake_at(self.handle, min([int(fresh["us"].min()) // 1000 + 1, *timers]))  # a timer that is due fires after the rows
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ripe = [w for w in waiting if w[0] <= passed * 1000]
-        left = waiting[len(ripe) :]
-        known = [t for (t,) in self.times.get()] if self.times.exists() else []
-        times = np.sort(np.array(known + [us for us, _ in ripe], np.int64))
+        waiting = unpacked([v for (v,) in self.waiting.get()], ["name", "us", "attempt_id"])
+        ripe = waiting["us"] <= passed * 1000
+        left, waiting = waiting[~ripe], waiting[ripe]
+        known = self.times.get()
+        known = unpacked([known[0]] if known else [], ["name", "us"])
+        every = pd.concat([f for f in (known, waiting) if len(f)], ignore_index=True) if len(known) + len(waiting) else known
         longest = max(width for _, width in self.windows[key[0]])
-        keep = times[times >= passed * 1000 - longest]
-        put(self.times, [(int(t),) for t in keep])
-        put(self.waiting, left)
-        wakes = [left[0][0] // 1000 + 1] if left else []
-        wakes += [(int(keep[-1]) + longest) // 1000 + 1] if len(keep) else []
-        wake_at(self.handle, max(min(wakes), passed + 1) if wakes else None)
-        at = np.array([us for us, _ in ripe], np.int64)
-        upto = np.searchsorted(times, at, "right")
-        for scope, width in self.windows[key[0]] if ripe else []:
-            start = np.searchsorted(times, at - width, "left")
-            yield pd.DataFrame({"attempt_id": [i for _, i in ripe], "scope": scope, "attempts": upto - start, "oldest_us": times[start]})
-
-    def close(self) -> None:
-        pass
-
-
-SILENT = "job_id string, last_us bigint, failed_us bigint"
-
-
-class SilentJobs(StatefulProcessor):
-    """Heartbeats that no other followed within ``width_us``.
-
-    Heartbeats wait until the watermark has passed them, so one that arrives out of order closes the gap it belongs in. Of what has passed, only
-    the last is kept, until its silence is reported.
-    """
-
-    def __init__(self, width_us: int):
-        self.width_us = width_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "us bigint")
-        self.waiting = handle.getListState("waiting", "us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = [int(us) for part in rows for us in part["us"]]
-        self.waiting.appendList([(us,) for us in times])
-        timers = [int(t) for t in self.handle.listTimers()]
-        wake_at(self.handle, min([min(times) // 1000 + 1, *timers]))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(us for (us,) in self.waiting.get()) if self.waiting.exists() else []
-        times = [us for us in waiting if us <= passed * 1000]
-        left = waiting[len(times) :]
-        if self.last.exists():
-            times.insert(0, self.last.get()[0])
-        silent = [a for a, b in zip(times, times[1:]) if b - a > self.width_us]
-        last = times[-1] if times else None
-        if last is not None and passed * 1000 - last > self.width_us:
-            silent.append(last)
-            last = None
-        if last is not None:
-            self.last.update((last,))
-        elif self.last.exists():
-            self.last.clear()
-        put(self.waiting, [(us,) for us in left])
-        wakes = [left[0] // 1000 + 1] if left else []
-        wakes += [(last + self.width_us) // 1000 + 1] if last is not None else []
+        keep = every.loc[every["us"] >= passed * 1000 - longest, ["name", "us"]]
+        if len(keep):
+            self.times.update((packed(keep),))
+        elif len(known):
+            self.times.clear()
+        if len(left):
+            self.waiting.put([(packed(left),)])
+        elif len(waiting):
+            self.waiting.clear()
+        wakes = [int(left["us"].min()) // 1000 + 1] if len(left) else []
+        wakes += [(int(keep["us"].max()) + longest) // 1000 + 1] if len(keep) else []
         wake_at(self.handle, max(min(wakes), passed + 1) if wakes else None)
-        if silent:
-            yield pd.DataFrame({"job_id": key[0], "last_us": silent, "failed_us": [us + self.width_us for us in silent]})
+        if len(waiting):
+            yield from self._counted(key[0], every, len(known))
+
+    def _counted(self, kind: str, every: pd.DataFrame, n_known: int) -> Iterator[pd.DataFrame]:
+        """Rows of ``every`` from ``n_known`` on, counted among those of their name."""
+        at, names = runs(every["name"], every["us"])
+        us, fresh = every["us"].to_numpy(np.int64)[at], at >= n_known
+        ids = every["attempt_id"].to_numpy()[at[fresh]].astype(np.int64)
+        for scope, width in self.windows[kind]:
+            start, upto = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
+            for a, b in names:
+                start[a:b] = a + np.searchsorted(us[a:b], us[a:b] - width, "left")
+                upto[a:b] = a + np.searchsorted(us[a:b], us[a:b], "right")
+            yield pd.DataFrame({"attempt_id": ids, "scope": scope, "attempts": (upto - start)[fresh], "oldest_us": us[start[fresh]]})
 
     def close(self) -> None:
         pass
