@@ -33,10 +33,11 @@ def stream_session_fold(events: DataFrame, delay: str = "10 minutes", retention:
 
     Emits the session's row whenever a batch changed it (update mode). Events may arrive in any order within ``delay``: one
     that does not follow on the last is folded when the watermark has passed it. ``skipped`` counts events that came behind
-    what was folded by then, repeats among them; Spark counts those behind the watermark. Lists and maps go at the end of a turn, the rest
+    what was folded by then, repeats among them; Spark counts those behind the watermark. What waits and the calls go at the end of a turn, the rest
     when a session was silent for ``retention``. Times of a session must not fall with seq. Needs the RocksDB state store.
     """
     flat = events.withWatermark(ts, delay).select(
+        _part("session_id").alias("part"),
         "session_id",
         "seq",
         ts,
@@ -47,7 +48,7 @@ def stream_session_fold(events: DataFrame, delay: str = "10 minutes", retention:
         F.col("data.callId").alias("call_id"),
     )
     keep_ms = int(pd.Timedelta(retention).total_seconds() * 1000)
-    return flat.groupBy("session_id").transformWithStateInPandas(
+    return flat.groupBy("part").transformWithStateInPandas(
         stateful.SessionFold(keep_ms), stateful.FOLD, "update", "EventTime"
     )
 

@@ -63,8 +63,11 @@ class SessionFold(StatefulProcessor):
     """Folds the events of a session in order of seq.
 
     Events that follow on each other are folded at once. One behind a gap waits in a list until the watermark has
-    passed its time: what is missing then will not come. Calls are a map by id. At the first boundary the lists are dropped; of the session a
+    passed its time: what is missing then will not come. Calls are a map by id. At the first boundary what waits is dropped; of the session a
     few numbers stay, so that later events are known to be late, until nothing was heard for ``keep_ms``.
+
+    A key is one of ``PARTS`` groups of sessions with one timer. Its numbers and what waits are read together, and the list is written at
+    once, as each access is a round trip to the JVM; of the numbers only those that changed are written.
     """
 
     def __init__(self, keep_ms: int):
@@ -72,35 +75,73 @@ class SessionFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState(
-            "progress", "reply string, failure string, next bigint, calls bigint, skipped bigint, last_ms bigint, ended boolean"
+        self.progress = handle.getMapState(
+            "progress", "session_id string", "reply string, failure string, next bigint, calls bigint, skipped bigint, last_ms bigint, ended boolean"
+        )
+        self.waiting = handle.getListState(
+            "waiting", "session_id string, seq bigint, us bigint, type string, message string, so_far string, call_id string"
         )
-        self.waiting = handle.getListState("waiting", "seq bigint, us bigint, type string, message string, so_far string, call_id string")
-        self.calls = handle.getMapState("calls", "call_id string", "seq bigint")
+        self.calls = handle.getMapState("calls", "session_id string, call_id string", "seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [tuple(r) for part in rows for r in part[["seq", "us", "type", "message", "so_far", "call_id"]].itertuples(index=False)]
-        yield from self._fold(key, fresh, timerValues.getCurrentWatermarkInMs())
+        fresh: dict = {}
+        for part in rows:
+            for name, *event in part[["session_id", "seq", "us", "type", "message", "so_far", "call_id"]].itertuples(index=False):
+                fresh.setdefault(_text(name), []).append(tuple(event))
+        yield from self._fold_all(fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._fold(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._fold_all({}, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _fold(self, key, fresh: list[tuple], passed: int) -> Iterator[pd.DataFrame]:
-        known = self.progress.get() if self.progress.exists() else None
+    def _fold_all(self, fresh: dict, passed: int) -> Iterator[pd.DataFrame]:
+        known = {name: tuple(row) for (name,), row in self.progress.iterator()}
+        waiting: dict = {}
+        for name, *event in self.waiting.get():
+            waiting.setdefault(name, {})[event[0]] = tuple(event)
+        calls: dict = {}
+        for name, call in self.calls.keys():
+            calls.setdefault(name, set()).add(call)
+        out, wakes, moved = [], [], False
+        for name in [*fresh, *(n for n in known if n not in fresh)]:
+            held = waiting.get(name, {})
+            wake = self._wake(held, known[name][5]) if name not in fresh else 0
+            if wake <= passed:
+                row, left, wake = self._fold(name, fresh.get(name, []), known.get(name), held, calls.get(name, set()), passed)
+                out += [row] if row else []
+                moved = moved or left.keys() != held.keys()
+                waiting[name] = left
+            wakes += [wake] if wake is not None else []
+        wake_at(self.handle, max(min(wakes), passed + 1) if wakes else None)
+        if moved:
+            rows = [(name, *held[seq]) for name, held in waiting.items() for seq in sorted(held)]
+            if rows:
+                self.waiting.put(rows)
+            else:
+                self.waiting.clear()
+        if out:
+            columns = ["session_id", "reply", "failure", "next_index", "tool_calls", "ended", "skipped"]
+            yield pd.DataFrame(out, columns=columns).astype({"next_index": "Int64"})
+
+    def _wake(self, held: dict, last_ms: int) -> int:
+        """When a session has something to do without new events."""
+        return held[min(held)][1] // 1000 + 1 if held else last_ms + self.keep_ms
+
+    def _fold(self, name, fresh: list[tuple], known: tuple | None, kept: dict, calls: set, passed: int) -> tuple:
+        """The session's row if it changed, what waits, and the next time to wake unless nothing of the session is left."""
         reply, failure, next_seq, n_calls, skipped, last_ms, ended = known or (None, None, None, 0, 0, 0, False)
         last_ms = max([last_ms, *(r[1] // 1000 for r in fresh)])
         before = (reply, failure, next_seq, n_calls, skipped, ended)
         held: dict[int, tuple] = {}
         if not ended:
-            kept = list(self.waiting.get()) if known is not None and self.waiting.exists() else []
-            for row in [*kept, *fresh]:
+            for row in [*kept.values(), *fresh]:
                 if next_seq is not None and row[0] < next_seq:
                     skipped += 1
                 else:
                     held.setdefault(row[0], row)
+        called: dict[str, int] = {}
         for seq in sorted(held):
             _, us, kind, message, so_far, call = held[seq]
             if not (seq == (next_seq or 0) or us <= passed * 1000):
@@ -113,30 +154,30 @@ class SessionFold(StatefulProcessor):
             elif kind == "message.appended" and _text(so_far) is not None:
                 reply = so_far
             elif kind in ("actions.requested", "action.result") and _text(call) is not None:
-                if not self.calls.containsKey((call,)):
-                    self.calls.updateValue((call,), (seq,))
+                if call not in calls and call not in called:
+                    called[call] = seq
                     n_calls += 1
             if kind == "session.failed":
                 failure = message if _text(message) is not None else "session failed"
             if kind in rules.TURN_BOUNDARIES and not stale:
                 ended, held = True, {}
-                self.calls.clear()
                 break
-        if held:
-            self.waiting.put([held[s] for s in sorted(held)])
-        elif known is not None:
-            self.waiting.clear()
-        if not held and last_ms + self.keep_ms <= passed:
-            self.progress.clear()
-            self.calls.clear()
-            wake_at(self.handle, None)
+        gone = not held and last_ms + self.keep_ms <= passed
+        if ended or gone:
+            for call in calls:
+                self.calls.removeKey((name, call))
         else:
-            self.progress.update((reply, failure, next_seq, n_calls, skipped, last_ms, ended))
-            first = held[min(held)][1] // 1000 + 1 if held else last_ms + self.keep_ms
-            wake_at(self.handle, max(first, passed + 1))
-        if (reply, failure, next_seq, n_calls, skipped, ended) != before:
-            row = (key[0], reply, failure, next_seq, n_calls, ended, skipped)
-            yield pd.DataFrame([row], columns=["session_id", "reply", "failure", "next_index", "tool_calls", "ended", "skipped"])
+            for call, seq in called.items():
+                self.calls.updateValue((name, call), (seq,))
+        now = (reply, failure, next_seq, n_calls, skipped, last_ms, ended)
+        if not gone:
+            if now != known:
+                self.progress.updateValue((name,), now)
+        elif known is not None:
+            self.progress.removeKey((name,))
+        changed = (reply, failure, next_seq, n_calls, skipped, ended) != before
+        row = (name, reply, failure, next_seq, n_calls, ended, skipped) if changed else None
+        return row, held, None if gone else self._wake(held, last_ms)
 
 
 USAGE = "attempt_id bigint, scope string, attempts bigint, oldest_us bigint"

@@ -45,3 +45,9 @@ def test_silence_is_strictly_longer_than_the_limit_without_python(spark, tmp_pat
     found = {(r.job_id, r.last_us) for r in jobs.run_available(silent, "silent").collect()}
     # the watermark stands at the limit of "edge" and has not passed it
     assert found == {("same", first + 15 * minute), ("apart", first), ("apart", first + 15 * minute + 1)}
+
+
+def test_sessions_are_folded_in_groups(spark, tmp_path):
+    events = spark.range(1).selectExpr("CAST(id AS STRING) AS session_id", "id AS seq", "timestamp_seconds(id) AS ts", "'x' AS type", "named_struct('message', '', 'messageSoFar', '', 'callId', '') AS data")
+    folded = jobs.stream_session_fold(landed(spark, tmp_path / "in", [events], events.schema))
+    assert "pmod(xxhash64(session_id" in folded._jdf.queryExecution().analyzed().toString()
