@@ -7,6 +7,7 @@ wait for that moment where order matters, and a timer wakes them. State leaves b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,7 +67,7 @@ class SessionFold(StatefulProcessor):
     passed its time: what is missing then will not come. Calls are a map by id. At the first boundary what waits is dropped; of the session a
     few numbers stay, so that later events are known to be late, until nothing was heard for ``keep_ms``.
 
-    A key is one of ``PARTS`` groups of sessions with one timer. Its numbers and what waits are read together, and the list is written at
+    A key is one of ``PARTS`` groups of sessions with one timer. Its numbers and what waits are read together, and the list, a row a session, is written at
     once, as each access is a round trip to the JVM; of the numbers only those that changed are written.
     """
 
@@ -78,9 +79,7 @@ class SessionFold(StatefulProcessor):
         self.progress = handle.getMapState(
             "progress", "session_id string", "reply string, failure string, next bigint, calls bigint, skipped bigint, last_ms bigint, ended boolean"
         )
-        self.waiting = handle.getListState(
-            "waiting", "session_id string, seq bigint, us bigint, type string, message string, so_far string, call_id string"
-        )
+        self.waiting = handle.getListState("waiting", "session_id string, events string")
         self.calls = handle.getMapState("calls", "session_id string, call_id string", "seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -99,8 +98,8 @@ class SessionFold(StatefulProcessor):
     def _fold_all(self, fresh: dict, passed: int) -> Iterator[pd.DataFrame]:
         known = {name: tuple(row) for (name,), row in self.progress.iterator()}
         waiting: dict = {}
-        for name, *event in self.waiting.get():
-            waiting.setdefault(name, {})[event[0]] = tuple(event)
+        for name, events in self.waiting.get():
+            waiting[name] = {event[0]: tuple(event) for event in json.loads(events)}
         calls: dict = {}
         for name, call in self.calls.keys():
             calls.setdefault(name, set()).add(call)
@@ -116,7 +115,7 @@ class SessionFold(StatefulProcessor):
             wakes += [wake] if wake is not None else []
         wake_at(self.handle, max(min(wakes), passed + 1) if wakes else None)
         if moved:
-            rows = [(name, *held[seq]) for name, held in waiting.items() for seq in sorted(held)]
+            rows = [(name, json.dumps([held[seq] for seq in sorted(held)])) for name, held in waiting.items() if held]
             if rows:
                 self.waiting.put(rows)
             else:
