@@ -789,8 +789,14 @@ def prose(markdown: Column) -> Column:
         ),
     )
     t = _rewritten(t, "://", r"https?://\S+")
-    # A word without a slash is tried once, from its start.
-    return _rewritten(t, "/", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_./-]+")
+    # No path goes beyond its line, so only lines with a slash are searched; a word without one is tried once, from its start.
+    path = r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]++/[A-Za-z0-9_./-]+"
+
+    def by_line(x: Column) -> Column:
+        lines = F.transform(F.split(x, "\n"), lambda line: F.when(F.contains(line, F.lit("/")), F.regexp_replace(line, path, " ")).otherwise(line))
+        return F.when(~F.contains(x, F.lit("/")), x).otherwise(F.array_join(lines, "\n"))
+
+    return let(t, by_line)
 
 
 def count_matches(c: Column, pattern: str, mark: str | None = None) -> Column:

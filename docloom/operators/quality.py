@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom import rules
 from docloom.functions import text as T
 from docloom.functions import urls as U
-from docloom.functions.binding import stage
+from docloom.functions.binding import let, stage
 from docloom.operators.corpus import metric_columns
 from docloom.operators.joins import valid_citations
 from docloom.operators.matching import match_entries
@@ -270,12 +270,18 @@ def has_reference_detail() -> Column:
     )
 
 
-def has_guide_example(markdown: Column) -> Column:
+# The same matches as the rules', searched faster: from the break before a command on, and only where a word can start.
+_FIRST_COMMAND, _LATER_COMMAND = (rules.COMMAND_LINE.replace(r"(^|\n)", start) for start in ("^", r"\n"))
+_GUIDE_WORDS = r"(?=[CESTWcestw][AEOTXaeotx])" + rules.GUIDE_WORDS
+
+
+def has_guide_example(markdown: Column, fences: Column) -> Column:
     return (
-        (F.col("fences") >= 2)
+        (fences >= 2)
         | markdown.rlike(rules.NUMBERED_LINE)
-        | markdown.rlike(rules.COMMAND_LINE)
-        | markdown.rlike(rules.GUIDE_WORDS)
+        | markdown.rlike(_FIRST_COMMAND)
+        | markdown.rlike(_LATER_COMMAND)
+        | markdown.rlike(_GUIDE_WORDS)
     )
 
 
@@ -284,21 +290,32 @@ def has_title(markdown: Column, title: Column) -> Column:
     return start | markdown.rlike(r"(?m)^#\s+.+")
 
 
+def _limited_paths() -> Column:
+    """Paths in the draft that only belong to some topics, one array for each of these. Texts without a mark are not searched."""
+    text = F.concat_ws("\n", "markdown", F.array_join(F.transform("citations", lambda c: c["path"]), "\n"))
+    none = F.array().cast("array<string>")
+
+    def found(t: Column) -> Column:
+        searched = zip(rules.FORBIDDEN_MARKS, rules.FORBIDDEN_PATHS, strict=True)
+        return F.array(
+            *[F.when(F.contains(t, F.lit(mark)), F.regexp_extract_all(t, F.lit(path), 0)).otherwise(none) for mark, (_, _, path) in searched]
+        )
+
+    return let(text, found)
+
+
 def _foreign_paths() -> Column:
     """Paths in the draft that belong to other topics than its page."""
     about = T.slug(
         F.concat_ws(" ", "slug", "title", "purpose", F.array_join("source_paths", " "))
     )
-    text = F.concat_ws("\n", "markdown", F.array_join(F.transform("citations", lambda c: c["path"]), "\n"))
     none = F.array().cast("array<string>")
     found = []
-    for topic, limited_to, path in rules.FORBIDDEN_PATHS:
+    for i, (topic, limited_to, _) in enumerate(rules.FORBIDDEN_PATHS):
         allowed = about.rlike(f"(?i){topic}")
         if limited_to is not None:
             allowed = allowed | ~F.col("slug").rlike(limited_to)
-        found.append(
-            F.when(allowed, none).otherwise(F.regexp_extract_all(text, F.lit(path), 0))
-        )
+        found.append(F.when(allowed, none).otherwise(F.col("limited_paths")[i]))
     return F.array_sort(F.array_except(F.array_distinct(F.concat(*found)), F.col("source_paths")))
 
 
@@ -307,7 +324,8 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
 
     ``drafts``: repo_id, page_slug, attempt, title, markdown, citations. ``outline``: repo_id, pos, slug,
     title, purpose, source_paths. ``evidence``: file_count, docs_count, link_count per repository. Paths
-    are checked against the inventory by key; the long text takes part in equi-joins only.
+    are checked against the inventory by key. What the text alone tells is read off where the draft is; all else of a draft is
+    joined without its text, which then takes part in one equi-join.
     """
     pages = classify_pages(outline).withColumn("_key", T.slug(F.col("slug")))
     known_size = F.col("file_count").isNotNull()
@@ -342,15 +360,31 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
     )
     none = F.array().cast("array<string>")
     md = F.col("markdown")
+    metrics = metric_columns(md)
     measured = drafts.select(
-        "*",
-        *[m.alias(k) for k, m in metric_columns(md).items() if k not in ("links", "index_headings")],
-    ).withColumn("_key", T.slug(F.col("page_slug")))
+        *[F.col(c).alias(f"_{c}") for c in ids],
+        "markdown",
+        *[m.alias(k) for k, m in metrics.items() if k not in ("links", "index_headings")],
+        F.size("citations").alias("citations_n"),
+        has_title(md, F.col("title")).alias("titled"),
+        md.rlike(rules.SOURCE_SECTION).alias("source_section"),
+        md.rlike(rules.SOURCES_LINE).alias("sources_line"),
+        has_guide_example(md, metrics["fences"]).alias("guide_example"),
+        _limited_paths().alias("limited_paths"),
+    )
+    placed = (
+        drafts.select(*ids)
+        .distinct()
+        .withColumn("_key", T.slug(F.col("page_slug")))
+        .join(own.join(indexed, ["repo_id", "slug"], "left"), ["repo_id", "_key"], "left")
+        .join(known, ids, "left")
+    )
+    same = [F.col(f"_{c}") == F.col(c) for c in ids[:2]]
     joined = (
-        measured.join(own.drop("title"), ["repo_id", "_key"], "left")
+        measured.join(placed, [*same, F.col("_attempt").eqNullSafe(F.col("attempt"))], "left")
+        .drop(*ids)
+        .withColumnsRenamed({f"_{c}": c for c in ids})
         .withColumn("source_paths", F.coalesce("source_paths", none))
-        .join(known, ids, "left")
-        .join(indexed, ["repo_id", "slug"], "left")
         .withColumn("valid_paths", F.coalesce("valid_paths", none))
         .withColumn("indexed_paths", F.coalesce("indexed_paths", none))
     )
@@ -359,20 +393,20 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
     near = F.when(F.col("min_words") >= 900, F.col("min_words") - 25).otherwise(
         F.floor(F.col("min_words") * 9 / 10)
     )
-    sources = md.rlike(rules.SOURCES_LINE)
+    sources = F.col("sources_line")
     detailed = (
         (F.col("prose_words") >= near)
         & (F.col("h2") >= 3)
         & sources
-        & (has_reference_detail() | has_guide_example(md))
+        & (has_reference_detail() | F.col("guide_example"))
     )
-    facts = joined.withColumn("_draft_title", F.col("title")).withColumn("title", F.col("page_title"))
+    facts = joined.withColumnRenamed("page_title", "title")
     return facts.select(
         *ids,
         "slug",
         F.col("slug").isNotNull().alias("planned"),
         "has_evidence",
-        F.col("page_title").alias("title"),
+        "title",
         "is_reference",
         "is_guide",
         "is_important",
@@ -381,10 +415,10 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
         "prose_words",
         "raw_words",
         "h2",
-        has_title(md, F.col("_draft_title")).alias("titled"),
-        md.rlike(rules.SOURCE_SECTION).alias("source_section"),
-        sources.alias("sources_line"),
-        F.size("citations").alias("citations_n"),
+        "titled",
+        "source_section",
+        "sources_line",
+        "citations_n",
         F.size("valid_paths").alias("valid_n"),
         F.exists("valid_paths", lambda p: F.contains(md, p)).alias("cited_visible"),
         (F.when(sources, F.size(visible)).otherwise(0)).alias("visible_n"),
@@ -396,7 +430,7 @@ def page_facts(drafts: DataFrame, outline: DataFrame, evidence: DataFrame, files
         _foreign_paths().alias("foreign_paths"),
         detailed.alias("near_miss_ok"),
         has_reference_detail().alias("reference_detail"),
-        has_guide_example(md).alias("guide_example"),
+        "guide_example",
         F.get(
             F.filter(F.slice("source_paths", 1, 3), lambda p: ~F.contains(md, p)), F.lit(0)
         ).alias("unmentioned"),

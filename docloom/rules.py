@@ -1384,6 +1384,9 @@ FORBIDDEN_PATHS = [
     ),
 ]
 
+# A part of every match of each of these paths.
+FORBIDDEN_MARKS = ["packages/eslint-plugin-react-hooks/", "dom-event-testing-library/", "packages/react-dom/", "packages/react-dom/"]
+
 # == citations ================================================================================
 
 _CITED = (
