@@ -39,7 +39,7 @@ from docloom.operators.predicates import (
     locale_scope,
     weighted,
 )
-from docloom.session import materialized
+from docloom.session import joinable
 from docloom.operators.rollups import map_group  # noqa: F401  (re-exported for callers)
 
 _HREF = r"(?i)\bhref=(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"
@@ -368,34 +368,39 @@ def sitemap_documents(
     """Documents that sitemaps list, through the sitemaps nested in them: ``keys``, url, sitemap (that lists it), depth, pos.
 
     ``starts``: ``keys`` and the address of a sitemap. ``bodies``: landed addresses and bodies. A sitemap that lists documents (``is_document`` of
-    their address; by default all but ``.xml``) gives these; one that lists none hands on to its best ``n`` nested ones (None: all). Every round joins what is
-    still unread with the landed bodies and writes the addresses it found, so only addresses are kept between rounds; a sitemap is read once for each of ``keys``
+    their address; by default all but ``.xml``) gives these; one that lists none hands on to its best ``n`` nested ones (None: all). Every landed body is read
+    once, before the rounds, and what landed sitemaps hand on to each other is stored; a round joins only these addresses with those it comes from. A sitemap counts once for each of ``keys``
     whatever names it, so cycles end. Rounds go on until nothing is new, or for ``depth`` rounds beyond the first. An address listed
     several times comes once, from the shallowest sitemap.
     """
     keys = list(keys)
     document = is_document or (lambda u: ~F.lower(U.path(u)).endswith(".xml"))
     landed = bodies.select(U.dedupe_key(F.col(url)).alias("_key"), F.col(body).alias("_body")).dropDuplicates(["_key"])
+    # The key has the host of every address it stands for, so what a sitemap lists is told apart without knowing who named it.
+    locs = sitemap_urls(landed, ["_key"], "_key", "_body").withColumn("_document", document(F.col("url"))).drop("page_url")
+    locs = joinable(locs, "sitemap-locs")
+    listing = locs.filter("_document").select("_key", "url", "pos")
+    handing = locs.join(listing.select("_key").distinct(), "_key", "left_anti")
+    handed = nested_sitemaps(handing, ["_key"], n).select("_key", F.col("url").alias("sitemap"), U.dedupe_key(F.col("url")).alias("_next"))
+    known = locs.select(F.col("_key").alias("_next")).distinct()
+    handed = joinable(handed.filter("_next <> _key").join(known, "_next", "left_semi"), "sitemaps-handed")
+
+    def unique(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys, "_key").agg(F.min("sitemap").alias("sitemap"))
+
     frontier = starts.select(*keys, F.col(url).alias("sitemap"), U.dedupe_key(F.col(url)).alias("_key"))
-    frontier = materialized(frontier.dropDuplicates([*keys, "_key"]), "sitemaps")
-    seen, found, level = frontier.select(*keys, "_key"), [], 0
-    while True:
-        read = frontier.join(landed, "_key")
-        locs = sitemap_urls(read, [*keys, "_key"], "sitemap", "_body").withColumn("_document", document(F.col("url")))
-        locs = materialized(locs, "sitemap-locs")
-        found.append(locs.filter("_document").select(*keys, "url", F.col("page_url").alias("sitemap"), F.lit(level).alias("depth"), "pos"))
-        if level == depth:
-            break
+    frontier = joinable(unique(frontier), "sitemaps")
+    seen, level = [frontier.withColumn("depth", F.lit(0))], 0
+    while level != depth:
         level += 1
-        giving = locs.filter("_document").select(*keys, "_key").distinct()
-        handed = nested_sitemaps(locs.join(giving, [*keys, "_key"], "left_anti"), [*keys, "_key"], n)
-        new = handed.select(*keys, F.col("url").alias("sitemap"), U.dedupe_key(F.col("url")).alias("_key"))
-        new = new.dropDuplicates([*keys, "_key"]).join(seen, [*keys, "_key"], "left_anti")
-        frontier = materialized(new, "sitemaps")
+        new = unique(frontier.drop("sitemap").join(handed, "_key").drop("_key").withColumnRenamed("_next", "_key"))
+        past = reduce(DataFrame.unionByName, seen).select(*keys, "_key")
+        frontier = joinable(new.join(past, [*keys, "_key"], "left_anti"), "sitemaps")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier.select(*keys, "_key"))
-    documents = reduce(DataFrame.unionByName, found).withColumn("_key", U.dedupe_key(F.col("url")))
+        seen.append(frontier.withColumn("depth", F.lit(level)))
+    documents = reduce(DataFrame.unionByName, seen).join(listing, "_key").withColumn("_key", U.dedupe_key(F.col("url")))
+    documents = documents.select(*keys, "url", "sitemap", "depth", "pos", "_key")
     return first_wins(documents, [*keys, "_key"], ["depth", "sitemap", "pos"]).drop("_key")
 
 
