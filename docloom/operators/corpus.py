@@ -514,26 +514,46 @@ def markdown_entries(docs: DataFrame, keys: Sequence[str] = ("repo_id", "source_
     )
 
 
-def outside_fences(files: DataFrame, keys: Sequence[str] = ("repo_id", "path")) -> DataFrame:
-    """Lines of Markdown files outside code fences, with the line that follows each."""
-    lines = files.select(*keys, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line")).withColumn(
-        "line", F.rtrim(F.regexp_replace("line", r"\s+$", ""))
-    )
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
+_FENCE = r"^\s*(```|~~~)"
+
+
+def _without_end(line: Column) -> Column:
+    return F.rtrim(F.regexp_replace(line, r"\s+$", ""))
+
+
+def _outside(lines: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """Lines outside code fences; ``more`` is computed over all lines of a file in order."""
     w = Window.partitionBy(*keys).orderBy("line_no")
+    fence = F.col("line").rlike(_FENCE)
     seen = F.sum(fence.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    flagged = lines.select(
-        "*",
-        fence.alias("_fence"),
-        (seen % 2).alias("_inside"),
-        F.lead("line").over(w).alias("next_line"),
-    )
+    columns = {"_fence": fence, "_inside": seen % 2, **{k: v.over(w) for k, v in more.items()}}
+    flagged = lines.select("*", *[v.alias(k) for k, v in columns.items()])
     return flagged.filter(~F.col("_fence") & (F.col("_inside") == 0)).drop("_fence", "_inside")
 
 
+def outside_fences(files: DataFrame, keys: Sequence[str] = ("repo_id", "path")) -> DataFrame:
+    """Lines of Markdown files outside code fences, with the line that follows each."""
+    lines = files.select(*keys, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    return _outside(lines.withColumn("line", _without_end(F.col("line"))), keys, next_line=F.lead("line"))
+
+
+def _heading_lines(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lines that may be or underline headings, and those of fences, each with the line after it; the text stays behind."""
+    lines = F.split("text", r"\r?\n")
+    pairs = F.arrays_zip(lines.alias("line"), F.slice(lines, 2, 2_147_483_647).alias("next_line"))
+    split = files.select(*keys, F.posexplode(pairs).alias("line_no", "_pair")).select(*keys, "line_no", "_pair.line", "_pair.next_line")
+    underlined = F.coalesce(F.col("next_line").rlike(r"^ *([=~`#*-])\1{2}"), F.lit(False))
+    telling = split.filter(F.col("line").rlike(r"^#{1,4}\s") | underlined | F.col("line").rlike(_FENCE))
+    return stage(telling, line=_without_end(F.col("line")), next_line=_without_end(F.col("next_line")))
+
+
 def markdown_headings(files: DataFrame, keys: Sequence[str] = ("repo_id", "path")) -> DataFrame:
     """ATX and underlined headings of Markdown/RST files, levels 1 to 4, outside code fences."""
-    lines = outside_fences(files, keys)
+    return _headings(_heading_lines(files, keys), keys)
+
+
+def _headings(telling: DataFrame, keys: Sequence[str]) -> DataFrame:
+    lines = _outside(telling, keys)
     atx = r"^(#{1,4})\s+(.+?)\s*#*$"
     under = F.trim(F.coalesce("next_line", F.lit("")))
     underline = under.rlike(r"^(=|-|~|`|#|\*)\1{2,}$")
@@ -714,13 +734,16 @@ def repo_docs_index(files: DataFrame, texts: DataFrame, repos: DataFrame) -> Dat
     default_branch. One entry per documentation file and per kept heading of the first 80 files; a
     source map is added when that gives under 20 links.
     """
-    paths = fallback_docs_paths(files)
-    read = texts.join(
+    paths = joinable(fallback_docs_paths(files), "docs-paths")
+    path = F.col("path")
+    # Texts that may be documentation are cut to their telling lines where they are; these meet the paths, not the texts.
+    lines = _heading_lines(texts.filter(is_docs_source(path, "fallback") | is_guide_readme(path)), ["repo_id", "path"])
+    read = lines.join(
         paths.filter(F.col("pos") <= rules.MAX_FALLBACK_FILES).select("repo_id", "path"),
         ["repo_id", "path"],
         "left_semi",
     )
-    heads = markdown_headings(read).withColumn("file_title", docs_file_title(F.col("path")))
+    heads = _headings(read, ["repo_id", "path"]).withColumn("file_title", docs_file_title(path))
     kept = headings_per_file(heads).withColumn("_base", T.heading_anchor(F.col("title")))
     anchored = numbered_slugs(
         kept, ["repo_id", "path"], "_base", ["pos"], "anchor", first_suffix=1

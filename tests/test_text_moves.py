@@ -1,10 +1,13 @@
 """Long texts cross as few shuffles as can be, at any size."""
 
-from docloom.operators.corpus import prose
-from docloom.plans import matching
+import random
 
 from pyspark.sql import functions as F
 
+from docloom.operators import corpus
+from docloom.operators.corpus import prose
+from docloom.plans import matching, repositories
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -34,3 +37,17 @@ def test_paths_are_blanked_line_by_line(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(prose(F.col("t"))).collect()]
     whole = F.regexp_replace("t", r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+", " ")
     assert got == [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(whole).collect()]
+
+
+def test_docs_texts_are_not_shuffled(spark):
+    assert exchanged(spark, lambda: repositories.repo_docs_index(spark, SF), "text") == 0
+
+
+def test_headings_are_those_of_all_lines(spark):
+    lines = ["# A", "## B ##", "#", "##### deep", "plain", "", "  ", "---", "  === ", "~~~", "```js", "***\t", " ## no", "### C\r", "`````", "x" * 50 + " ", "--", "## D\u2028", "---\u2028"]
+    deal = random.Random(5)
+    texts = [(str(i), "\n".join(deal.choices(lines, k=deal.randrange(12)))) for i in range(800)] + [("null", None), ("none", "")]
+    files = spark.createDataFrame(texts, "path string, text string").coalesce(4)
+    every = corpus._headings(corpus.outside_fences(files, ["path"]), ["path"])
+    found = lambda df: sorted(tuple(r) for r in df.collect())
+    assert found(corpus.markdown_headings(files, ["path"])) == found(every) != []
