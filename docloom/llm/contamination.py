@@ -29,21 +29,6 @@ from docloom.session import materialized
 END = 0  # the hash under which every row leaves one mark with its word count
 
 
-def _shingle(words: Column, at: Column, k: int) -> Column:
-    return F.concat_ws(" ", *[F.get(words, at + j) for j in range(k)])
-
-
-def _placed(words: Column, k: int) -> Column:
-    """Hash, position and length of the shingle of ``k`` words from each position on."""
-    each = F.transform(
-        F.sequence(F.lit(0), F.size(words) - k),
-        lambda i: F.struct(
-            F.xxhash64(F.lit(k), _shingle(words, i, k)).alias("h"), i.alias("pos"), F.lit(k).alias("k")
-        ),
-    )
-    return F.when(F.size(words) >= k, each).otherwise(F.array().cast("array<struct<h:bigint,pos:int,k:int>>"))
-
-
 def windows(benchmark: DataFrame, width: int, shingle: int, item_col: str, text_col: str) -> DataFrame:
     """(item, window, len, k, offset, token): the tokens of every window of every item."""
     words = benchmark.where(F.col(item_col).isNotNull()).select(
@@ -76,20 +61,37 @@ def windows(benchmark: DataFrame, width: int, shingle: int, item_col: str, text_
 
 
 def matches(docs: DataFrame, tokens: DataFrame, n_tokens: int, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, text_key, n_words, pos, token): benchmark shingles in the texts, and a mark for every row."""
+    """(row, doc_id, text_key, n_words, pos, token): benchmark shingles in the texts, and a mark for every row.
+
+    Words stand beside the words after them, once for each place of a text; a first place without words is the mark.
+    """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text_col).alias("text_key"),
         plain_words(F.col(text_col)).alias("w"),
     )
-    parts = [_placed(F.col("w"), k) for k in sizes]
-    mark = F.array(F.struct(F.lit(END).cast("long").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("k")))
-    placed = rows.select("*", F.size("w").cast("long").alias("n_words"), F.inline(F.concat(*parts, mark)))
-    sought = tokens.select("token", F.xxhash64("k", "token").alias("h")).union(
+    most = max(sizes, default=1)
+    ahead = [F.slice("w", j + 1, F.size("w")).alias(f"w{j}") if j else F.col("w").alias("w0") for j in range(most)]
+    blank = F.struct(*[F.lit(None).cast("string").alias(f"w{j}") for j in range(most)])
+    each = rows.select("*", F.size("w").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(blank), F.arrays_zip(*ahead))).alias("at", "x"))
+    each = each.select("row", "doc_id", "text_key", "n_words", (F.col("at") - 1).alias("pos"), *[F.col(f"x.w{j}").alias(f"w{j}") for j in range(most)])
+
+    def of(k: int) -> Column:
+        words = [f"w{j}" for j in range(k)]
+        found = F.when(F.col(words[-1]).isNotNull(), F.xxhash64(F.lit(k), *words))
+        return F.struct(F.lit(k).alias("k"), F.when(F.col("pos") < 0, F.lit(END).cast("long")).otherwise(found).alias("h"))
+
+    if len(sizes) > 1:  # one of them is enough for the mark
+        each = each.withColumn("s", F.explode(F.array(*map(of, sizes)))).where(F.col("pos").isNotNull() & ((F.col("pos") >= 0) | (F.col("s.k") == sizes[0])))
+    else:
+        each = each.withColumn("s", of(most))
+    part = F.split("token", " ")
+    sought = tokens.select("token", F.xxhash64("k", *[F.get(part, F.lit(j)) for j in range(most)]).alias("h")).union(
         tokens.sparkSession.range(1).select(F.lit(""), F.lit(END).cast("long"))
     )
-    here = F.concat_ws(" ", F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("k")))
+    placed = each.select("*", F.col("s.k").alias("k"), F.col("s.h").alias("h"))
+    here = F.concat_ws(" ", *[F.when(F.col("k") > j, F.col(f"w{j}")) for j in range(most)])
     hit = placed.join(small(sought, n_tokens, 500_000), "h").where(here == F.col("token"))
     return hit.select("row", "doc_id", "text_key", "n_words", "pos", "token")
 

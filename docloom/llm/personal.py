@@ -41,7 +41,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-PAIR = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,40}[\"']?[ ]?[=:][ ]?[\"']?([^\s\"',;=]{4,}+)")
+VALUE = re.compile(r"[=:][ ]?[\"']?([^\s\"',;=]{4,}+)")
+KEY = re.compile(r"[A-Za-z0-9_-]*\Z")
+SIGN = re.compile(r"[=:]")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
 NATIONAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{4}(?![0-9-])")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -89,9 +91,10 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
+def base_spans(text: str, digits: bool | None = None) -> list[tuple[str, int, int]]:
+    """``digits``: whether the text has any, if that is known."""
     out = [("email", a, b) for a, b in emails(text)]
-    if not DIGIT.search(text):
+    if not (DIGIT.search(text) if digits is None else digits):
         return out
     if "." in text:
         for m in IP.finditer(text):
@@ -112,21 +115,42 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- candidates ----------------------------------------------------------------------------------
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that might be personal data or secrets; they may overlap."""
+def values(text: str) -> list[tuple[int, int]]:
+    """Values of four characters or more after a key and = or :, leftmost ones first, none inside another with its key.
+
+    A key is a letter and up to 40 letters, digits, _ and -, a quote or a space may follow. Looked for from the sign, as few texts have
+    one, while every letter may begin a key.
+    """
+    out, free, at = [], 0, 0
+    while sign := SIGN.search(text, at):
+        end, at = sign.start(), sign.end()
+        if end > free and text[end - 1] == " ":
+            end -= 1
+        if end > free and text[end - 1] in "\"'":
+            end -= 1
+        key = KEY.search(text, max(free, end - 41), end)[0]
+        if any(c.isalpha() for c in key) and (m := VALUE.match(text, sign.start())):
+            out.append(m.span(1))
+            free = at = m.end()
+    return out
+
+
+def candidates(text: str, digits: bool | None = None) -> list[tuple[str, int, int]]:
+    """Spans that might be personal data or secrets; they may overlap. ``digits``: whether the text has any, if that is known."""
     out = []
     if "=" in text or ":" in text:
-        out += [("secret", m.start(1), m.end(1)) for m in PAIR.finditer(text)]
+        out += [("secret", a, b) for a, b in values(text)]
     if ":" in text or "-" in text:
         out += [("mac", m.start(), m.end()) for m in MAC.finditer(text)]
     if "::" in text or text.count(":") > 2:
         out += [("ipv6", m.start(), m.end()) for m in IPV6.finditer(text)]
     if "at]" in text or "at)" in text or "at ]" in text or "at )" in text:
         out += [("mail_like", m.start(), m.end()) for m in MAIL_LIKE.finditer(text)]
-    if DIGIT.search(text):
+    if DIGIT.search(text) if digits is None else digits:
         out += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if DIGIT.search(m[0])]
         out += [("national", m.start(), m.end()) for m in NATIONAL.finditer(text)]
-        out += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
+        if "-" in text:
+            out += [("ssn", m.start(), m.end()) for m in SSN.finditer(text)]
         out += [("iban", m.start(), m.end()) for m in IBAN.finditer(text)]
     return out
 
@@ -236,17 +260,27 @@ class Model:
 
     def spans(self, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
         """(base spans, added spans with their scores), each sorted by kind and start."""
-        if not text:
-            return [], []
-        base, found = base_spans(text), candidates(text)
-        kept: list[tuple[str, int, int, float]] = []
-        if found:
-            x = np.array([features(text, *c) for c in found])
-            ranked = sorted((-s, c) for s, c in zip(self.trees.score(x), found) if s >= self.thresholds[c[0]])
-            taken = sorted((a, b) for _, a, b in base)
-            kept = _apart(ranked, taken)
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str | None]) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]]:
+        """``spans`` of each text. The candidates of all of them pass the trees together, as a pass for each text costs more than its spans."""
+        base, found, x = [], [], []
+        for text in texts:
+            digits = bool(text) and DIGIT.search(text) is not None
+            base.append(base_spans(text, digits) if text else [])
+            found.append(candidates(text, digits) if text else [])
+            x += [features(text, *c) for c in found[-1]]
+        scores = self.trees.score(np.array(x)).tolist() if x else []
         order = {k: i for i, k in enumerate(KINDS)}
-        return sorted(base, key=lambda s: (order[s[0]], s[1])), sorted(kept, key=lambda s: (order[s[0]], s[1]))
+        out, at = [], 0
+        for own, some in zip(base, found):
+            kept: list[tuple[str, int, int, float]] = []
+            if some:
+                ranked = sorted((-s, c) for s, c in zip(scores[at : at + len(some)], some) if s >= self.thresholds[c[0]])
+                kept = _apart(ranked, sorted((a, b) for _, a, b in own))
+                at += len(some)
+            out.append((sorted(own, key=lambda s: (order[s[0]], s[1])), sorted(kept, key=lambda s: (order[s[0]], s[1]))))
+        return out
 
 
 def _apart(ranked, taken, least: int = 16):
@@ -369,16 +403,22 @@ def fitted(docs: DataFrame, sample: int = 256, examples: int = 4000, id_col: str
     return train([x for row in rows for x in row.w if x.isalpha()], examples)
 
 
+def _some(texts: pa.Array, most: int = 1024):
+    """The texts of a column, a bounded number at a time."""
+    for at in range(0, len(texts), most):
+        yield texts.slice(at, most).to_pylist()
+
+
 def _scan(model: Model):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             base, added = [], []
-            for t in batch.column(1):
-                b, a = model.spans(t.as_py())
-                base.append([{"kind": k, "start": s, "end": e, "score": 1.0} for k, s, e in b])
-                added.append([{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in a])
+            for some in _some(batch.column(1)):
+                for b, a in model.spans_of(some):
+                    base.append([{"kind": k, "start": s, "end": e, "score": 1.0} for k, s, e in b])
+                    added.append([{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in a])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kind), pa.array(added, kind)], ["doc_id", "base", "added"])
 
     return run
@@ -395,15 +435,19 @@ def personal_data(docs: DataFrame, model: Model | None = None, id_col: str = "do
 
 def redact(text: str | None, model: Model) -> str | None:
     """The text with every span replaced by its kind in brackets; overlapping ones become one."""
-    if not text:
-        return text
-    base, added = model.spans(text)
-    out, at = [], 0
-    for a, b, kind in sorted([(a, b, k) for k, a, b in base] + [(a, b, k) for k, a, b, _ in added]):
-        if a >= at:
-            out += [text[at:a], f"[{kind.upper()}]"]
-        at = max(at, b)
-    return "".join(out) + text[at:] if out else text
+    return redact_all([text], model)[0]
+
+
+def redact_all(texts: list[str | None], model: Model) -> list[str | None]:
+    done = []
+    for text, (base, added) in zip(texts, model.spans_of(texts)):
+        out, at = [], 0
+        for a, b, kind in sorted([(a, b, k) for k, a, b in base] + [(a, b, k) for k, a, b, _ in added]):
+            if a >= at:
+                out += [text[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        done.append("".join(out) + text[at:] if out else text)
+    return done
 
 
 def redacted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,7 +457,7 @@ def redacted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([redact(t.as_py(), model) for t in batch.column(at)], pa.string())
+            texts = pa.array([t for some in _some(batch.column(at)) for t in redact_all(some, model)], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)

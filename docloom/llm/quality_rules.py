@@ -40,9 +40,21 @@ CUTOFFS = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def repeated_words(words: Column, k: int = 3) -> Column:
-    """Words inside windows of ``k`` words that occur at least twice in the text, the first included."""
-    n = F.size(words)
+FEW = 8
+
+
+def window_hashes(words: Column, k: int = 3) -> Column:
+    """A hash of each window of ``k`` words, in the order of the text."""
+    shifted = [F.slice(words, j + 1, F.greatest(F.size(words) - k + 1, F.lit(0))).alias(f"w{j}") for j in range(k)]
+    return F.transform(F.arrays_zip(*shifted), lambda window: F.xxhash64(window))
+
+
+def repeated_words(hashes: Column, ordered: Column, k: int = 3) -> Column:
+    """Words inside windows of ``k`` words that occur at least twice in the text, the first included.
+
+    ``hashes`` are those of ``window_hashes`` and ``ordered`` the same ones sorted. Most texts repeat no window or a few; only where over
+    ``FEW`` are repeated all windows are sorted with their places.
+    """
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda p, i: F.least(F.lit(k), F.get(at, i + 1) - p))
@@ -52,12 +64,15 @@ def repeated_words(words: Column, k: int = 3) -> Column:
         same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
         return F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), n - k),
-        lambda i: F.struct(F.xxhash64(*[F.get(words, i + j) for j in range(k)]).alias("h"), i.alias("p")),
-    )
-    starts = let(F.sort_array(windows), lambda s: F.sort_array(F.transform(twice(s), lambda x: x["p"])))
-    return F.when(n > k, let(starts, covered)).otherwise(F.lit(0)).cast("long")
+    def by_place(again: Column) -> Column:
+        places = F.transform(hashes, lambda h, i: F.when(F.array_contains(again, h), i))
+        return F.filter(places, lambda p: p.isNotNull())
+
+    windows = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    by_hash = let(F.sort_array(windows), lambda s: F.sort_array(F.transform(twice(s), lambda x: x["p"])))
+    again = F.array_distinct(F.filter(ordered, lambda h, i: h == F.get(ordered, i + 1)))
+    many = let(again, lambda a: let(F.when(F.size(a) <= FEW, by_place(a)).otherwise(by_hash), covered))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(many).cast("long")
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -72,18 +87,19 @@ def measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
         space_words(text).alias("w"),
         F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
+    split = split.withColumn("h", window_hashes(F.col("w"))).withColumn("ordered", F.sort_array("h"))
     counted = split.select(
         "doc_id",
         "stratum",
         "text_key",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         gone("[#*$%&|<>]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("w")).alias("n_repeat_words"),
+        repeated_words(F.col("h"), F.col("ordered")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         gone(r"\p{Lu}+").alias("n_capitals"),
-        gone("!+").alias("n_shouts"),
+        (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
     )
     share = lambda a, b, of: F.coalesce(F.floor(F.col(a) * of / F.nullif(F.col(b), F.lit(0))), F.lit(0))
     measures = {
