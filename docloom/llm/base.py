@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,14 +56,36 @@ def rows_of(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col:
     return docs.join(keys.hint("shuffle_hash"), same, "left_semi")
 
 
+EDGES = 65_536
+
+
+def _own_stars(batches):
+    """(a, b) of a task's edges: every node and the least of its component in them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    nodes = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(map(find, nodes), pa.int64())], ["a", "b"])
+
+
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): the smallest node that it can reach.
 
     Large-star and small-star steps until nothing changes. Each step is an aggregate and a join on the
     node; its result is a table in the shared folder, so lineage stays short and a lost executor costs
     only its tasks. A step keeps a star per node, so a node with many neighbours is met as the key of
-    many narrow rows, which partial aggregation and the skew join of AQE split. What is stars already, as links to
-    hubs mostly are, takes no step.
+    many narrow rows, which partial aggregation and the skew join of AQE split. Before the steps every task makes stars of
+    some ``EDGES`` edges of its own, so few edges take no step at all.
     """
 
     def stars(links: DataFrame) -> bool:
@@ -72,8 +95,13 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         odd = ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
         return odd.where("n > 1 OR (n = 1 AND low = 1)").isEmpty()
 
-    flat = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialized(flat.where("a <> b").distinct(), f"{name}-edges")
+    flat = materialized(edges.select("a", "b").where("a <> b"), f"{name}-edges")
+    tasks = -(-flat.count() // EDGES)
+    now = materialized(flat.coalesce(max(1, tasks)).mapInArrow(_own_stars, "a long, b long"), f"{name}-stars")
+    discard(flat)
+    if tasks < 2:
+        return now.toDF("node", "root")
+    made, now = now, now.where("a <> b")
     for _ in range(rounds):
         if stars(now):
             root = now.select("b").distinct()
@@ -87,6 +115,6 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         step = starred.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = step.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = materialized(new, f"{name}-small")
-        discard(now, large)
-        now = new
+        discard(made, large)
+        made = now = new
     raise RuntimeError(f"components did not settle in {rounds} rounds")

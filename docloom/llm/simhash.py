@@ -44,15 +44,23 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
     return [xxhash.xxh64_intdigest(line[a : b - 1], 42) for a, b in zip(starts, ends[k - 1 :])]
 
 
+#: For each byte its bits, one in each byte of a word; 255 such words add up without a carry.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     """The fingerprint of each run of ``counts`` hashes: bits set in over half of them."""
     out = np.zeros(len(counts), dtype=np.uint64)
     n = np.asarray(counts)
     at = np.flatnonzero(n)
     if len(at):
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate([[0], np.cumsum(n[at])[:-1]])
-        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        lanes = LANES[np.asarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)]
+        parts = -(-n[at] // 255)
+        first = np.concatenate([[0], np.cumsum(parts)[:-1]])
+        step = 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+        starts = np.repeat(np.concatenate([[0], np.cumsum(n[at])[:-1]]), parts) + step
+        some = np.add.reduceat(lanes, starts, axis=0).view(np.uint8)
+        votes = np.add.reduceat(some, first, axis=0, dtype=np.int32)
         out[at] = np.packbits(votes * 2 > n[at][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
