@@ -107,3 +107,36 @@ def test_values_are_found_from_the_sign():
     for text in (":" * 200_000, "a:" * 100_000, "-" * 100_000 + ":"):
         personal.candidates(text)
     assert time.monotonic() - began < 20
+
+
+def test_shingles_that_hold_the_same_classes_are_compared_once(spark, monkeypatch):
+    # near copies of one text and as many texts that share its middle and are not alike: every shingle of the middle is crowded
+    r = random.Random(8)
+    base_words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(12):
+        words = list(base_words)
+        words[r.choice((0, 59))] = f"v{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*(f"u{i}x{j}" for j in range(15)), *base_words[10:50], *(f"z{i}x{j}" for j in range(15))]) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingles, units, real, crowded_links = [], [], near_copies.Texts.of, near_copies._crowded_links
+
+    def of(self, rows):
+        if "side" in rows.columns:
+            units.append(rows.select("h", "u", "v").distinct().count())
+        return real(self, rows)
+
+    def counted(crowded, *more):
+        shingles.append(crowded.select("h").distinct().count())
+        return crowded_links(crowded, *more)
+
+    monkeypatch.setattr(near_copies.Texts, "of", of)
+    monkeypatch.setattr(near_copies, "_crowded_links", counted)
+    rows, classes = near_copies.near_copies(docs, pair_most=2, hub_rounds=1, common=0)
+    groups = {x.doc_id: x.grp for x in rows.join(classes, "set_key").collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    alike = [(i, j) for i in range(24) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = _roots([*alike, *((i, i) for i in range(24))])
+    assert len({(root[i], groups[i]) for i in range(24)}) == len(set(root.values())) == len(set(groups.values()))
+    assert shingles and 2 * sum(units) <= sum(shingles)
